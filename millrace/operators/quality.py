@@ -174,12 +174,12 @@ def history_from_tests(tests: DataFrame, *, as_of: str | None, days: int = 90) -
         F.concat(F.lit("el:"), F.unix_seconds(ts).cast("string")).alias("run_id"),
         st.test_state(F.col("status")).alias("status"),
         F.coalesce("failures", F.lit(0)).cast("long").alias("failures"),
-        at.cast("double").alias("at"),
+        at.cast("double").alias("ran_at"),
     )
 
 
 def latest_per_key(
-    results: DataFrame, key: str = "rule_uid", at: str = "at", tie: str = "run_id"
+    results: DataFrame, key: str = "rule_uid", at: str = "ran_at", tie: str = "run_id"
 ) -> DataFrame:
     """Newest row per key by partial aggregation; equal times fall to the larger tie column."""
     rest = [c for c in results.columns if c not in (key, at, tie)]
@@ -199,7 +199,7 @@ def rules_state(
     """
     latest = latest_per_key(history).select(
         F.col("rule_uid").alias("_h_uid"), F.col("status").alias("_h_status"),
-        F.col("failures").alias("_h_failures"), F.col("at").alias("_h_at"),
+        F.col("failures").alias("_h_failures"), F.col("ran_at").alias("_h_at"),
     )
     now = current.select(
         F.col("uid").alias("_c_uid"), F.col("status").alias("_c_status"),
@@ -413,12 +413,12 @@ def daily_pass_rate(
     results: DataFrame, *, days: int, as_of: str | None, tz: str = "UTC", only: DataFrame | None = None
 ) -> DataFrame:
     """Per local day: each rule counts once with that day's last result; empty days have no row."""
-    at = F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))
+    at = F.timestamp_micros(F.round(F.col("ran_at") * 1_000_000).cast("long"))
     rows = results.filter(times.within_days(at, days, as_of)).withColumn("day", times.local_day(at, tz))
     if only is not None:
         rows = rows.join(only.select("rule_uid").distinct(), "rule_uid", "left_semi")
     last = rows.groupBy("rule_uid", "day").agg(
-        F.max(F.struct("at", "run_id", "status")).alias("_r")
+        F.max(F.struct("ran_at", "run_id", "status")).alias("_r")
     )
     ok = F.col("_r.status") == "ok"
     return last.groupBy("day").agg(

@@ -41,7 +41,10 @@ def grouped(
         brackets.append(F.count(f"_q{i}").alias(f"_n{i}"))
         brackets.append(F.percentile_approx(f"_q{i}", [lo, hi], _ACCURACY).alias(f"_b{i}"))
     stats = measured.groupBy(*keys).agg(*aggs, *brackets)
-    bounds = stats.select(*keys, *[f"_b{i}" for i in range(len(quantiles))])
+    # A group of at most _ACCURACY rows keeps all its values: no bracket (null) is needed.
+    bounds = stats.select(*keys, *[
+        F.when(F.col(f"_n{i}") > _ACCURACY, F.col(f"_b{i}")).alias(f"_b{i}") for i in range(len(quantiles))
+    ])
 
     rows = measured.select(*keys, *[f"_q{i}" for i in range(len(quantiles))])
     if keys:
@@ -59,9 +62,12 @@ def grouped(
 
     def candidate(i: int) -> Column:
         v, b = F.col(f"_q{i}"), F.col(f"_b{i}")
-        below = v < b[0]
         # A null value stands for "somewhere below the bracket" and collapses to one counted row.
-        return F.when(v <= b[1], F.struct(F.lit(i).alias("i"), F.when(~below, v).alias("v")))
+        inside = F.when(b.isNull() | (v >= b[0]), v)
+        return F.when(
+            v.isNotNull() & (b.isNull() | (v <= b[1])),
+            F.struct(F.lit(i).alias("i"), inside.alias("v")),
+        )
 
     kept = bounded.select(
         *keys, F.explode(F.array(*[candidate(i) for i in range(len(quantiles))])).alias("_c")

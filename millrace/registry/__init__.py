@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.registry.book import Book, book
 
-_MODULES = ("modelling",)
+_MODULES = ("modelling", "checks", "runs")
 
 
 def all_queries() -> Book:

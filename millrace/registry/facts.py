@@ -139,7 +139,7 @@ rule_results AS (
   SELECT test_unique_id AS rule_uid,
          'el:' || CAST(CAST(floor(epoch(CAST(detected_at AS TIMESTAMP))) AS BIGINT) AS VARCHAR) AS run_id,
          CASE status WHEN 'pass' THEN 'ok' WHEN 'warn' THEN 'warn' ELSE 'err' END AS status,
-         failures, epoch(CAST(detected_at AS TIMESTAMP)) AS at
+         failures, epoch(CAST(detected_at AS TIMESTAMP)) AS ran_at
   FROM test_results)"""
 )
 
@@ -166,8 +166,12 @@ rules AS (
          CASE WHEN c_nationkey % 7 = 5 THEN ' (min_value=0 · max_value=' || CAST(c_nationkey AS VARCHAR) || ')'
               WHEN c_nationkey % 7 = 3 THEN ' (values=A, B, ' || c_mktsegment || ')' ELSE '' END AS args_text,
          c_custkey % 11 <> 3 AS enabled, c_custkey % 50 = 7 AS singular,
-         'm' || CAST(c_custkey // 4 AS VARCHAR) AS model_id
-  FROM customer)"""
+         'm' || CAST(c_custkey // 4 AS VARCHAR) AS first_model
+  FROM customer),
+rule_targets AS (
+  SELECT *, first_model AS model_id FROM rules
+  UNION ALL
+  SELECT *, 'm' || CAST(CAST(substr(name, 2) AS BIGINT) // 4 + 1 AS VARCHAR) FROM rules WHERE singular)"""
 
 
 def rules(spark: SparkSession, sf: str) -> DataFrame:
@@ -184,6 +188,9 @@ def rules(spark: SparkSession, sf: str) -> DataFrame:
             F.lit("max_value"), F.array(F.col("c_nationkey").cast("string")),
         ),
     ).when(kind == 3, F.create_map(F.lit("values"), F.array(F.lit("A"), F.lit("B"), F.col("c_mktsegment"))))
+    block = F.floor(F.col("c_custkey") / 4)
+    home = F.concat(F.lit("m"), block.cast("string"))
+    beside = F.concat(F.lit("m"), (block + 1).cast("string"))
     return c.select(
         F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("name"),
         F.concat(F.lit("test.shop.t"), F.col("c_custkey").cast("string")).alias("uid"),
@@ -193,5 +200,52 @@ def rules(spark: SparkSession, sf: str) -> DataFrame:
         args.alias("args"),
         (F.col("c_custkey") % 11 != 3).alias("enabled"),
         (F.col("c_custkey") % 50 == 7).alias("singular"),
-        F.concat(F.lit("m"), F.floor(F.col("c_custkey") / 4).cast("string")).alias("model_id"),
+        F.when(F.col("c_custkey") % 50 == 7, F.array(home, beside)).otherwise(F.array(home)).alias("targets"),
     )
+
+
+STATE_SQL = (
+    RULES_SQL + "," + RULE_RESULTS_SQL
+    + f""",
+latest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rule_uid ORDER BY ran_at DESC, run_id DESC) AS rn
+                 FROM rule_results) WHERE rn = 1),
+run_now AS (
+  SELECT test_unique_id AS uid, status, failures FROM (
+    SELECT *, row_number() OVER (PARTITION BY test_unique_id ORDER BY detected_at DESC, event_id DESC) AS rn
+    FROM test_results WHERE detected_at >= '2024-01-30') WHERE rn = 1),
+state AS (
+  SELECT r.name AS rule_id, r.uid,
+         CASE check_name WHEN 'not_null' THEN 'notnull' WHEN 'unique' THEN 'unique'
+              WHEN 'dbt_utils.unique_combination_of_columns' THEN 'unique'
+              WHEN 'accepted_values' THEN 'accepted' WHEN 'relationships' THEN 'rel'
+              WHEN 'dbt_utils.accepted_range' THEN 'range' ELSE 'sql' END AS type,
+         CASE check_name WHEN 'not_null' THEN 'completeness' WHEN 'unique' THEN 'uniqueness'
+              WHEN 'dbt_utils.unique_combination_of_columns' THEN 'uniqueness'
+              WHEN 'accepted_values' THEN 'validity' WHEN 'relationships' THEN 'consistency'
+              WHEN 'dbt_utils.accepted_range' THEN 'accuracy' ELSE 'custom' END AS dimension,
+         r.model_id, r.col, r.check_name || r.args_text AS cond, r.severity AS sev,
+         r.enabled AS active, r.singular,
+         CASE WHEN NOT r.enabled THEN 'unknown'
+              WHEN n.uid IS NOT NULL THEN CASE n.status WHEN 'pass' THEN 'ok' WHEN 'warn' THEN 'warn' ELSE 'err' END
+              ELSE coalesce(h.status, 'unknown') END AS status,
+         CASE WHEN NOT r.enabled THEN 0
+              ELSE coalesce(CASE WHEN n.uid IS NOT NULL THEN n.failures ELSE h.failures END, 0) END AS cnt,
+         CASE WHEN n.uid IS NULL THEN h.ran_at END AS measured_at
+  FROM rule_targets r LEFT JOIN run_now n ON n.uid = r.uid LEFT JOIN latest h ON h.rule_uid = r.uid)"""
+)
+
+
+def current_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw results of the last day's run, newest per test."""
+    day = test_results(spark, sf).filter(F.col("detected_at") >= "2024-01-30")
+    newest = F.max(F.struct("detected_at", "event_id", "status", "failures")).alias("_r")
+    return day.groupBy(F.col("test_unique_id").alias("uid")).agg(newest).select(
+        "uid", "_r.status", "_r.failures"
+    )
+
+
+def rule_state(spark: SparkSession, sf: str) -> DataFrame:
+    from millrace.operators.quality import rules_state
+
+    return rules_state(rules(spark, sf), current_run(spark, sf), rule_results(spark, sf))
