@@ -1,7 +1,7 @@
 """Exact continuous percentiles that stay distributed however large one group is.
 
-``percentile``/``median`` keep every distinct value of a group in one task's hash map. Instead a
-mergeable sketch brackets each wanted rank, one aggregation counts what lies below the bracket and
+``percentile`` keeps every distinct value of a group in one task's hash map, which is fine only
+while the largest group is small; its size is counted first. Beyond that a mergeable sketch brackets each wanted rank, one aggregation counts what lies below the bracket and
 keeps only the distinct values inside it, and the exact order statistics are read from that small
 remainder. The sketch only narrows the search; the result is exact, and a bracket that does not
 contain the wanted rank stops the query instead of returning a near value.
@@ -15,6 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.plans.durable import cut
+
+_SMALL_GROUP = 50_000
 _ACCURACY = 10_000
 _SLACK = 5 / _ACCURACY
 
@@ -27,11 +30,26 @@ class Quantile:
 
 
 def grouped(
-    df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Sequence[Quantile]
+    df: DataFrame,
+    keys: Sequence[str],
+    aggs: Sequence[Column],
+    quantiles: Sequence[Quantile],
+    *,
+    small: int = _SMALL_GROUP,
 ) -> DataFrame:
     """``groupBy(keys).agg(aggs)`` plus one exact percentile column per entry of ``quantiles``."""
     if not quantiles:
-        return df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
+        return df.groupBy(*keys).agg(*aggs)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
+    if (sizes.head()[0] or 0) <= small:
+        built_in = [F.percentile(q.value.cast("double"), q.p).alias(q.name) for q in quantiles]
+        return df.groupBy(*keys).agg(*aggs, *built_in)
+    return _bracketed(df, keys, aggs, quantiles)
+
+
+def _bracketed(
+    df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Sequence[Quantile]
+) -> DataFrame:
     measured = df
     for i, q in enumerate(quantiles):
         measured = measured.withColumn(f"_q{i}", q.value.cast("double"))
@@ -40,7 +58,7 @@ def grouped(
         lo, hi = max(0.0, q.p - _SLACK), min(1.0, q.p + _SLACK)
         brackets.append(F.count(f"_q{i}").alias(f"_n{i}"))
         brackets.append(F.percentile_approx(f"_q{i}", [lo, hi], _ACCURACY).alias(f"_b{i}"))
-    stats = measured.groupBy(*keys).agg(*aggs, *brackets)
+    stats = cut(measured.groupBy(*keys).agg(*aggs, *brackets), "stats")
     # A group of at most _ACCURACY rows keeps all its values: no bracket (null) is needed.
     bounds = stats.select(*keys, *[
         F.when(F.col(f"_n{i}") > _ACCURACY, F.col(f"_b{i}")).alias(f"_b{i}") for i in range(len(quantiles))

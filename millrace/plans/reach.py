@@ -97,28 +97,31 @@ def longest_path(
     raise RuntimeError("the model graph has a cycle")
 
 
-def spread_min(
-    edges: DataFrame, labels: DataFrame, *, label: str = "label", max_rounds: int = 10_000
+def spread(
+    edges: DataFrame, labels: DataFrame, *, label: str = "label", keep: str = "min",
+    max_rounds: int = 10_000,
 ) -> DataFrame:
-    """Smallest label that reaches each node along ``src`` → ``dst``; ``labels(id, label)`` seeds it.
+    """Smallest (or largest) label that reaches each node along ``src`` → ``dst``.
 
-    Labels are merged per node before they travel on, so the cost follows the edges and never the
-    number of (label, node) pairs.
+    ``labels(id, label)`` seeds the walk. Labels are merged per node before they travel on, so the
+    cost follows the edges and never the number of (label, node) pairs.
     """
-    steps = edges.select("src", "dst").distinct()
-    best = cut(labels.groupBy("id").agg(F.min(label).alias(label)), "label")
+    fold, pick = (F.min, F.least) if keep == "min" else (F.max, F.greatest)
+    better = (lambda new, old: new < old) if keep == "min" else (lambda new, old: new > old)
+    steps = edges.select("src", "dst")
+    best = cut(labels.groupBy("id").agg(fold(label).alias(label)), "label")
     frontier = best
     for _ in range(max_rounds):
         pushed = (
             frontier.join(steps, frontier["id"] == steps["src"])
             .groupBy(F.col("dst").alias("id"))
-            .agg(F.min(label).alias("_new"))
+            .agg(fold(label).alias("_new"))
         )
         merged = cut(
             best.join(pushed, "id", "full").select(
                 "id",
-                F.least(label, "_new").alias(label),
-                F.coalesce(F.col("_new") < F.col(label), F.col(label).isNull()).alias("_better"),
+                pick(label, "_new").alias(label),
+                F.coalesce(better(F.col("_new"), F.col(label)), F.col(label).isNull()).alias("_better"),
             ),
             "label",
         )
@@ -127,3 +130,21 @@ def spread_min(
         if frontier.isEmpty():
             return best
     raise RuntimeError(f"labels did not settle within {max_rounds} rounds")
+
+
+def on_cycles(pointers: DataFrame, *, node: str = "id", nxt: str = "next") -> DataFrame:
+    """Nodes of a one-successor graph whose chain returns to themselves.
+
+    Pointer doubling: after k rounds every pointer has moved 2^k steps, and once 2^k reaches the
+    node count whatever is still pointed at lies on a cycle. That is log2(nodes) self-joins.
+    """
+    hops = cut(pointers.filter(F.col(nxt).isNotNull()).select(F.col(node).alias("id"), F.col(nxt).alias("at")), "hops")
+    nodes = hops.count()
+    moved = 1
+    while moved < nodes:
+        second = hops.select(F.col("id").alias("_id"), F.col("at").alias("_at"))
+        hops = cut(
+            hops.join(second, F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at")), "hops"
+        )
+        moved *= 2
+    return hops.select(F.col("at").alias(node)).distinct()

@@ -6,7 +6,7 @@ Sizes follow the supplied tables; no rows are made up.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 AS_OF = "2024-01-31 00:00:00"
@@ -249,3 +249,186 @@ def rule_state(spark: SparkSession, sf: str) -> DataFrame:
     from millrace.operators.quality import rules_state
 
     return rules_state(rules(spark, sf), current_run(spark, sf), rule_results(spark, sf))
+
+
+# ---------------------------------------------------------------- model graph (supply chain)
+# supplier → part → order → customer → nation → region: a layered graph that grows with the data.
+
+GRAPH_SQL = """
+edges AS (
+  SELECT DISTINCT 's' || CAST(l_suppkey AS VARCHAR) AS src, 'p' || CAST(l_partkey AS VARCHAR) AS dst FROM lineitem
+  UNION ALL SELECT DISTINCT 'p' || CAST(l_partkey AS VARCHAR), 'o' || CAST(l_orderkey AS VARCHAR) FROM lineitem
+  UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), 'c' || CAST(o_custkey AS VARCHAR) FROM orders
+  UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR), 'n' || CAST(c_nationkey AS VARCHAR) FROM customer
+  UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'r' || CAST(n_regionkey AS VARCHAR) FROM nation),
+models AS (
+  SELECT 's' || CAST(s_suppkey AS VARCHAR) AS id, 'source' AS dbt_type FROM supplier
+  UNION ALL SELECT 'p' || CAST(p_partkey AS VARCHAR), CASE WHEN p_size > 40 THEN 'seed' ELSE 'model' END FROM part
+  UNION ALL SELECT 'o' || CAST(o_orderkey AS VARCHAR), 'model' FROM orders
+  UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR), 'model' FROM customer
+  UNION ALL SELECT 'n' || CAST(n_nationkey AS VARCHAR), 'model' FROM nation
+  UNION ALL SELECT 'r' || CAST(r_regionkey AS VARCHAR), 'model' FROM region)"""
+
+
+def _key(prefix: str, col: str) -> Column:
+    return F.concat(F.lit(prefix), F.col(col).cast("string"))
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    from millrace.operators.lineage import stored
+
+    li = table(spark, sf, "lineitem")
+    parts = [
+        li.select(_key("s", "l_suppkey").alias("src"), _key("p", "l_partkey").alias("dst")).distinct(),
+        li.select(_key("p", "l_partkey").alias("src"), _key("o", "l_orderkey").alias("dst")).distinct(),
+    ]
+    for name, a, x, b, y in (
+        ("orders", "o", "o_orderkey", "c", "o_custkey"),
+        ("customer", "c", "c_custkey", "n", "c_nationkey"),
+        ("nation", "n", "n_nationkey", "r", "n_regionkey"),
+    ):
+        parts.append(table(spark, sf, name).select(_key(a, x).alias("src"), _key(b, y).alias("dst")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return stored(out)
+
+
+def models(spark: SparkSession, sf: str) -> DataFrame:
+    kinds = [
+        ("supplier", "s", "s_suppkey", F.lit("source")),
+        ("part", "p", "p_partkey", F.when(F.col("p_size") > 40, "seed").otherwise("model")),
+        ("orders", "o", "o_orderkey", F.lit("model")), ("customer", "c", "c_custkey", F.lit("model")),
+        ("nation", "n", "n_nationkey", F.lit("model")), ("region", "r", "r_regionkey", F.lit("model")),
+    ]
+    out = None
+    for name, prefix, col, kind in kinds:
+        part = table(spark, sf, name).select(_key(prefix, col).alias("id"), kind.alias("dbt_type"))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+FLOWS_SQL = """
+flows AS (
+  SELECT 'f' || CAST(c_custkey AS VARCHAR) AS id, CAST(c_custkey * 37 % 1009 AS DOUBLE) AS created_at,
+         c_custkey % 2 = 0 AS include_seeds,
+         CASE WHEN c_custkey % 3 = 0 THEN 'schedule' ELSE 'upstream' END AS trigger_type,
+         'f' || CAST(CASE WHEN c_custkey % 10 = 1 THEN c_custkey + 1 WHEN c_custkey % 10 = 2 THEN c_custkey - 1
+                          ELSE c_custkey // 2 END AS VARCHAR) AS upstream_id
+  FROM customer),
+flow_targets AS (
+  SELECT 'f' || CAST(c_custkey AS VARCHAR) AS flow, 'c' || CAST(c_custkey AS VARCHAR) AS id FROM customer
+  UNION ALL SELECT 'f' || CAST(c_custkey AS VARCHAR), 'n' || CAST(c_nationkey AS VARCHAR) FROM customer
+    WHERE c_acctbal > 9500)"""
+
+
+def flows(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    up = F.when(k % 10 == 1, k + 1).when(k % 10 == 2, k - 1).otherwise(F.floor(k / 2))
+    return table(spark, sf, "customer").select(
+        _key("f", "c_custkey").alias("id"), (k * 37 % 1009).cast("double").alias("created_at"),
+        (k % 2 == 0).alias("include_seeds"),
+        F.when(k % 3 == 0, "schedule").otherwise("upstream").alias("trigger_type"),
+        F.concat(F.lit("f"), up.cast("long").cast("string")).alias("upstream_id"),
+    )
+
+
+def flow_targets(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer")
+    flow = _key("f", "c_custkey").alias("flow")
+    return c.select(flow, _key("c", "c_custkey").alias("id")).unionAll(
+        c.filter("c_acctbal > 9500").select(flow, _key("n", "c_nationkey").alias("id"))
+    )
+
+
+COLUMN_EDGES_SQL = """
+raw_column_edges AS (
+  SELECT 's' || CAST(l_suppkey AS VARCHAR) AS from_id, lower(l_returnflag) AS from_col,
+         'p' || CAST(l_partkey AS VARCHAR) AS to_id, lower(l_linestatus) AS to_col,
+         CASE WHEN l_tax > 0.04 THEN 'transform' ELSE 'copy' END AS kind,
+         l_orderkey * 100000000 + l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS pos FROM lineitem
+  UNION ALL
+  SELECT 'p' || CAST(l_partkey AS VARCHAR), CASE WHEN l_quantity > 45 THEN '*' ELSE lower(l_linestatus) END,
+         'o' || CAST(l_orderkey AS VARCHAR), 'total', CASE WHEN l_discount > 0.05 THEN 'transform' ELSE 'copy' END,
+         l_orderkey * 100000000 + l_partkey * 10000 + l_suppkey * 10 + l_linenumber FROM lineitem),
+column_edges AS (
+  SELECT from_id, from_col, to_id, to_col, kind, pos FROM (
+    SELECT *, row_number() OVER (PARTITION BY from_id, from_col, to_id, to_col ORDER BY pos, kind) AS rn
+    FROM raw_column_edges) WHERE rn = 1)"""
+
+
+def raw_column_edges(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    pos = (
+        F.col("l_orderkey") * 100000000 + F.col("l_partkey") * 10000 + F.col("l_suppkey") * 10
+        + F.col("l_linenumber")
+    ).alias("pos")
+    first = li.select(
+        _key("s", "l_suppkey").alias("from_id"), F.lower("l_returnflag").alias("from_col"),
+        _key("p", "l_partkey").alias("to_id"), F.lower("l_linestatus").alias("to_col"),
+        F.when(F.col("l_tax") > 0.04, "transform").otherwise("copy").alias("kind"), pos,
+    )
+    second = li.select(
+        _key("p", "l_partkey").alias("from_id"),
+        F.when(F.col("l_quantity") > 45, "*").otherwise(F.lower("l_linestatus")).alias("from_col"),
+        _key("o", "l_orderkey").alias("to_id"), F.lit("total").alias("to_col"),
+        F.when(F.col("l_discount") > 0.05, "transform").otherwise("copy").alias("kind"), pos,
+    )
+    return first.unionAll(second)
+
+
+def column_edges(spark: SparkSession, sf: str) -> DataFrame:
+    from millrace.operators.lineage import distinct_edges, stored
+
+    keys = ["from_id", "from_col", "to_id", "to_col"]
+    return stored(distinct_edges(raw_column_edges(spark, sf), keys, "pos"))
+
+
+LOADS_SQL = """
+load_times AS (
+  SELECT 'o' || CAST(o_orderkey AS VARCHAR) AS id, o_orderdate AS loaded_at FROM orders
+  UNION ALL SELECT 'c' || CAST(c_custkey AS VARCHAR),
+         CASE WHEN c_custkey % 9 > 0 THEN TIMESTAMP '1998-01-01' + INTERVAL 1 DAY * CAST(c_nationkey * 50 AS INTEGER) END FROM customer
+  UNION ALL SELECT 'p' || CAST(p_partkey AS VARCHAR), TIMESTAMP '1997-01-01' + INTERVAL 1 DAY * (p_size * 30) FROM part)"""
+
+
+def load_times(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select(_key("o", "o_orderkey").alias("id"), F.col("o_orderdate").alias("loaded_at"))
+    c = table(spark, sf, "customer").select(
+        _key("c", "c_custkey").alias("id"),
+        F.when(
+            F.col("c_custkey") % 9 > 0,
+            F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00' + make_dt_interval(c_nationkey * 50)"),
+        ).alias("loaded_at"),
+    )
+    p = table(spark, sf, "part").select(
+        _key("p", "p_partkey").alias("id"),
+        F.expr("TIMESTAMP_NTZ '1997-01-01 00:00:00' + make_dt_interval(p_size * 30)").alias("loaded_at"),
+    )
+    return o.unionAll(c).unionAll(p)
+
+
+USAGE_SQL = """
+datasets AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_mktsegment = 'BUILDING'
+             UNION ALL SELECT 'r' || CAST(r_regionkey AS VARCHAR) FROM region),
+marts AS (SELECT 'c' || CAST(c_custkey AS VARCHAR) AS id FROM customer WHERE c_acctbal > 8000
+          UNION ALL SELECT 'r' || CAST(r_regionkey AS VARCHAR) FROM region WHERE r_regionkey < 2),
+usage AS (SELECT 'c' || CAST(user_id AS VARCHAR) AS id, 'chart-' || CAST(event_id AS VARCHAR) AS analysis
+          FROM events WHERE event_type = 'view')"""
+
+
+def datasets(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING'").select(_key("c", "c_custkey").alias("id"))
+    return c.unionAll(table(spark, sf, "region").select(_key("r", "r_regionkey").alias("id")))
+
+
+def marts(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").filter("c_acctbal > 8000").select(_key("c", "c_custkey").alias("id"))
+    r = table(spark, sf, "region").filter("r_regionkey < 2").select(_key("r", "r_regionkey").alias("id"))
+    return c.unionAll(r)
+
+
+def usage(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").filter("event_type = 'view'").select(
+        _key("c", "user_id").alias("id"), _key("chart-", "event_id").alias("analysis")
+    )
