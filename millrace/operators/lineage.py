@@ -22,8 +22,23 @@ def _reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def _ids(df: DataFrame, values: Sequence[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(v,) for v in values], "dst string")
+def _ids(df: DataFrame, values: Sequence[str], name: str = "dst") -> DataFrame:
+    """A few given ids as a one-partition DataFrame."""
+    one = df.sparkSession.range(0, 1, 1, 1)
+    return one.select(F.explode(F.array(*[F.lit(v) for v in values])).alias(name))
+
+
+def _both_ways(edges: DataFrame, starts: Sequence[str]) -> DataFrame:
+    """(root, direction, id, hop) for several starts, up and down, in one walk."""
+    steps = edges.select(F.lit("down").alias("direction"), "src", "dst").unionAll(
+        _reverse(edges).select(F.lit("up").alias("direction"), "src", "dst")
+    )
+    roots = _ids(edges, starts, "root").select(
+        F.explode(F.array(F.lit("up"), F.lit("down"))).alias("direction"), F.col("root").alias("dst"), "root"
+    )
+    return reach.closure(
+        steps, roots, frm=("direction", "src"), to=("direction", "dst"), carry=("root",)
+    ).withColumnRenamed("dst", "id")
 
 
 def distinct_edges(edges: DataFrame, keys: Sequence[str], pos: str) -> DataFrame:
@@ -36,12 +51,7 @@ def distinct_edges(edges: DataFrame, keys: Sequence[str], pos: str) -> DataFrame
 
 def lineage_closure(edges: DataFrame, model_id: str) -> DataFrame:
     """All upstream and downstream ids of one model, itself excluded."""
-    start = _ids(edges, [model_id])
-    walks = []
-    for direction, steps in (("up", _reverse(edges)), ("down", edges)):
-        found = reach.closure(steps, start).filter(F.col("dst") != model_id)
-        walks.append(found.select(F.col("dst").alias("id"), F.lit(direction).alias("direction")))
-    return walks[0].unionAll(walks[1])
+    return _both_ways(edges, [model_id]).filter(F.col("id") != model_id).select("id", "direction")
 
 
 # ---------------------------------------------------------------- flows
@@ -240,13 +250,12 @@ def edge_check(models: DataFrame, edges: DataFrame, proposed: DataFrame) -> Data
 
 def between_models(edges: DataFrame, first: str, second: str) -> DataFrame:
     """Models strictly between two models on any path, whichever lies upstream."""
-    found = None
-    for a, b in ((first, second), (second, first)):
-        down = reach.closure(edges, _ids(edges, [a])).filter(F.col("hop") > 0).select("dst")
-        up = reach.closure(_reverse(edges), _ids(edges, [b])).filter(F.col("hop") > 0).select("dst")
-        inner = down.filter(~F.col("dst").isin(a, b)).intersect(up)
-        found = inner if found is None else found.union(inner)
-    return found.distinct().select(F.col("dst").alias("id"))
+    walked = _both_ways(edges, [first, second]).filter("hop > 0")
+    met = walked.filter(~F.col("id").isin(first, second)).groupBy("id").agg(*[
+        F.bool_or((F.col("root") == r) & (F.col("direction") == d)).alias(f"{d}_{i}")
+        for i, r in enumerate((first, second)) for d in ("up", "down")
+    ])
+    return met.filter("(down_0 AND up_1) OR (down_1 AND up_0)").select("id")
 
 
 def component(edges: DataFrame, model_id: str) -> DataFrame:
@@ -258,20 +267,16 @@ def component(edges: DataFrame, model_id: str) -> DataFrame:
 
 def column_path(column_edges: DataFrame, model_id: str, col: str) -> DataFrame:
     """The full upstream and downstream path of one column as (id, col, direction)."""
-    start = column_edges.sparkSession.createDataFrame([(model_id, col)], "to_id string, to_col string")
-    down = reach.closure(column_edges, start, frm=("from_id", "from_col"), to=("to_id", "to_col"))
-    flipped = column_edges.select(
-        F.col("to_id").alias("from_id"), F.col("to_col").alias("from_col"),
-        F.col("from_id").alias("to_id"), F.col("from_col").alias("to_col"),
+    steps = column_edges.select(
+        F.lit("down").alias("direction"), "from_id", "from_col", "to_id", "to_col"
+    ).unionAll(column_edges.select(F.lit("up"), "to_id", "to_col", "from_id", "from_col"))
+    start = _ids(column_edges, ["up", "down"], "direction").select(
+        "direction", F.lit(model_id).alias("to_id"), F.lit(col).alias("to_col")
+    )
+    walked = reach.closure(
+        steps, start, frm=("direction", "from_id", "from_col"), to=("direction", "to_id", "to_col")
     )
-    up = reach.closure(flipped, start, frm=("from_id", "from_col"), to=("to_id", "to_col"))
-    parts = [
-        walk.filter("hop > 0").select(
-            F.col("to_id").alias("id"), F.col("to_col").alias("col"), F.lit(d).alias("direction")
-        )
-        for walk, d in ((up, "up"), (down, "down"))
-    ]
-    return parts[0].unionAll(parts[1])
+    return walked.filter("hop > 0").select(F.col("to_id").alias("id"), F.col("to_col").alias("col"), "direction")
 
 
 def column_lineage_summary(column_edges: DataFrame, columns: DataFrame) -> DataFrame:
