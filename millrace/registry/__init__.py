@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.registry.book import Book, book
 
-_MODULES = ("modelling", "checks", "runs", "graphs")
+_MODULES = ("modelling", "checks", "runs", "graphs", "landing", "shelves", "streams")
 
 
 def all_queries() -> Book:

@@ -112,10 +112,12 @@ def xml_outcomes(responses: DataFrame, record_path: str) -> DataFrame:
 def records_from_xml(responses: DataFrame, record_path: str, *, strict: bool = True) -> DataFrame:
     """One row per record element: leaf text trimmed, attributes dropped, a repeated tag is an array."""
     parts = _parts(record_path)
-    schema = reduce(
-        lambda inner, p: f"struct<`{p}`: {inner}>", reversed(parts[1:]), "array<map<string,string>>"
+    if len(parts) < 2:
+        raise ValueError("the record path names the root tag and at least one tag inside it")
+    inside = reduce(
+        lambda inner, p: f"struct<`{p}`: {inner}>", reversed(parts[2:]), "array<map<string,string>>"
     )
-    body_schema = schema.removeprefix("struct<").removesuffix(">")
+    body_schema = f"`{parts[1]}` {inside}"
     walked = xml_outcomes(responses, record_path)
     if strict:
         wrong = F.col("outcome").isin("path_error", "not_records", "not_xml")

@@ -54,6 +54,17 @@ def _replace(spark: SparkSession, table: str, df: DataFrame) -> None:
     spark.catalog.createTable(table, path=path, source="parquet", schema=df.schema)
 
 
+def _append(spark: SparkSession, table: str, df: DataFrame) -> int:
+    """Append by column name; a table has one writer, so its growth is what was added.
+
+    Both counts read file footers only.
+    """
+    before = spark.table(table).count()
+    df.select(*spark.table(table).columns).write.insertInto(table)
+    spark.catalog.refreshTable(table)
+    return spark.table(table).count() - before
+
+
 def load_raw(
     spark: SparkSession, table: str, batch: DataFrame, *, mode: str = "append",
     dedupe: str | None = None, pos: str | None = None, ingested_at: str,
@@ -73,12 +84,11 @@ def load_raw(
         added, gone = schema_diff(rows.columns, stored)
         if added or gone:
             raise ValueError(f"{table}: columns differ; new: {added or 'none'}, gone: {gone or 'none'}")
-    staged = cut(rows, "batch")
-    loaded = staged.count()
     if exists and mode == "append":
-        staged.select(*spark.table(table).columns).write.insertInto(table)
+        loaded = _append(spark, table, rows)
     else:
-        _replace(spark, table, staged)
+        _replace(spark, table, rows)
+        loaded = spark.table(table).count()
     out: dict[str, Any] = {"table": table, "rows": loaded, "mode": mode, "created": not exists}
     if dedupe and pos:
         out["deduped"] = batch.count() - loaded
@@ -172,7 +182,7 @@ def materialize(
         high = spark.table(name).agg(F.max(newer_than)).head()[0]
         if high is not None:
             fresh = df.filter(F.col(newer_than) > F.lit(high))
-    cut(fresh, "increment").select(*spark.table(name).columns).write.insertInto(name)
+    _append(spark, name, fresh)
     return spark.table(name)
 
 
@@ -253,6 +263,4 @@ def append_history(spark: SparkSession, table: str, incoming: DataFrame, keys: S
 
     if not spark.catalog.tableExists(table):
         spark.catalog.createTable(table, path=fresh_path(spark, table), source="parquet", schema=incoming.schema)
-    new = cut(append_if_absent(spark.table(table), incoming, keys, order), "new")
-    new.select(*spark.table(table).columns).write.insertInto(table)
-    return new.count()
+    return _append(spark, table, append_if_absent(spark.table(table), incoming, keys, order))
