@@ -174,7 +174,8 @@ def _answer(
     if not metrics:
         return rows.select(*(dims or df.columns)).limit(limit)
     plain, medians, names = spec_metrics(metrics, labels)
-    out = percentiles.grouped(rows, dims, plain, medians).select(*dims, *[_q(n) for n in names])
+    distinct = any(not m.get("expr") and _agg_of(m) == "COUNT_DISTINCT" for m in metrics)
+    out = percentiles.grouped(rows, dims, plain, medians, apart=distinct).select(*dims, *[_q(n) for n in names])
     # Dimensions break ties so a limited answer is the same on every run.
     return out.orderBy(F.col(_q(names[0])).desc_nulls_last(), *dims).limit(limit)
 

@@ -302,16 +302,14 @@ def lowest_models(state: DataFrame, k: int = 6, target: float = 90.0) -> DataFra
 
 def quality_matrix(state: DataFrame) -> DataFrame:
     """Model × dimension scores plus the overall score; an unmeasured cell is null."""
-    cell = lambda ok: (
-        F.count_if(_known() & ok).alias, F.count_if(_known() & ok & (F.col("status") == "ok")).alias
+    scored = state.groupBy("model_id", "dimension").agg(
+        F.count_if(_known()).alias("n"), F.count_if(_known() & (F.col("status") == "ok")).alias("p")
     )
     dims = list(st.DIMENSIONS.values())
-    aggs = []
-    for d in dims:
-        n, p = cell(F.col("dimension") == d)
-        aggs += [n(f"_n_{d}"), p(f"_p_{d}")]
-    n, p = cell(F.lit(True))
-    wide = state.groupBy("model_id").agg(*aggs, n("_n"), p("_p")).filter("_n > 0")
+    of = lambda c, d: F.max(F.when(F.col("dimension") == d, F.col(c))).alias(f"_{c}_{d}")
+    wide = scored.groupBy("model_id").agg(
+        F.sum("n").alias("_n"), F.sum("p").alias("_p"), *[of(c, d) for d in dims for c in ("n", "p")]
+    ).filter("_n > 0")
     return wide.select(
         "model_id",
         *[percent(F.col(f"_p_{d}"), F.col(f"_n_{d}"), digits=2).alias(d) for d in dims],

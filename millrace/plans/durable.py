@@ -19,7 +19,11 @@ _local_fallback: dict[str, str] = {}
 
 def durable_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one only where none is set (local tests)."""
-    configured = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF, None)
+    configured = (
+        spark.conf.get(_CONF, None)
+        or spark.sparkContext.getConf().get(_CONF, None)
+        or spark.sparkContext.getCheckpointDir()
+    )
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -36,20 +36,34 @@ def grouped(
     quantiles: Sequence[Quantile],
     *,
     small: int = _SMALL_GROUP,
+    apart: bool = False,
 ) -> DataFrame:
-    """``groupBy(keys).agg(aggs)`` plus one exact percentile column per entry of ``quantiles``."""
+    """``groupBy(keys).agg(aggs)`` plus one exact percentile column per entry of ``quantiles``.
+
+    ``apart`` keeps the percentiles out of the other aggregation: a distinct count there would
+    multiply the groups the percentile buffers are built for.
+    """
     if not quantiles:
         return df.groupBy(*keys).agg(*aggs)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"))
     if (sizes.head()[0] or 0) <= small:
         built_in = [F.percentile(q.value.cast("double"), q.p).alias(q.name) for q in quantiles]
-        return df.groupBy(*keys).agg(*aggs, *built_in)
-    return _bracketed(df, keys, aggs, quantiles)
+        if not apart or not aggs:
+            return df.groupBy(*keys).agg(*aggs, *built_in)
+        return _beside(df.groupBy(*keys).agg(*aggs), df.groupBy(*keys).agg(*built_in), keys)
+    values = _bracketed(df, keys, quantiles)
+    return _beside(df.groupBy(*keys).agg(*aggs), values, keys) if aggs else values
 
 
-def _bracketed(
-    df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], quantiles: Sequence[Quantile]
-) -> DataFrame:
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Two aggregations over the same groups side by side."""
+    if keys:
+        return _join(left, right, list(keys))
+    packed = right.select(F.struct("*").alias("_x")).scalar()
+    return left.withColumn("_x", packed).select(*left.columns, "_x.*")
+
+
+def _bracketed(df: DataFrame, keys: Sequence[str], quantiles: Sequence[Quantile]) -> DataFrame:
     measured = df
     for i, q in enumerate(quantiles):
         measured = measured.withColumn(f"_q{i}", q.value.cast("double"))
@@ -58,7 +72,7 @@ def _bracketed(
         lo, hi = max(0.0, q.p - _SLACK), min(1.0, q.p + _SLACK)
         brackets.append(F.count(f"_q{i}").alias(f"_n{i}"))
         brackets.append(F.percentile_approx(f"_q{i}", [lo, hi], _ACCURACY).alias(f"_b{i}"))
-    stats = cut(measured.groupBy(*keys).agg(*aggs, *brackets), "stats")
+    stats = cut(measured.groupBy(*keys).agg(*brackets), "stats")
     # A group of at most _ACCURACY rows keeps all its values: no bracket (null) is needed.
     bounds = stats.select(*keys, *[
         F.when(F.col(f"_n{i}") > _ACCURACY, F.col(f"_b{i}")).alias(f"_b{i}") for i in range(len(quantiles))
@@ -122,13 +136,8 @@ def _bracketed(
     values = picked.select(*keys, "_i", exact.alias("_x")).groupBy(*keys).agg(
         *[F.max(F.when(F.col("_i") == i, F.col("_x"))).alias(q.name) for i, q in enumerate(quantiles)]
     )
-    plain = stats.drop(*[f"_n{i}" for i in range(len(quantiles))], *[f"_b{i}" for i in range(len(quantiles))])
-    if keys:
-        return _join(plain, values, list(keys), how="left")
-    out = plain
-    packed = values.select(F.struct("*").alias("_x")).scalar()
-    out = out.withColumn("_x", packed)
-    return out.select(*plain.columns, "_x.*")
+    # A group without any value has no ranked rows and keeps a null.
+    return _join(stats.select(*keys), values, list(keys), how="left") if keys else values
 
 
 def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:

@@ -8,6 +8,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans.durable import cut
+from millrace.plans.ordered import running
+
 SAMPLE_ROWS = 50
 _BOM = "﻿"
 _FILE, _BLOCK, _ID = "_file", "_block", "_line"
@@ -83,8 +86,6 @@ def jsonl_records(spark: SparkSession, path: str) -> DataFrame:
 
 def jsonl_bad_lines(spark: SparkSession, path: str) -> DataFrame:
     """Malformed lines with their 1-based number in their file."""
-    from millrace.plans.ordered import running
-
     lines = _lines(spark, path)
     numbered = running(lines, [_FILE], [_BLOCK, _ID], number="line_number")
     return numbered.filter((F.trim("value") != "") & _malformed(F.col("value"))).select(
@@ -131,10 +132,13 @@ def read_text_with_fallback(spark: SparkSession, path: str) -> DataFrame:
     file, from all of its lines. Only the lines of the other files go through Python.
     """
     lines = _lines(spark, path)
-    utf8 = lines.groupBy(_FILE).agg(F.bool_and(F.is_valid_utf8("value")).alias("_utf8"))
+    # One row per file, written so that its true size decides how it is joined.
+    utf8 = cut(lines.groupBy(_FILE).agg(F.bool_and(F.is_valid_utf8("value")).alias("_utf8")), "encodings")
     marked = lines.join(utf8, _FILE)
     good = marked.filter("_utf8").withColumn("value", F.replace("value", F.lit(_BOM), F.lit("")))
-    decode = F.pandas_udf(_decode_korean, "string")
+    # Non-deterministic, or a filter on the decoded text would be pushed below the join and the
+    # decoder would see the UTF-8 lines as well.
+    decode = F.pandas_udf(_decode_korean, "string").asNondeterministic()
     other = marked.filter("NOT _utf8").withColumn("value", decode(F.col("value").cast("binary")))
     return good.unionByName(other).select(
         "value", F.col(_FILE).alias("file"), F.col(_BLOCK).alias("block"), F.col(_ID).alias("line"),

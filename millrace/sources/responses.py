@@ -33,35 +33,41 @@ def _kind(v: Column) -> Column:
     return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
 
 
+def _as_records(found: Column) -> Column:
+    """The record maps a value holds: of an array its objects, of an object itself."""
+    elements = F.transform(
+        F.try_variant_get(found, "$", "array<variant>"),
+        lambda e: F.try_variant_get(e, "$", "map<string,string>"),
+    )
+    single = F.try_variant_get(found, "$", "map<string,string>")
+    return F.coalesce(
+        F.filter(elements, lambda r: r.isNotNull()), F.when(single.isNotNull(), F.array(single))
+    )
+
+
 def walk_outcomes(responses: DataFrame, record_path: str) -> DataFrame:
     """What each JSON body holds at the path.
 
     ``outcome`` is ``records``, ``empty`` (an empty value on the way or at the end: no data),
     ``path_error`` (a key is missing although there was something to look in), ``not_records`` or
-    ``not_json``; ``found`` is the value as a variant.
+    ``not_json``; ``records`` holds the record maps. The body is parsed once and only bodies whose
+    walk breaks off are looked at again.
     """
-    body = F.try_parse_json("body")
     parts = _parts(record_path)
-    parsed = responses.withColumn("_v", body)
-    state = F.when(F.col("_v").isNull(), "not_json")
+    walked = responses.withColumn("_v0", F.try_parse_json("body"))
+    for i, part in enumerate(parts):
+        walked = walked.withColumn(f"_v{i + 1}", F.try_variant_get(f"_v{i}", _json_path([part]), "variant"))
+    state = F.when(F.col("_v0").isNull(), "not_json")
     for i in range(len(parts)):
-        here = F.try_variant_get("_v", _json_path(parts[:i]), "variant")
-        inside = F.try_variant_get("_v", _json_path(parts[: i + 1]), "variant")
-        state = state.when(_is_empty(here), "empty").when(
-            (_kind(here) != "OBJECT") | inside.isNull(), "path_error"
-        )
-    found = F.try_variant_get("_v", _json_path(parts), "variant")
-    objects = F.filter(
-        F.try_variant_get(found, "$", "array<variant>"), lambda e: _kind(e) == "OBJECT"
-    )
-    text = F.to_json(found)
+        broken = F.col(f"_v{i + 1}").isNull()
+        state = state.when(broken & _is_empty(F.col(f"_v{i}")), "empty").when(broken, "path_error")
+    found = F.col(f"_v{len(parts)}")
+    walked = walked.withColumn("records", _as_records(found))
     state = (
-        state.when(text.isin("null", '""', "[]"), "empty")
-        .when(_kind(found) == "OBJECT", "records")
-        .when((_kind(found) == "ARRAY") & (F.size(objects) > 0), "records")
-        .otherwise("not_records")
+        state.when(F.size("records") > 0, "records")
+        .when(F.to_json(found).isin("null", '""', "[]"), "empty").otherwise("not_records")
     )
-    return parsed.select(*responses.columns, state.alias("outcome"), found.alias("found"))
+    return walked.select(*responses.columns, state.alias("outcome"), "records")
 
 
 def records_from_json(responses: DataFrame, record_path: str, *, strict: bool = True) -> DataFrame:
@@ -71,23 +77,13 @@ def records_from_json(responses: DataFrame, record_path: str, *, strict: bool =
     query at a path error, scalars or a body that is no JSON; otherwise such bodies give no rows.
     """
     walked = walk_outcomes(responses, record_path)
+    records = F.col("records")
     if strict:
         wrong = F.col("outcome").isin("path_error", "not_records", "not_json")
-        walked = walked.withColumn(
-            "outcome",
-            F.when(wrong, F.raise_error(F.concat(F.lit(f"{record_path}: "), F.col("outcome"))))
-            .otherwise(F.col("outcome")),
-        )
-    rows = F.when(
-        _kind(F.col("found")) == "OBJECT", F.array(F.col("found"))
-    ).otherwise(F.try_variant_get("found", "$", "array<variant>"))
+        problem = F.raise_error(F.concat(F.lit(f"{record_path}: "), F.col("outcome")))
+        records = F.when(wrong, problem.cast(walked.schema["records"].dataType)).otherwise(records)
     keep = [c for c in responses.columns if c != "body"]
-    exploded = walked.filter(F.col("outcome") == "records").select(
-        *keep, F.posexplode(F.filter(rows, lambda e: _kind(e) == "OBJECT")).alias("pos", "_e")
-    )
-    return exploded.select(
-        *keep, "pos", F.try_variant_get("_e", "$", "map<string,string>").alias("record")
-    )
+    return walked.select(*keep, F.posexplode(records).alias("pos", "record"))
 
 
 def xml_outcomes(responses: DataFrame, record_path: str) -> DataFrame:

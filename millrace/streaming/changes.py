@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.plans.durable import fresh_path
 from millrace.plans.ordered import previous
 
-_OUT = "id string, seen_at timestamp, state string"
-
 
 def status_changes(observed: DataFrame, *, key: str = "id", order: str = "seen_at", tie: str = "tick") -> DataFrame:
     """Batch form over ``(id, seen_at, tick, state)``: first observations and every later change."""
@@ -39,26 +33,36 @@ def end_marker(observed: DataFrame, order: DataFrame, *, run: str = "run") -> Da
     )
 
 
-def _emit(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keep one state per node; batches arrive in pieces, so a node's rows are never all in memory."""
-    last = state.get[0] if state.exists else None
-    for rows in batches:
-        rows = rows.sort_values(["seen_at", "tick"], kind="stable")
-        before = rows["state"].shift(1)
-        before.iloc[0] = last
-        changed = rows["state"] != before
-        last = rows["state"].iloc[-1]
-        out = rows.loc[changed, ["id", "seen_at", "state"]]
-        if len(out):
-            yield out
-    state.update((last,))
+def status_change_stream(
+    observed: DataFrame, root: str, *, checkpoint: str | None = None
+) -> None:
+    """Streaming form: process everything available, appending changes under ``root``.
 
+    The state is a table of its own, one last observation per node, rewritten per step: each batch
+    is compared together with it through the same range-partitioned lookup as the batch form, so
+    neither a busy node nor the order of rows inside a batch matters. A repeated step starts from
+    the state before it and overwrites its own output.
+    """
+    spark = observed.sparkSession
+    cols = ["id", "seen_at", "tick", "state"]
 
-def status_change_stream(observed: DataFrame) -> DataFrame:
-    """Streaming form: the last state of each node is the operator's state.
+    def step(batch: DataFrame, step_id: int) -> None:
+        rows = batch.select(*cols).withColumn("_known", F.lit(False))
+        if step_id > 0:
+            known = spark.read.parquet(f"{root}/state/step={step_id - 1}").select(*cols)
+            rows = rows.unionByName(known.withColumn("_known", F.lit(True)))
+        changed = status_changes(rows).filter(~F.col("_known")).select(*cols)
+        changed.write.mode("overwrite").parquet(f"{root}/changes/step={step_id}")
+        last = rows.groupBy("id").agg(F.max(F.struct("seen_at", "tick", "state")).alias("_l"))
+        last.select("id", "_l.*").write.mode("overwrite").parquet(f"{root}/state/step={step_id}")
 
-    Observations of a node must arrive in time order across micro-batches, as a poller sends them.
-    """
-    return observed.groupBy("id").applyInPandasWithState(
-        _emit, _OUT, "last string", "append", GroupStateTimeout.NoTimeout
+    query = (
+        observed.writeStream.foreachBatch(step)
+        .option("checkpointLocation", checkpoint or fresh_path(spark, "stream"))
+        .trigger(availableNow=True).start()
     )
+    query.awaitTermination()
+
+
+def emitted_changes(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/changes/step=*")
