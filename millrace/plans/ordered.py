@@ -1,8 +1,9 @@
 """Row numbers, running sums and previous-row lookups that never put one key into one task.
 
 A plain window sends a whole partition key to a single task. Here rows are range-partitioned by
-(keys, order), so a key holding a third of the table spans many partitions; each partition is
-scanned on its own and the pieces are stitched with one small summary row per (key, partition).
+(keys, order), so a key holding a third of the table spans many partitions, and each piece is
+scanned on its own. What a piece must know of the pieces before it (their count, sums, last row)
+is put in front of it as one extra row, so the stitching needs no join and no second shuffle.
 The order columns must be unique within a key, else equal rows are numbered arbitrarily.
 """
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from millrace.plans.durable import cut
 
 _PART, _SLOT = "_part", "_slot"
-_GLOBAL = "_all"
+_HEAD = -1  # the slot of the extra row in front of a piece
 
 
 def _layout(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -40,32 +41,29 @@ def running(
     """Add a 1-based row number and/or inclusive running sums per key, in the given order."""
     sums = dict(sums or {})
     laid = _layout(df, keys, order)
-    group = [*keys, _PART]
-    local = Window.partitionBy(*group).orderBy(_SLOT)
-    upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # One summary row per (key, partition); the window over it has at most one row per partition.
-    totals = laid.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_s_{o}") for o, c in sums.items()]
+    piece = [*keys, _PART]
+    # One summary row per (key, partition): a key's rows here are at most one per partition.
+    totals = laid.groupBy(*piece).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_v_{o}") for o, c in sums.items()]
     )
-    before = (
-        Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        *group,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"),
-        *[F.coalesce(F.sum(f"_s_{o}").over(before), F.lit(0)).alias(f"_s0_{o}") for o in sums],
+    across = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = across.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    heads = totals.select(
+        *piece,
+        F.lit(_HEAD).cast("long").alias(_SLOT),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"),
+        *[F.coalesce(F.sum(f"_v_{o}").over(before), F.lit(0)).alias(f"_v_{o}") for o in sums],
     )
-    scanned = laid
-    if number:
-        scanned = scanned.withColumn("_rn", F.row_number().over(local))
-    for out, col in sums.items():
-        scanned = scanned.withColumn(f"_r_{out}", F.sum(col).over(upto))
-    joined = _null_safe_join(scanned, starts, group)
+    rows = laid.select(
+        "*", F.lit(1).cast("long").alias("_n"), *[F.col(c).alias(f"_v_{o}") for o, c in sums.items()]
+    )
+    upto = Window.partitionBy(*piece).orderBy(_SLOT).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    scanned = rows.unionByName(heads, allowMissingColumns=True)
     outputs = [F.col(c) for c in df.columns]
-    if number:
-        outputs.append((F.col("_rn") + F.col("_n0")).cast("long").alias(number))
-    outputs += [(F.col(f"_r_{o}") + F.col(f"_s0_{o}")).alias(o) for o in sums]
-    return joined.select(*outputs)
+    for out, source in [*([(number, "_n")] if number else []), *[(o, f"_v_{o}") for o in sums]]:
+        scanned = scanned.withColumn(f"_r_{out}", F.sum(source).over(upto))
+        outputs.append(F.col(f"_r_{out}").alias(out))
+    return scanned.filter(F.col(_SLOT) != _HEAD).select(*outputs)
 
 
 def previous(
@@ -78,19 +76,16 @@ def previous(
 ) -> DataFrame:
     """Add each row's predecessor values within its key (null on the first row, flagged)."""
     laid = _layout(df, keys, order)
-    group = [*keys, _PART]
-    local = Window.partitionBy(*group).orderBy(_SLOT)
+    piece = [*keys, _PART]
     carried = F.struct(*[F.col(c).alias(o) for o, c in cols.items()])
-    tails = laid.groupBy(*group).agg(F.max_by(carried, _SLOT).alias("_tail"))
+    tails = laid.groupBy(*piece).agg(F.max_by(carried, _SLOT).alias("_tail"))
     across = Window.partitionBy(*keys).orderBy(_PART)
-    seams = tails.select(*group, F.lag("_tail").over(across).alias("_carry"))
-    scanned = laid.withColumn("_prev", F.lag(carried).over(local)).withColumn(
-        "_rn", F.row_number().over(local)
-    )
-    joined = _null_safe_join(scanned, seams, group).withColumn(
-        "_prev", F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev"))
-    )
-    return joined.select(
+    heads = tails.select(*piece, F.lit(_HEAD).cast("long").alias(_SLOT), F.lag("_tail").over(across).alias("_row"))
+    rows = laid.withColumn("_row", carried)
+    scanned = rows.unionByName(heads.filter(F.col("_row").isNotNull()), allowMissingColumns=True)
+    along = Window.partitionBy(*piece).orderBy(_SLOT)
+    looked = scanned.withColumn("_prev", F.lag("_row").over(along)).filter(F.col(_SLOT) != _HEAD)
+    return looked.select(
         *[F.col(c) for c in df.columns],
         *[F.col(f"_prev.{o}").alias(o) for o in cols],
         F.col("_prev").isNull().alias(first),
@@ -100,12 +95,3 @@ def previous(
 def number_rows(df: DataFrame, order: Sequence[Column | str], name: str) -> DataFrame:
     """Global 1-based numbering in the given order without a single-task window."""
     return running(df, [], order, number=name)
-
-
-def _null_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
-    renamed = right.select(*[F.col(c).alias(f"_k_{c}") if c in on else F.col(c) for c in right.columns])
-    cond = None
-    for c in on:
-        part = left[c].eqNullSafe(renamed[f"_k_{c}"])
-        cond = part if cond is None else cond & part
-    return left.join(renamed, cond, "left")

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from millrace.plans.durable import cut
 
 _SMALL_GROUP = 50_000
+_BROADCAST_GROUPS = 100_000
+_SALTS = 16
 _ACCURACY = 10_000
 _SLACK = 5 / _ACCURACY
 
@@ -80,14 +82,18 @@ def _bracketed(df: DataFrame, keys: Sequence[str], quantiles: Sequence[Quantile]
 
     rows = measured.select(*keys, *[f"_q{i}" for i in range(len(quantiles))])
     if keys:
-        renamed = bounds.select(
-            *[F.col(k).alias(f"_k_{k}") for k in keys], *[f"_b{i}" for i in range(len(quantiles))]
-        )
-        cond = None
-        for k in keys:
-            part = rows[k].eqNullSafe(renamed[f"_k_{k}"])
-            cond = part if cond is None else cond & part
-        bounded = rows.join(renamed, cond)
+        names = [f"_b{i}" for i in range(len(quantiles))]
+        renamed = bounds.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *names)
+        if stats.count() <= _BROADCAST_GROUPS:
+            bounded = rows.join(F.broadcast(renamed), _equal(rows, renamed, keys))
+        else:
+            # Too many groups to broadcast: each group's rows are spread over salts, which also
+            # keeps the counting below from staying in the join's partitions.
+            salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(_SALTS)))
+            copies = renamed.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+            bounded = salted.join(
+                copies, _equal(salted, copies, keys) & (salted["_salt"] == copies["_s"])
+            )
     else:
         packed = bounds.select(F.struct("*").alias("_b")).scalar()
         bounded = rows.withColumn("_b", packed).select("*", "_b.*")
@@ -140,6 +146,14 @@ def _bracketed(df: DataFrame, keys: Sequence[str], quantiles: Sequence[Quantile]
     return _join(stats.select(*keys), values, list(keys), how="left") if keys else values
 
 
+def _equal(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Null-safe equality of the group keys with their ``_k_`` copies."""
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & left[k].eqNullSafe(right[f"_k_{k}"])
+    return cond
+
+
 def _join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     renamed = right.select(*[F.col(c).alias(f"_j_{c}") if c in on else F.col(c) for c in right.columns])
     cond = None

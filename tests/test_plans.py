@@ -58,8 +58,9 @@ def test_previous_crosses_partitions(skewed):
     assert {(r.k, r.pos): (r.before, r.is_first) for r in got} == want
 
 
-@pytest.mark.parametrize("small", [0, 10**6])
-def test_percentiles_match_numpy(spark, small):
+@pytest.mark.parametrize("small,broadcast", [(0, 10**6), (0, 0), (10**6, 0)])
+def test_percentiles_match_numpy(spark, monkeypatch, small, broadcast):
+    monkeypatch.setattr(percentiles, "_BROADCAST_GROUPS", broadcast)
     rng = np.random.default_rng(3)
     hot = rng.integers(0, 10**6, 30_000) / 100
     tiny = np.array([1.0, 2.0])
