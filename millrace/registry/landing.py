@@ -620,11 +620,11 @@ def materialize(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.entry(
     "load_seed",
-    "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation",
+    "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier",
 )
 def load_seed(spark: SparkSession, sf: str) -> DataFrame:
-    path, name = fresh_path(spark, "seed"), _fresh_table("seed_nation")
-    table(spark, sf, "nation").select("n_nationkey", "n_name").write.option("header", True).csv(path)
+    path, name = fresh_path(spark, "seed"), _fresh_table("seed_supplier")
+    table(spark, sf, "supplier").select("s_suppkey", "s_name").write.option("header", True).csv(path)
     tables.load_seed(spark, name, path)
     return spark.table(name)
 
@@ -644,14 +644,15 @@ def append_history(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.entry(
     "table_preview",
-    """SELECT r_regionkey, r_name, hex AS bytes, 1.5 AS price, day FROM (
-         SELECT r_regionkey, r_name, lower(hex(encode(r_name))) AS hex, '2024-01-0' || CAST(r_regionkey + 1 AS VARCHAR) AS day FROM region)""".replace("1.5 AS price", "CAST(1.5 AS DOUBLE) AS price"),
+    """SELECT o_orderpriority, lower(hex(encode(o_orderpriority))) AS bytes, CAST(count(*) AS DOUBLE) AS price,
+              strftime(max(o_orderdate), '%Y-%m-%d') AS day, strftime(min(o_orderdate), '%Y-%m-%dT%H:%M:%S') AS since
+       FROM orders GROUP BY 1""",
 )
 def preview(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "region").select(
-        "r_regionkey", "r_name", F.col("r_name").cast("binary").alias("bytes"),
-        F.lit("1.50").cast("decimal(9,2)").alias("price"),
-        F.date_add(F.lit("2024-01-01").cast("date"), F.col("r_regionkey")).alias("day"),
+    rows = table(spark, sf, "orders").groupBy("o_orderpriority").agg(
+        F.max(F.col("o_orderpriority").cast("binary")).alias("bytes"),
+        F.count(F.lit(1)).cast("decimal(18,2)").alias("price"),
+        F.max("o_orderdate").cast("date").alias("day"), F.min("o_orderdate").alias("since"),
     )
     return tables.preview(rows, 200)
 

@@ -243,13 +243,18 @@ def analyze_kpi(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumn("mid", half_up(F.col("mid"), 4))
 
 
-@book.entry("analyze_raw_rows", "SELECT n_name, n_regionkey FROM nation WHERE n_name LIKE 'NATION_1%'")
+@book.entry(
+    "analyze_raw_rows",
+    "SELECT c_name, c_nationkey FROM customer WHERE c_acctbal < -900 AND c_name LIKE 'Customer#%'",
+)
 def analyze_raw(spark: SparkSession, sf: str) -> DataFrame:
     spec = {
-        "viz": "table", "dimensions": ["n_name", "n_regionkey"],
-        "filters": [{"col": "n_name", "op": "like", "val": "NATION_1%"}], "limit": 1000,
+        "viz": "table", "dimensions": ["c_name", "c_nationkey"], "limit": 1000,
+        "filters": [
+            {"col": "c_acctbal", "op": "<", "val": -900}, {"col": "c_name", "op": "like", "val": "Customer#%"},
+        ],
     }
-    return an.analyze(table(spark, sf, "nation"), spec)
+    return an.analyze(table(spark, sf, "customer"), spec)
 
 
 @book.entry(
