@@ -680,7 +680,7 @@ def list_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.entry(
     "export_csv",
-    "SELECT count(*) AS rows, true AS has_bom FROM customer",
+    "SELECT least(count(*), 10000) AS rows, true AS has_bom FROM customer",
 )
 def export_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "export")
