@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, mixing, ngram_join, token_ids, toxicity
+from millrace.llm import decontaminate, mixing, ngram_join, paragraphs, suffixes, token_ids, toxicity
 from millrace.llm.frames import read, split_of
 from millrace.llm.oracles import ORACLES
 
@@ -40,6 +40,12 @@ def op3_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids.round_trip(read(spark, sf, "documents"), tokenizer_path())
 
 
+@query
+def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = suffixes.remove_repeats(read(spark, sf, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op7_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
     return ngram_join.join(read(spark, sf, "documents"))
@@ -50,6 +56,15 @@ def op8_benchmark_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.report(read(spark, sf, "documents"), read(spark, sf, "benchmark"))
 
 
+@query
+def op9_paragraph_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    kept = paragraphs.remove_near_copies(read(spark, sf, "documents"))
+    return kept.select(
+        "doc_id", "n_paragraphs", "n_removed", F.col("removed").alias("removed_paragraphs"), "keepers",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     documents = read(spark, sf, "documents")

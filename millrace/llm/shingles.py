@@ -35,8 +35,13 @@ _ODD = _RNG.integers(1, 2**62, SKETCH, dtype=np.uint64) * np.uint64(2) + np.uint
 _ADD = _RNG.integers(1, 2**62, SKETCH, dtype=np.uint64)
 
 
-def shingle_codes(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle codes of each text, sorted, end to end; and the n + 1 offsets of the texts."""
+def shingle_codes(
+    raw: np.ndarray, offsets: np.ndarray, words: int = WORDS, short: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle codes of each text, sorted, end to end; and the n + 1 offsets of the texts.
+
+    Without ``short``, a text of fewer than ``words`` words has no shingle.
+    """
     n = len(offsets) - 1
     if len(raw) == 0:
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
@@ -64,15 +69,15 @@ def shingle_codes(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> t
         grams, owner = mix(grams[whole]), doc[:m][whole]
     else:
         grams, owner = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    short = np.flatnonzero((count > 0) & (count < words))
-    if len(short):
-        extra = np.zeros(len(short), np.uint64)
+    few = np.flatnonzero((count > 0) & (count < words))
+    if short and len(few):
+        extra = np.zeros(len(few), np.uint64)
         for k in range(words - 1):
-            has = count[short] > k
-            at = np.minimum(first[short] + k, len(codes) - 1)
+            has = count[few] > k
+            at = np.minimum(first[few] + k, len(codes) - 1)
             extra = np.where(has, extra * np.uint64(BASE) + codes[at], extra)
-        grams = np.r_[grams, mix(extra + count[short].astype(np.uint64))]
-        owner = np.r_[owner, short]
+        grams = np.r_[grams, mix(extra + count[few].astype(np.uint64))]
+        owner = np.r_[owner, few]
     order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
     fresh = np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])]
