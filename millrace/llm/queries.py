@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, mixing, ngram_join, paragraphs, suffixes, token_ids, toxicity
+from millrace.llm import decontaminate, mixing, ngram_join, paragraphs, suffixes, token_ids, toxicity, vectors
 from millrace.llm.frames import read, split_of
 from millrace.llm.oracles import ORACLES
 
@@ -40,6 +40,11 @@ def op3_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids.round_trip(read(spark, sf, "documents"), tokenizer_path())
 
 
+@query
+def op4_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.near_vectors(read(spark, sf, "embeddings"))
+
+
 @query
 def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     kept = suffixes.remove_repeats(read(spark, sf, "documents"))
