@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, mixing, ngram_join, paragraphs, suffixes, token_ids, toxicity, vectors
+from millrace.llm import decontaminate, languages, mixing, ngram_join, paragraphs, suffixes, token_ids, toxicity, vectors
 from millrace.llm.frames import read, split_of
 from millrace.llm.oracles import ORACLES
 
@@ -35,6 +35,13 @@ def op1_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return taken.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+@query
+def op2_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    documents = read(spark, sf, "documents")
+    found = languages.predict(documents, languages.train(documents))
+    return found.select("doc_id", (split_of("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+
+
 @query
 def op3_token_ids(spark: SparkSession, sf: str) -> DataFrame:
     return token_ids.round_trip(read(spark, sf, "documents"), tokenizer_path())
