@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, languages, mixing, ngram_join, paragraphs, suffixes, token_ids, toxicity, vectors
+from millrace.llm import decontaminate, languages, mixing, ngram_join, pages, paragraphs, suffixes, token_ids, toxicity, vectors
 from millrace.llm.frames import read, split_of
 from millrace.llm.oracles import ORACLES
 
@@ -52,6 +52,12 @@ def op4_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.near_vectors(read(spark, sf, "embeddings"))
 
 
+@query
+def op5_html_text(spark: SparkSession, sf: str) -> DataFrame:
+    table = read(spark, sf, "pages")
+    return pages.main_texts(table, pages.train(table))
+
+
 @query
 def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     kept = suffixes.remove_repeats(read(spark, sf, "documents"))
