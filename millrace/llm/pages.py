@@ -199,11 +199,15 @@ def _above(tree: Tree, k: int) -> Iterator[int]:
 def fit(pages: list[str]) -> Model:
     step, prior = _PRIOR_STEP.copy(), _prior_looks()
     looks = np.zeros_like(prior)
-    for page in pages:
+    for n, page in enumerate(pages):
         tree = parse(page)
         state = label(tree)
         if state is None:
             continue
+        if n % 2:  # every other page hides the name of its article, so that plain blocks can start one too
+            for k, kind in enumerate(tree.kind):
+                if kind == 0:
+                    tree.kind[k], tree.look[k] = 2, 24
         for k in range(1, len(state)):
             step[tree.kind[k], state[tree.parent[k]], state[k]] += 1
             looks[state[k], tree.look[k]] += 1
