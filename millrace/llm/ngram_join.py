@@ -126,7 +126,7 @@ def join(documents: DataFrame, *, least: float = S.SIMILARITY, recall: float = R
         levels = _buckets(named.select("id", "tokens"))
         links = None
         for level in levels:
-            rows = S.in_blocks(level, "bucket", 4 * SMALL).join(named.select("id", "sketch"), "id")
+            rows = S.in_blocks(level, "bucket", S.SKETCH_BLOCK).join(named.select("id", "sketch"), "id")
             found = S.similar_links(rows, ALIKE)
             links = found if links is None else links.unionAll(found)
         groups = components(cut(links, "alike"))

@@ -23,6 +23,7 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCH = 64
 BLOCK = 256
+SKETCH_BLOCK = 2_048  # sketches are small, so more of them meet in one task
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -166,9 +167,9 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
 def local_roots(near: np.ndarray) -> np.ndarray:
     """Smallest reachable index of each row of a symmetric adjacency matrix."""
     n = len(near)
-    root = np.arange(n)
+    root = np.arange(n, dtype=np.int32)
     while True:
-        best = np.where(near, root[None, :], n).min(1)
+        best = np.concatenate([np.where(near[k : k + 512], root, np.int32(n)).min(1) for k in range(0, n, 512)])
         best = np.minimum(root, best)
         best = best[best]
         if (best == root).all():
