@@ -33,7 +33,7 @@ from millrace.llm.frames import cut, tidy_shuffles, up_to_bound
 RECALL = 0.9999
 SMALL = 64
 DEPTH = 3
-FURTHER = 4  # tokens on which a member of a large bucket moves on
+FURTHER = 2  # tokens on which a member of a large bucket moves on, in each of the buckets it is in
 ALIKE = 0.55  # share of sketch places; 64 places at similarity 0.8 fall below it about once in 10^6
 BROADCAST_ROWS = 2_000_000
 

@@ -184,7 +184,7 @@ def similar_links(buckets: DataFrame, least: float) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found_a, found_b = [], []
+        found_a, found_b, size = [], [], 0
         for table in groups(batches, 3):
             n = table.num_rows
             if n < 2:
@@ -201,17 +201,20 @@ def similar_links(buckets: DataFrame, least: float) -> DataFrame:
             tied = np.flatnonzero(root != np.arange(n))
             found_a.append(ids[root[tied]])
             found_b.append(ids[tied])
-            if len(found_a) > 500:
+            size += len(tied)
+            if size > 100_000:
                 yield _links(found_a, found_b)
-                found_a, found_b = [], []
-        if found_a:
+                found_a, found_b, size = [], [], 0
+        if size:
             yield _links(found_a, found_b)
 
     return _by_block(buckets, ["bucket", "i", "j"], ["id", "sketch"]).mapInArrow(run, "a long, b long").distinct()
 
 
 def _links(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+    """Distinct links; alike sets share many buckets."""
+    pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
 
 def _by_block(df: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
