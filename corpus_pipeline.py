@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import decontaminate, mixing, ngram_join, token_ids, toxicity
-from millrace.llm.frames import cut
+from millrace.llm.frames import cut, reach_workers
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -58,6 +58,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
+    reach_workers(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         docs = cut(stage(spark, docs, sf_dir), f"stage-{name}")

@@ -1,17 +1,17 @@
-"""Small helpers shared by the operators: tables, bounded samples, settings and Arrow maps."""
+"""Small helpers shared by the operators: tables, folds, checked broadcasts and settings."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.plans.durable import cut
 
-__all__ = ["cut", "per_batch", "read", "split_of", "tidy_shuffles", "up_to_bound"]
+__all__ = ["cut", "reach_workers", "read", "split_of", "tidy_shuffles", "up_to_bound"]
 
 
 def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -24,35 +24,20 @@ def split_of(doc_id: str | Column, buckets: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % buckets
 
 
-def per_batch(
-    df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None]
-) -> DataFrame:
-    """``mapInArrow`` with a stateless function per batch; a dict is built into a batch."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = fn(batch)
-            if isinstance(out, dict):
-                out = pa.RecordBatch.from_arrays(
-                    [a if isinstance(a, (pa.Array, pa.ChunkedArray)) else pa.array(a, f.type)
-                     for a, f in ((out[f.name], f) for f in arrow)],
-                    schema=arrow,
-                )
-            if out is not None and out.num_rows:
-                yield out
-
-    return df.mapInArrow(run, schema)
-
-
 def up_to_bound(small: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint where a count proves ``small`` within ``rows``; beyond it Spark shuffles."""
     return F.broadcast(small) if small.limit(rows + 1).count() <= rows else small
 
 
+def reach_workers(spark: SparkSession) -> None:
+    """Let the Python workers of a local session import this package; a cluster gets it by --py-files or an install."""
+    context = spark.sparkContext
+    root = str(Path(__file__).resolve().parents[2])
+    known = context.environment.get("PYTHONPATH", "")
+    if context.master.startswith("local") and root not in known.split(":"):
+        context.environment["PYTHONPATH"] = ":".join(filter(None, [root, known]))
+
+
 @contextmanager
 def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
     """Drop the shuffle files of each finished query inside, as every step ends in a written table."""

@@ -3,22 +3,6 @@
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
-OP1 = r"""
-WITH RECURSIVE sized AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-totals AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
-placed AS (
-  SELECT source, source_size, 2.0 * source_size AS cap,
-         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3.0 WHEN 1 THEN 1.0 ELSE 2.0 END AS weight
-  FROM totals),
-laid AS (
-  SELECT *, cap / weight AS ratio,
-    (1.5 * sum(source_size) OVER () - (sum(cap) OVER o - cap)) / (sum(weight) OVER () - (sum(weight) OVER o - weight)) AS level
-  FROM placed WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
-chosen AS (SELECT arg_min(level, ratio) AS level FROM laid WHERE level <= ratio)
-SELECT source_size, count(*) AS documents, sum(size)::BIGINT AS words FROM sized JOIN totals USING (source) GROUP BY ALL
-"""
-
 OP8 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS w FROM documents),
 i AS (SELECT item_id, regexp_extract_all({_LOW}, '{_WORD}') AS w FROM benchmark WHERE item_id IS NOT NULL),

@@ -23,7 +23,7 @@ from millrace.llm import shingles as S
 from millrace.llm.bytesets import mix, pieces, text_buffer
 from millrace.llm.components import components
 from millrace.llm.frames import cut, tidy_shuffles, up_to_bound
-from millrace.llm.suffixes import _numbered as numbered
+from millrace.llm.suffixes import NO_ID, named, numbered
 
 RECALL = 0.9995
 BROADCAST_ROWS = 2_000_000
@@ -81,7 +81,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, codes) of the wanted classes, from one paragraph of each."""
     lists = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("one").alias("want"))
     lists = cut(lists, "want")
-    on = docs["doc_id"].eqNullSafe(lists["_id"]) & (docs["row"] == lists["_row"])
+    on = (docs["doc_id"] == lists["_id"]) & (docs["row"] == lists["_row"])
     texts = docs.join(up_to_bound(lists, BROADCAST_ROWS), on).select("want", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,9 +146,9 @@ def remove_near_copies(documents: DataFrame, *, least: float = S.SIMILARITY, rec
         docs = numbered(documents)
         gone = near_copies(docs, least=least, recall=recall)
         lists = gone.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
-            F.array_sort(F.collect_list("line")).alias("lines"), F.array_sort(F.collect_set("keeper")).alias("keepers")
+            F.array_sort(F.collect_list("line")).alias("lines"), F.array_sort(F.collect_set(F.nullif("keeper", F.lit(NO_ID)))).alias("keepers")
         )
-        joined = docs.join(lists, docs["doc_id"].eqNullSafe(lists["_id"]) & (docs["row"] == lists["_row"]), "left")
+        joined = docs.join(lists, (docs["doc_id"] == lists["_id"]) & (docs["row"] == lists["_row"]), "left")
         none = F.array().cast("array<int>")
         cells = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
         shaped = joined.select(
@@ -159,6 +159,6 @@ def remove_near_copies(documents: DataFrame, *, least: float = S.SIMILARITY, rec
             F.array_join(F.filter("cells", lambda _, k: ~F.array_contains("removed", k)), "\n")
         )
         return shaped.select(
-            "doc_id", F.size("cells").cast("long").alias("n_paragraphs"), F.size("removed").cast("long").alias("n_removed"),
+            named("doc_id").alias("doc_id"), F.size("cells").cast("long").alias("n_paragraphs"), F.size("removed").cast("long").alias("n_removed"),
             "removed", "keepers", kept.alias("kept"),
         )

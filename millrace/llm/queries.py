@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, languages, mixing, ngram_join, pages, paragraphs, suffixes, token_ids, toxicity, vectors
-from millrace.llm.frames import read, split_of
+from millrace.llm.frames import reach_workers, read, split_of
 from millrace.llm.oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,7 +25,11 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    def ready(spark: SparkSession, sf: str) -> DataFrame:
+        reach_workers(spark)
+        return fn(spark, sf)
+
+    QUERIES[fn.__name__] = ready
     return fn
 
 

@@ -79,6 +79,8 @@ def shingle_codes(
             extra = np.where(has, extra * np.uint64(BASE) + codes[at], extra)
         grams = np.r_[grams, mix(extra + count[few].astype(np.uint64))]
         owner = np.r_[owner, few]
+    if not len(grams):
+        return grams, np.zeros(n + 1, np.int64)
     order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
     fresh = np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])]

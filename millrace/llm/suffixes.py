@@ -19,7 +19,7 @@ earlier start). The suffixes that decide this are found without sorting one suff
 Documents and repeats are then joined and each whole text is cut. Rows are told apart by ``row``, the place in
 doc_id order among rows of an equal id.
 
-Defined cases: null text is empty; rows with a null doc_id come before all others; rows with an equal doc_id are ordered
+Defined cases: null text is empty; rows with a null doc_id come before all others (the smallest long is read as null); rows with an equal doc_id are ordered
 by a code of their text, equal rows by chance (either keeps the string, the other loses it); texts shorter than
 ``SPAN`` bytes lose nothing; an empty table gives no rows. Other columns are not read.
 """
@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bytesets import BYTE_CODE, Prefix, gram_hashes, mix, pieces, text_buffer, window_min
@@ -40,6 +40,7 @@ from millrace.llm.shingles import groups, int64
 SPAN = 100
 GRAM = 32
 GROUP = 1_000
+NO_ID = -(2**63)  # stands for a null doc_id inside the operators: it sorts first, as a null does
 _LOW = np.uint64(0xFFFFFF)
 _OTHER_CODE = mix(BYTE_CODE ^ np.uint64(0xA54FF53A5F1D36F1)) | np.uint64(1)
 
@@ -244,7 +245,7 @@ def _bodies(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     lists = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
         F.collect_list(F.struct("start", "n", "gram", "kind")).alias("spans")
     )
-    texts = documents.join(lists, documents["doc_id"].eqNullSafe(lists["_id"]) & (documents["row"] == lists["_row"]))
+    texts = documents.join(lists, (documents["doc_id"] == lists["_id"]) & (documents["row"] == lists["_row"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,16 +271,21 @@ def _bodies(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
-def _numbered(documents: DataFrame) -> DataFrame:
+def named(doc_id: str) -> Column:
+    """The id a row came with."""
+    return F.when(F.col(doc_id) != NO_ID, F.col(doc_id))
+
+
+def numbered(documents: DataFrame) -> DataFrame:
     """(doc_id, row, text) where ``row`` orders the rows of an equal doc_id (0 where the id is unique)."""
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     again = cut(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("doc_id").alias("_id")), "again")
     if again.isEmpty():
         return docs.select("doc_id", F.lit(0).cast("long").alias("row"), "text")
     # Rare rows only: place them by their text's code in a range layout.
     from millrace.plans.ordered import running
 
-    tied = docs["doc_id"].eqNullSafe(again["_id"])
+    tied = docs["doc_id"] == again["_id"]
     placed = running(
         docs.join(again, tied, "left_semi").withColumn("_code", F.xxhash64("text")), ["doc_id"], ["_code"], number="row"
     ).select("doc_id", "row", "text")
@@ -300,13 +306,13 @@ def repeats(numbered: DataFrame) -> DataFrame:
 def remove_repeats(documents: DataFrame) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
     with tidy_shuffles(documents.sparkSession):
-        numbered = _numbered(documents)
-        found = repeats(numbered)
+        rows = numbered(documents)
+        found = repeats(rows)
         lists = found.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
             F.collect_list(F.struct("start", "end")).alias("spans")
         )
-        joined = numbered.join(
-            lists, numbered["doc_id"].eqNullSafe(lists["_id"]) & (numbered["row"] == lists["_row"]), "left"
+        joined = rows.join(
+            lists, (rows["doc_id"] == lists["_id"]) & (rows["row"] == lists["_row"]), "left"
         ).select("doc_id", "text", "spans")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,5 +338,6 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-        return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        out = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        return out.withColumn("doc_id", named("doc_id"))
 

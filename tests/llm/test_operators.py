@@ -1,0 +1,282 @@
+"""Operators over hand-made tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from millrace.llm import decontaminate, languages, mixing, ngram_join, pages, paragraphs, suffixes, token_ids, toxicity, vectors
+from millrace.llm.components import components
+from millrace.llm.frames import reach_workers
+from test_kernels import shingle_set
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, at int, size string"
+
+
+@pytest.fixture(scope="module", autouse=True)
+def workers(spark):
+    reach_workers(spark)
+
+
+def table(spark, rows):
+    full = [(i, t, lang, src, len(t or ""), 0.5, 1, "x") for i, t, lang, src in rows]
+    return spark.createDataFrame(full, DOCS)
+
+
+@pytest.fixture(scope="module")
+def rows():
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(600)]
+    say = lambda n: " ".join(rng.choices(vocabulary, k=n)).capitalize() + "."
+    passage, long = say(70), "\n".join(say(40) for _ in range(60))
+    out = [(0, None, "en", "a"), (1, "", "en", None), (2, "Hi.", None, "b"), (3, say(80), "en", "a")]
+    base = say(120)
+    for k in range(12):  # near copies and exact copies
+        words = base.split()
+        words[5 * k + 3] = "changed"
+        out.append((10 + k, " ".join(words) if k % 3 else base, "en", "abc"[k % 3]))
+    out += [(30 + k, f"{say(50)}\n{passage}\n{say(30)}", "de", "hot") for k in range(5)]
+    out += [(40, long, "en", "hot"), (41, long, "en", "hot"), (3, out[3][1], "en", "a"), (42, "é" * 400, "fr", "a"), (43, "!!! ??", "fr", "a")]
+    return out
+
+
+def test_components(spark):
+    links = [(k, k + 1) for k in range(20, 0, -1)] + [(50, 60), (60, 70), (5, 5)]
+    got = {r.id: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {**{k: 1 for k in range(1, 22)}, 50: 50, 60: 50, 70: 50}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_mixing(spark, rows):
+    docs = table(spark, rows)
+    got = mixing.plan(docs).collect()
+    assert len(got) == len(rows)
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len((t or "").split())
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    goal, open_ = {}, set(names)
+    left = 1.5 * sum(sizes.values())
+    while open_:  # share by weight, take out what is full, share the rest again
+        level = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if level * weight[s] >= 2 * sizes[s]}
+        for s in full or open_:
+            goal[s] = 2 * sizes[s] if full else level * weight[s]
+        left -= sum(2 * sizes[s] for s in full)
+        open_ = open_ - full if full else set()
+    taken = Counter()
+    for r in got:
+        assert r.target == pytest.approx(goal[r.source]) and r.source_size == sizes[r.source] and 0 <= r.taken <= 2 * r.size
+        taken[r.source] += r.taken
+    assert all(taken[s] == int(goal[s] + 1e-9) for s in names)
+    again = mixing.plan(docs.repartition(7)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+    mixed = mixing.mixed(docs)
+    assert mixed.columns == docs.columns
+    words = Counter()
+    for r in mixed.collect():
+        words[r.source] += len(r.text.split())
+    assert all(abs(words[s] - taken[s]) <= 1 for s in names)
+    assert mixing.plan(table(spark, [])).count() == 0 and mixing.mixed(table(spark, [])).count() == 0
+
+
+def test_language(spark, rows):
+    docs = table(spark, rows)
+    model = languages.train(docs)
+    got = languages.predict(docs, model).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    by_id = {r.doc_id: r.lang_pred for r in got}
+    assert {by_id[k] for k in (0, 1, 43)} == {"und"} and by_id[40] == "en"
+    nothing = languages.predict(docs, languages.train(table(spark, [])))
+    assert {r.lang_pred for r in nothing.collect()} == {"und"}
+
+
+def test_token_files(spark, rows):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    got = sorted(token_ids.round_trip(table(spark, rows), path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(i for i, *_ in rows)
+    texts, start = {i: t for i, t, *_ in rows}, 0
+    for r in got:
+        ids = [*tok.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert token_ids.round_trip(table(spark, []), path).count() == 0
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(40, 8))
+    data = [(k, v.tolist(), 1) for k, v in enumerate(np.r_[base, base[:20] * 3, base[5:9] + rng.normal(scale=0.05, size=(4, 8))])]
+    data += [(100, None, 1), (101, [0.0] * 8, 1), (102, [float("nan")] * 8, 1), (103, [1.0, None], 1), (104, [], 1), (105, [1.0, 2.0], 1),
+             (106, [2.0, 4.0], 0), (5, data[5][1], 1), (None, [1.0, 2.0], 1), (107, [float("inf"), 1.0], 1)]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in vectors.near_vectors(frame).collect()}
+    fine = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in data if i is not None and (i < 100 or i in (105, 106))}
+    links = {i: {j for j in fine if j != i and len(fine[i]) == len(fine[j]) and fine[i] @ fine[j] >= 0.95} for i in fine}
+    assert set(got) == {i for i, *_ in data}
+    for i, r in got.items():
+        reach, todo = {i}, [i]
+        while todo:
+            for j in links.get(todo.pop(), ()):
+                if j not in reach:
+                    reach.add(j)
+                    todo.append(j)
+        want = None if i is None else min(reach)
+        assert (r.n_links, r.component_id, r.kept) == (len(links.get(i, ())), want, want == i), i
+    assert vectors.near_vectors(frame.limit(0)).count() == 0
+
+
+def test_pages(spark):
+    page = "<body><nav><a>Menu</a></nav><article><h1>Top</h1><p>It is &lt;so&gt;, and long enough to read.</p></article></body>"
+    frame = spark.createDataFrame([(1, "u", page, "t"), (2, None, None, "t"), (3, "v", "", "t"), (1, "u", page, "t")], "page_id long, url string, html string, text string")
+    got = sorted(map(tuple, pages.main_texts(frame, pages.train(frame)).collect()))
+    text = "Top\nIt is <so>, and long enough to read."
+    assert got == [(1, "u", text, len(text))] * 2 + [(2, None, "", 0), (3, "v", "", 0)]
+    assert pages.main_texts(frame.limit(0), pages.train(frame.limit(0))).count() == 0
+
+
+def test_suffixes(spark, rows):
+    unique = [r for k, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:k]}] + [(60, "ab" * 300, "en", "a"), (None, rows[3][1], "en", "a")]
+    got = {r.doc_id: r for r in suffixes.remove_repeats(table(spark, unique)).collect()}
+    seen: set[bytes] = set()
+    for i, text, *_ in sorted(unique, key=lambda r: (r[0] is not None, r[0])):
+        body = (text or "").encode()
+        gone = bytearray(len(body))
+        for p in range(len(body) - 99):
+            if body[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(body[p : p + 100])
+        kept = bytes(b for b, g in zip(body, gone) if not g)
+        spans = sum(1 for p in range(len(gone)) if gone[p] and not (p and gone[p - 1]))
+        r = got[i]
+        assert (r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).digest()) == (len(body), sum(gone), spans, hashlib.sha256(kept).digest()), i
+    twice = suffixes.remove_repeats(table(spark, [(3, rows[3][1], "en", "a")] * 2)).collect()
+    assert sorted(r.n_removed == r.n_bytes for r in twice) == [False, True]
+    assert suffixes.remove_repeats(table(spark, [])).count() == 0
+
+
+def jaccard_classes(sets):
+    links = {i: {j for j in sets if j != i and sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} for i in sets}
+    root = {}
+    for i in sorted(sets):
+        if i not in root:
+            todo = [i]
+            while todo:
+                k = todo.pop()
+                if k not in root:
+                    root[k] = i
+                    todo += links[k]
+    return links, root
+
+
+def test_ngram_join(spark, rows):
+    got = {r.doc_id: r for r in ngram_join.join(table(spark, [*rows, (None, "x y z", "en", "a")])).collect()}
+    links, root = jaccard_classes({i: shingle_set(t) for i, t, *_ in rows})
+    assert set(got) == set(root)
+    for i, r in got.items():
+        assert (r.n_links, r.component_id, r.kept) == (len(links[i]), root[i], root[i] == i), i
+    kept = ngram_join.keep_one(table(spark, rows)).collect()
+    assert {r.doc_id for r in kept} == {i for i in root if root[i] == i}
+    assert ngram_join.join(table(spark, [])).count() == 0
+
+
+def test_decontaminate(spark, rows):
+    texts = {i: t for i, t, *_ in rows}
+    inner = " ".join(texts[3].split()[20:45])
+    items = [(7, inner.upper(), 1), (8, "Hi", 1), (9, None, 1), (10, "", 1), (None, inner, 1), (70, inner, 1), (11, "never seen in any text at all, not once, really", 1)]
+    bench = spark.createDataFrame(items, "item_id long, text string, doc_id int")
+    got = decontaminate.report(table(spark, rows), bench).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        words = [w.decode() for w in _words(texts[r.doc_id])]
+        hit, found = set(), set()
+        for i, t, _ in items:
+            mine = [w.decode() for w in _words(t)]
+            n = min(10, len(mine))
+            wins = {tuple(mine[k : k + n]) for k in range(len(mine) - n + 1)} if n and i is not None else set()
+            for k in range(len(words) - n + 1):
+                if tuple(words[k : k + n]) in wins:
+                    hit |= set(range(k, k + n))
+                    found.add(str(i))
+        digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(words), len(hit), len(found), digest, bool(hit)), r.doc_id
+    clean = decontaminate.keep_clean(table(spark, rows), bench).collect()
+    assert Counter(r.doc_id for r in clean) == Counter(i for i, *_ in rows if i not in (2, 3))
+    assert not any(r.contaminated for r in decontaminate.report(table(spark, rows), bench.limit(0)).collect())
+    assert decontaminate.report(table(spark, []), bench).count() == 0
+
+
+def _words(text):
+    from test_kernels import words
+
+    return words(text)
+
+
+def test_paragraphs(spark, rows):
+    unique = {i: t for i, t, *_ in rows}
+    got = {r.doc_id: r for r in paragraphs.remove_near_copies(table(spark, [*((i, t, "en", "a") for i, t in unique.items()), (None, "q r s", "en", "a")])).collect()}
+    sets = {(i, k): shingle_set(line) for i, t in unique.items() for k, line in enumerate((t or "").split("\n")) if len(_words(line)) >= 5}
+    _, root = jaccard_classes(sets)
+    gone = defaultdict(list)
+    for (i, k), first in root.items():
+        if first != (i, k):
+            gone[i].append(k)
+    for i, t in unique.items():
+        lines = [] if t is None else t.split("\n")
+        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone[i])
+        assert (got[i].n_paragraphs, list(got[i].removed), got[i].kept) == (len(lines), sorted(gone[i]), kept), i
+    assert paragraphs.remove_near_copies(table(spark, [])).count() == 0
+
+
+def test_toxicity(spark):
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("aeioustrnl", k=rng.randint(3, 8))) for _ in range(200)]
+    say = lambda n: rng.choices(vocabulary, k=n)
+    rows, labels = [], []
+    for k in range(400):
+        bad = k % 5 == 0
+        words = say(60)
+        if bad:
+            for at in (10, 25, 40):
+                words.insert(at, "vexgrumble")
+        rows.append((k, " ".join(words), "en", "a"))
+        labels.append((k, 1, int(bad)))
+    rows += [(900, None, "en", "a"), (901, "", "en", "a"), (5, rows[5][1], "en", "a")]
+    marks = spark.createDataFrame([*labels, (None, 0, 1), (7, 0, None)], "doc_id long, quality int, toxic int")
+    docs = table(spark, rows)
+    model = toxicity.train(docs, marks)
+    got = toxicity.score(docs, model).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    right = [(r.score >= 0.5) == (r.doc_id % 5 == 0) for r in got if r.doc_id < 900 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert sum(right) >= 0.95 * len(right)
+    kept = toxicity.keep_ordinary(docs, model)
+    assert kept.columns == docs.columns and {900, 901} <= {r.doc_id for r in kept.collect()}
+    assert toxicity.keep_ordinary(docs, toxicity.train(docs, marks.limit(0))).count() == len(rows)
+
+
+def test_pipeline_stages_chain(spark):
+    sf = "/root/testdata/sf0.001"
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "ngram_jaccard_join", "benchmark_decontamination", "mixing", "token_ids"]
+    docs = first = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        after = stage(spark, docs, sf)
+        assert sorted(after.columns) == sorted(first.columns)
+        docs = corpus_pipeline.cut(after, name)
+    kept = {r.doc_id: r.text for r in docs.collect()}
+    links, _ = jaccard_classes({i: shingle_set(t) for i, t in kept.items()})
+    assert not any(links.values())
+    assert not any(r.contaminated for r in decontaminate.report(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect())
+    want = {r.doc_id for r in mixing.plan(docs).collect() if r.taken}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == want
