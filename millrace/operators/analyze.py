@@ -1,8 +1,15 @@
-"""Spec-driven analysis: dimensions, metrics, filters and a limit answered as one DataFrame."""
+"""Spec-driven analysis: dimensions, metrics, filters and a limit answered as one DataFrame.
+
+A spec from the screen and the parameters of a stored chart are two spellings of one question. Both are read into an
+``Ask`` of typed parts, each of which knows its own column; one planner turns an ``Ask`` into a DataFrame.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -12,172 +19,193 @@ from pyspark.sql import types as T
 from millrace.plans import percentiles
 from millrace.plans.percentiles import Quantile
 
-# Allowed numbers of dimensions and metrics per chart kind.
-CHARTS: dict[str, tuple[tuple[int, int], tuple[int, int]]] = {
-    "table": ((0, 8), (0, 8)),
-    "bar": ((1, 2), (1, 4)),
-    "line": ((1, 2), (1, 4)),
-    "pie": ((1, 1), (1, 1)),
-    "kpi": ((0, 0), (1, 1)),
+
+class SpecError(ValueError):
+    """The spec does not fit the model or the chart kind."""
+
+
+@dataclass(frozen=True)
+class Aggregate:
+    """What a metric computes: its word in a label, and its Spark function (None: the exact median)."""
+
+    word: str
+    column: Callable[[Column], Column] | None
+
+
+# Aggregates, comparisons, and how many (dimensions, metrics) a chart kind takes.
+AGGREGATES = {
+    "SUM": Aggregate("sum", F.sum),
+    "AVG": Aggregate("average", F.avg),
+    "MEDIAN": Aggregate("median", None),
+    "MIN": Aggregate("min", F.min),
+    "MAX": Aggregate("max", F.max),
+    "COUNT": Aggregate("count", F.count),
+    "COUNT_DISTINCT": Aggregate("distinct count", F.count_distinct),
 }
-AGG_WORDS = {
-    "SUM": "sum", "AVG": "average", "MEDIAN": "median", "MIN": "min", "MAX": "max",
-    "COUNT": "count", "COUNT_DISTINCT": "distinct count",
+COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
+    "==": Column.__eq__, "!=": Column.__ne__, ">": Column.__gt__, ">=": Column.__ge__, "<": Column.__lt__,
+    "<=": Column.__le__, "LIKE": Column.like,
 }
-DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
-
-_COMPARE = {
-    "==": lambda c, v: c == v,
-    "!=": lambda c, v: c != v,
-    ">": lambda c, v: c > v,
-    ">=": lambda c, v: c >= v,
-    "<": lambda c, v: c < v,
-    "<=": lambda c, v: c <= v,
-    "LIKE": lambda c, v: c.like(v),
+PRESENCE: dict[str, Callable[[Column], Column]] = {"IS NULL": Column.isNull, "IS NOT NULL": Column.isNotNull}
+CHARTS = {
+    "table": (range(9), range(9)),
+    "bar": (range(1, 3), range(1, 5)),
+    "line": (range(1, 3), range(1, 5)),
+    "pie": (range(1, 2), range(1, 2)),
+    "kpi": (range(1), range(1, 2)),
 }
-_NULL_TESTS = {"IS NULL": lambda c: c.isNull(), "IS NOT NULL": lambda c: c.isNotNull()}
+DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 
 
-class SpecError(ValueError):
-    """The spec does not fit the model or the chart kind."""
+@dataclass(frozen=True)
+class Predicate:
+    column: str
+    operator: str
+    value: Any = None
+
+    @property
+    def condition(self) -> Column:
+        """LIKE patterns are used as given."""
+        if test := PRESENCE.get(self.operator):
+            return test(F.col(self.column))
+        if self.operator not in COMPARISONS:
+            raise SpecError(f"unknown filter operator {self.operator}")
+        if self.value in (None, ""):
+            raise SpecError(f"filter on {self.column} needs a value")
+        return COMPARISONS[self.operator](F.col(self.column), self.value)
+
+
+@dataclass(frozen=True)
+class Metric:
+    name: str
+    aggregate: Aggregate
+    column: str | None = None
+    expression: str | None = None
+
+    @classmethod
+    def of(cls, given: Mapping[str, Any], labels: Mapping[str, str]) -> Metric:
+        key, column = str(given.get("agg") or "SUM").upper(), given.get("col") or None
+        counts_rows = key == "COUNT" and column is None
+        if key not in AGGREGATES:
+            raise SpecError(f"unknown aggregate {key}")
+        if not (column or counts_rows or given.get("expr")):
+            raise SpecError("the metric needs a column")
+        aggregate = AGGREGATES[key]
+        shown = aggregate.word if column is None else metric_label(labels.get(column) or column, key)
+        return cls(str(given.get("name") or shown), aggregate, column, given.get("expr") or None)
+
+    @property
+    def median(self) -> Quantile | None:
+        exact = self.aggregate.column is None and not self.expression
+        return Quantile(self.name, F.col(self.column), 0.5) if exact else None
+
+    @property
+    def plain(self) -> Column:
+        if self.expression:
+            return F.expr(self.expression).alias(self.name)
+        return self.aggregate.column(F.col(self.column) if self.column else F.lit(1)).alias(self.name)
+
+    @property
+    def distinct(self) -> bool:
+        return not self.expression and self.aggregate is AGGREGATES["COUNT_DISTINCT"]
+
+
+@dataclass(frozen=True)
+class Ask:
+    """A question: what to group by, what to measure, which rows, how many of the answer."""
+
+    dimensions: tuple[str, ...] = ()
+    metrics: tuple[Metric, ...] = ()
+    predicates: tuple[Predicate, ...] = field(default=())
+    limit: int = DEFAULT_LIMIT
+
+    @classmethod
+    def of_spec(cls, spec: Mapping[str, Any], labels: Mapping[str, str] | None, max_limit: int) -> Ask:
+        return cls(
+            tuple(filter(None, spec.get("dimensions") or ())),
+            tuple(Metric.of(m, labels or {}) for m in spec.get("metrics") or ()),
+            _predicates(spec.get("filters"), "col", "op", "val"),
+            row_limit(spec.get("limit"), max_limit),
+        )
+
+    @classmethod
+    def of_chart(cls, stored: Mapping[str, Any]) -> Ask:
+        """Stored charts name an axis apart from further groupings, and one metric or several; without either
+        they show their raw columns."""
+        lone = [stored["metric"]] if stored.get("metric") else []
+        axis = [stored["x_axis"]] if stored.get("x_axis") else []
+        metrics = tuple(Metric.of(m, {}) for m in stored.get("metrics") or lone)
+        grouped = (*axis, *(stored.get("groupby") or ()))
+        complete = [f for f in stored.get("adhoc_filters") or () if f.get("operator")]
+        return cls(
+            grouped if grouped or metrics else tuple(stored.get("all_columns") or ()), metrics,
+            _predicates(complete, "subject", "operator", "comparator"), int(stored.get("row_limit") or DEFAULT_LIMIT),
+        )
+
+    def fit(self, kind: str, columns: Sequence[str]) -> Ask:
+        """Itself, if the chart kind takes it and the model has its columns."""
+        if kind not in CHARTS:
+            raise SpecError(f"unknown chart kind {kind}")
+        used = {*self.dimensions, *(m.column for m in self.metrics if m.column)}
+        if missing := sorted(used.difference(columns)):
+            raise SpecError(f"{', '.join(missing)} is not a column of this model")
+        for what, parts, room in zip(("dimensions", "metrics"), (self.dimensions, self.metrics), CHARTS[kind]):
+            if len(parts) not in room:
+                raise SpecError(f"{kind} takes {room[0]}-{room[-1]} {what}, not {len(parts)}")
+        return self
+
+    def over(self, df: DataFrame) -> DataFrame:
+        """Filter, group, order by the first metric descending, limit; raw rows without metrics."""
+        rows = df.filter(reduce(and_, (p.condition for p in self.predicates))) if self.predicates else df
+        if not self.metrics:
+            return rows.select(*(self.dimensions or df.columns)).limit(self.limit)
+        medians = [q for q in (m.median for m in self.metrics) if q]
+        plain = [m.plain for m in self.metrics if not m.median]
+        apart = any(m.distinct for m in self.metrics)
+        answered = percentiles.grouped(rows, list(self.dimensions), plain, medians, apart=apart)
+        shown = answered.select(*self.dimensions, *[_q(m.name) for m in self.metrics])
+        # Dimensions break ties so a limited answer is the same on every run.
+        return shown.orderBy(F.col(_q(self.metrics[0].name)).desc_nulls_last(), *self.dimensions).limit(self.limit)
+
+
+def _predicates(given: Sequence[Mapping[str, Any]] | None, column: str, operator: str, value: str) -> tuple[Predicate, ...]:
+    """Filters in the caller's field names; those without a column say nothing."""
+    return tuple(
+        Predicate(f[column], str(f.get(operator) or "==").upper(), f.get(value)) for f in given or () if f.get(column)
+    )
 
 
 def spec_filters(filters: Sequence[Mapping[str, Any]] | None) -> Column | None:
-    """All filters ANDed, or None. LIKE patterns are used as given."""
-    out: Column | None = None
-    for f in filters or []:
-        name, op = f.get("col"), str(f.get("op") or "==").upper()
-        if not name:
-            continue
-        col = F.col(name)
-        if op in _NULL_TESTS:
-            cond = _NULL_TESTS[op](col)
-        elif op in _COMPARE:
-            value = f.get("val")
-            if value is None or value == "":
-                raise SpecError(f"filter on {name} needs a value")
-            cond = _COMPARE[op](col, value)
-        else:
-            raise SpecError(f"unknown filter operator {op}")
-        out = cond if out is None else out & cond
-    return out
+    """All filters of a spec ANDed, or None."""
+    conditions = [p.condition for p in _predicates(filters, "col", "op", "val")]
+    return reduce(and_, conditions) if conditions else None
 
 
 def metric_label(label: str, agg: str) -> str:
-    word = AGG_WORDS[agg]
+    """The label with its aggregate's word, unless it already ends in it."""
+    word = AGGREGATES[agg].word
     return label if label.endswith(word) else f"{label} {word}"
 
 
-def metric_name(metric: Mapping[str, Any], labels: Mapping[str, str] | None = None) -> str:
-    if metric.get("name"):
-        return str(metric["name"])
-    agg, col = _agg_of(metric), metric.get("col")
-    if not col:
-        return AGG_WORDS["COUNT"]
-    return metric_label((labels or {}).get(col) or col, agg)
-
-
-def _agg_of(metric: Mapping[str, Any]) -> str:
-    agg = str(metric.get("agg") or "SUM").upper()
-    if agg not in AGG_WORDS:
-        raise SpecError(f"unknown aggregate {agg}")
-    if agg != "COUNT" and not metric.get("col"):
-        raise SpecError("the metric needs a column")
-    return agg
-
-
-def spec_metrics(
-    metrics: Sequence[Mapping[str, Any]], labels: Mapping[str, str] | None = None
-) -> tuple[list[Column], list[Quantile], list[str]]:
-    """Aggregate columns, exact medians, and the output names in spec order."""
-    plain: list[Column] = []
-    medians: list[Quantile] = []
-    names: list[str] = []
-    for m in metrics:
-        name = metric_name(m, labels)
-        names.append(name)
-        if m.get("expr"):
-            plain.append(F.expr(m["expr"]).alias(name))
-            continue
-        agg, col = _agg_of(m), m.get("col")
-        if agg == "COUNT" and not col:
-            plain.append(F.count(F.lit(1)).alias(name))
-        elif agg == "MEDIAN":
-            medians.append(Quantile(name, F.col(col), 0.5))
-        else:
-            fn = {"SUM": F.sum, "AVG": F.avg, "MIN": F.min, "MAX": F.max, "COUNT": F.count,
-                  "COUNT_DISTINCT": F.count_distinct}[agg]
-            plain.append(fn(F.col(col)).alias(name))
-    return plain, medians, names
-
-
-def validate(spec: Mapping[str, Any], columns: Sequence[str]) -> str:
-    viz = str(spec.get("viz") or "table").lower()
-    if viz not in CHARTS:
-        raise SpecError(f"unknown chart kind {viz}")
-    dims = [d for d in spec.get("dimensions") or [] if d]
-    metrics = spec.get("metrics") or []
-    for name in [*dims, *[m["col"] for m in metrics if m.get("col")]]:
-        if name not in columns:
-            raise SpecError(f"{name} is not a column of this model")
-    for what, got, (lo, hi) in (
-        ("dimensions", len(dims), CHARTS[viz][0]), ("metrics", len(metrics), CHARTS[viz][1])
-    ):
-        if not lo <= got <= hi:
-            raise SpecError(f"{viz} takes {lo}-{hi} {what}, not {got}")
-    return viz
-
-
-def row_limit(limit: Any) -> int:
-    return min(int(limit or DEFAULT_LIMIT), MAX_LIMIT)
+def row_limit(limit: Any, max_limit: int = MAX_LIMIT) -> int:
+    """The asked number of rows (none asked: the default); more than ``max_limit`` is an error, not a silent cut."""
+    asked = int(limit or DEFAULT_LIMIT)
+    if not 1 <= asked <= max_limit:
+        raise SpecError(f"limit must be between 1 and {max_limit}")
+    return asked
 
 
 def analyze(
-    df: DataFrame, spec: Mapping[str, Any], labels: Mapping[str, str] | None = None
+    df: DataFrame, spec: Mapping[str, Any], labels: Mapping[str, str] | None = None, *, max_limit: int = MAX_LIMIT
 ) -> DataFrame:
-    """Filter → group → order by the first metric descending → limit; raw rows without metrics."""
-    validate(spec, df.columns)
-    dims = [d for d in spec.get("dimensions") or [] if d]
-    return _answer(
-        df, dims, spec.get("metrics") or [], spec_filters(spec.get("filters")),
-        row_limit(spec.get("limit")), labels,
-    )
+    """Answer a spec."""
+    ask = Ask.of_spec(spec, labels, max_limit)
+    return ask.fit(str(spec.get("viz") or "table").lower(), df.columns).over(df)
 
 
 def saved_chart_query(df: DataFrame, params: Mapping[str, Any]) -> DataFrame:
-    """The same plan from a stored chart's parameters."""
-    dims = [params["x_axis"]] if params.get("x_axis") else []
-    dims += list(params.get("groupby") or [])
-    metrics = list(params.get("metrics") or []) or (
-        [params["metric"]] if params.get("metric") else []
-    )
-    if not dims and not metrics:
-        dims = list(params.get("all_columns") or [])
-    filters = [
-        {"col": f["subject"], "op": f["operator"], "val": f.get("comparator")}
-        for f in params.get("adhoc_filters") or []
-        if f.get("subject") and f.get("operator")
-    ]
-    limit = int(params.get("row_limit") or DEFAULT_LIMIT)
-    return _answer(df, dims, metrics, spec_filters(filters), limit, None)
-
-
-def _answer(
-    df: DataFrame,
-    dims: Sequence[str],
-    metrics: Sequence[Mapping[str, Any]],
-    where: Column | None,
-    limit: int,
-    labels: Mapping[str, str] | None,
-) -> DataFrame:
-    rows = df if where is None else df.filter(where)
-    if not metrics:
-        return rows.select(*(dims or df.columns)).limit(limit)
-    plain, medians, names = spec_metrics(metrics, labels)
-    distinct = any(not m.get("expr") and _agg_of(m) == "COUNT_DISTINCT" for m in metrics)
-    out = percentiles.grouped(rows, dims, plain, medians, apart=distinct).select(*dims, *[_q(n) for n in names])
-    # Dimensions break ties so a limited answer is the same on every run.
-    return out.orderBy(F.col(_q(names[0])).desc_nulls_last(), *dims).limit(limit)
+    """Answer a stored chart."""
+    return Ask.of_chart(params).over(df)
 
 
 def _q(name: str) -> str:

@@ -100,6 +100,8 @@ def run_rules(
     join each get their own. ``count='values'`` counts repeated values instead of their rows.
     """
     chosen = rules_in_scope(rules, scope)
+    if absent := sorted({r["model"] for r in chosen if r.get("enabled", True)} - set(tables)):
+        raise KeyError(f"no table for {', '.join(absent)}")
     parts: list[DataFrame] = []
     for model, df in tables.items():
         mine = [r for r in chosen if r["model"] == model and r.get("enabled", True)]
@@ -127,7 +129,7 @@ def run_rules(
     failures = F.col("failures").cast("long")
     return catalog.join(measured, "rule_id", "left").select(
         "rule_id", "model", "severity",
-        F.when(~F.col("enabled"), "unknown").when(failures == 0, "ok")
+        F.when(~F.col("enabled") | failures.isNull(), "unknown").when(failures == 0, "ok")
         .when(F.col("severity") == "error", "err").otherwise("warn").alias("status"),
         failures.alias("failures"),
     )

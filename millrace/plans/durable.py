@@ -8,6 +8,7 @@ give Catalyst real statistics for choosing the next join.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def durable_dir(spark: SparkSession) -> str:
     )
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {_CONF} to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _local_fallback:
@@ -38,6 +39,12 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{durable_dir(spark)}/millrace/{label}-{uuid.uuid4().hex}"
 
 
+def table_path(spark: SparkSession, table: str) -> str:
+    """A new folder for a version of a table: in the warehouse, never among the intermediates."""
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return f"{warehouse}/millrace/{table.replace('.', '-')}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     """Write ``df`` once and return a scan of the written table."""
     spark = df.sparkSession

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,6 @@ def closure(
     to: Sequence[str] = ("dst",),
     carry: Sequence[str] = (),
     stop: DataFrame | None = None,
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Nodes reachable from ``start`` (included, ``hop`` 0), walking ``frm`` → ``to``.
 
@@ -39,7 +39,7 @@ def closure(
     steps = edges.select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(frm)], *to)
     walked = [cut(start.select(*key).distinct().withColumn("hop", F.lit(0)), "reach")]
     frontier = walked[0]
-    for hop in range(1, max_rounds + 1):
+    for hop in count(1):  # ends when nothing new is found, at the latest with the last node
         if stop is not None:
             blocked = stop.select(*[F.col(c).alias(f"_s_{c}") for c in to])
             frontier = frontier.join(
@@ -57,49 +57,44 @@ def closure(
             return reduce(DataFrame.unionAll, walked)
         walked.append(fresh)
         frontier = fresh
-    raise RuntimeError(f"walk did not end within {max_rounds} rounds")
+    raise AssertionError("unreachable")
 
 
-def longest_path(
-    edges: DataFrame, nodes: DataFrame, *, max_rounds: int = 1_000
-) -> DataFrame:
+def longest_path(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Depth of every node = length of the longest path that ends in it, inside ``nodes``.
 
-    Only nodes whose depth grew in the last round push on. More rounds than ``max_rounds`` means a
-    cycle, which the model graph must not contain.
+    Nodes are peeled: one leaves in the round after the last of its inputs left, which is its depth, so each node and
+    edge is used once and only the frontier and the nodes with some inputs left are written. Nodes on a cycle, or fed
+    by one, never lose all their inputs and get depth 0.
     """
+    every = cut(nodes.select("id").distinct(), "nodes")
     inner = cut(
         edges.select("src", "dst").distinct()
-        .join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
-        .join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi"),
+        .join(every.select(F.col("id").alias("src")), "src", "left_semi")
+        .join(every.select(F.col("id").alias("dst")), "dst", "left_semi"),
         "inner",
     )
-    depth = cut(nodes.select("id").distinct().withColumn("depth", F.lit(0)), "depth")
-    frontier = depth
-    for _ in range(max_rounds):
-        pushed = (
-            frontier.join(inner, frontier["id"] == inner["src"])
-            .groupBy(F.col("dst").alias("id"))
-            .agg((F.max("depth") + 1).alias("_d"))
-        )
-        merged = cut(
-            depth.join(pushed, "id", "left").select(
-                "id",
-                F.greatest("depth", F.coalesce("_d", "depth")).alias("depth"),
-                (F.col("_d") > F.col("depth")).alias("_grew"),
-            ),
-            "depth",
+    inputs = cut(inner.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_need")), "inputs")
+    left = [cut(every.join(inputs, "id", "left_anti").withColumn("depth", F.lit(0)), "depth")]
+    waiting = None
+    for depth in count(1):
+        came = left[-1].join(inner, left[-1]["id"] == inner["src"]).groupBy(F.col("dst").alias("id")).agg(
+            F.count(F.lit(1)).alias("_got")
         )
-        frontier = merged.filter("_grew").select("id", "depth")
-        depth = merged.select("id", "depth")
-        if frontier.isEmpty():
-            return depth
-    raise RuntimeError("the model graph has a cycle")
+        if waiting is not None:
+            came = came.unionAll(waiting).groupBy("id").agg(F.sum("_got").alias("_got"))
+        met = cut(came.join(inputs, "id"), "met")
+        ready = met.filter("_got = _need").select("id", F.lit(depth).alias("depth"))
+        if ready.isEmpty():
+            break
+        left.append(cut(ready, "depth"))
+        waiting = met.filter("_got < _need").select("id", "_got")
+    found = reduce(DataFrame.unionAll, left)
+    return every.join(found, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
 def spread(
     edges: DataFrame, labels: DataFrame, *, label: str = "label", keep: str = "min",
-    max_rounds: int = 10_000,
 ) -> DataFrame:
     """Smallest (or largest) label that reaches each node along ``src`` → ``dst``.
 
@@ -111,7 +106,7 @@ def spread(
     steps = edges.select("src", "dst")
     best = cut(labels.groupBy("id").agg(fold(label).alias(label)), "label")
     frontier = best
-    for _ in range(max_rounds):
+    while True:
         pushed = (
             frontier.join(steps, frontier["id"] == steps["src"])
             .groupBy(F.col("dst").alias("id"))
@@ -129,7 +124,6 @@ def spread(
         best = merged.select("id", label)
         if frontier.isEmpty():
             return best
-    raise RuntimeError(f"labels did not settle within {max_rounds} rounds")
 
 
 def on_cycles(pointers: DataFrame, *, node: str = "id", nxt: str = "next") -> DataFrame:

@@ -169,7 +169,7 @@ def stringify(spark: SparkSession, sf: str) -> DataFrame:
        SELECT k, v, first_pos AS pos FROM r WHERE rn = 1""",
 )
 def dedupe(spark: SparkSession, sf: str) -> DataFrame:
-    return ing.dedupe_batch(_dup_rows(spark, sf), " k ,", "pos")
+    return ing.dedupe_batch(_dup_rows(spark, sf), ["k"], "pos")
 
 
 def _dup_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -183,7 +183,7 @@ def _dup_rows(spark: SparkSession, sf: str) -> DataFrame:
     """SELECT count(*) AS rows, count(*) - count(DISTINCT CASE WHEN o_custkey % 50 < 2 THEN '' ELSE CAST(o_custkey AS VARCHAR) END) AS dropped FROM orders""",
 )
 def dedupe_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return ing.dedupe_counts(_dup_rows(spark, sf), "k")
+    return ing.dedupe_counts(_dup_rows(spark, sf), ["k"])
 
 
 @book.entry(
@@ -680,7 +680,7 @@ def list_objects(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.entry(
     "export_csv",
-    "SELECT least(count(*), 10000) AS rows, true AS has_bom FROM customer",
+    "SELECT count(*) AS rows, true AS has_bom FROM customer",
 )
 def export_csv(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "export")
@@ -688,21 +688,21 @@ def export_csv(spark: SparkSession, sf: str) -> DataFrame:
     raw = spark.read.text(path)
     bom = raw.filter(F.col("value").endswith("c_custkey,c_name"))
     return files.read_csv_raw(spark, path).agg(F.count(F.lit(1)).alias("rows")).withColumn(
-        "has_bom", F.lit(bom.count() == 1)
+        "has_bom", F.lit(not bom.isEmpty())
     )
 
 
 @book.entry(
     "store_violations",
-    """SELECT '{"c_custkey":' || CAST(c_custkey AS VARCHAR) || '}' AS row FROM customer WHERE c_acctbal < 0 ORDER BY c_custkey LIMIT 200""",
+    """SELECT '{"c_custkey":' || CAST(c_custkey AS VARCHAR) || '}' AS row FROM customer WHERE c_acctbal < 0""",
 )
 def store_violations(spark: SparkSession, sf: str) -> DataFrame:
     from millrace.operators.quality import accepted_range
 
     root = fresh_path(spark, "violations")
     bad = accepted_range(table(spark, sf, "customer"), "c_acctbal", 0).select("c_custkey")
-    tables.store_violations(bad.orderBy("c_custkey").coalesce(1), "c_bal", root)
-    return tables.read_violations(spark, root, "c_bal", status="err", limit=200)[1]
+    tables.store_violations(bad, "c_bal", root)
+    return tables.read_violations(spark, root, "c_bal", status="err", limit=None)[1]
 
 
 @book.entry(

@@ -217,7 +217,7 @@ def analyze_segments(spark: SparkSession, sf: str) -> DataFrame:
             {"col": "o_totalprice", "op": ">=", "val": 1000},
         ],
     }
-    out = an.analyze(order_mart(spark, sf), spec)
+    out = an.analyze(order_mart(spark, sf), spec, max_limit=10_000)
     return out.withColumn("revenue", F.round("revenue", 2)).withColumn(
         "mid_price", half_up(F.col("mid_price"), 4)
     )

@@ -24,15 +24,13 @@ def read_csv_raw(
     An empty cell is ``""``; Spark's reader cannot tell it from a cell a short row lacks, so that
     becomes ``""`` too. ``multiline`` allows line breaks inside quotes but reads a file per task.
     """
-    raw = (
-        spark.read.option("header", True).option("sep", delimiter).option("escape", '"')
-        .option("multiLine", multiline).csv(path)
-    )
-    named = [
-        F.col(f"`{c}`").alias(c.replace(_BOM, "").strip())
-        for i, c in enumerate(raw.columns)
-        if c.strip() and c != f"_c{i}"
-    ]
+    options = {"sep": delimiter, "escape": '"', "multiLine": multiline}
+    raw = spark.read.options(header=True, **options).csv(path)
+    # Spark renames blank and equal headers; the header line itself says which are which. The last of equal names wins.
+    top = spark.read.options(header=False, **options).csv(path).first()
+    header = [(cell or "").replace(_BOM, "").strip() for cell in top] if top else []
+    chosen = {name: given for name, given in zip(header, raw.columns) if name}
+    named = [F.col(f"`{given}`").alias(name) for name, given in chosen.items()]
     return raw.select(*named).na.fill("")
 
 
@@ -135,7 +133,7 @@ def read_text_with_fallback(spark: SparkSession, path: str) -> DataFrame:
     # One row per file, written so that its true size decides how it is joined.
     utf8 = cut(lines.groupBy(_FILE).agg(F.bool_and(F.is_valid_utf8("value")).alias("_utf8")), "encodings")
     marked = lines.join(utf8, _FILE)
-    good = marked.filter("_utf8").withColumn("value", F.replace("value", F.lit(_BOM), F.lit("")))
+    good = marked.filter("_utf8").withColumn("value", F.regexp_replace("value", f"^{_BOM}", ""))
     # Non-deterministic, or a filter on the decoded text would be pushed below the join and the
     # decoder would see the UTF-8 lines as well.
     decode = F.pandas_udf(_decode_korean, "string").asNondeterministic()

@@ -9,7 +9,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
+from urllib.parse import quote
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +19,10 @@ from pyspark.sql import types as T
 from millrace.operators.ingest import (
     call_plan, dedupe_batch, schema_diff, stringify, within_budget,
 )
-from millrace.plans.durable import cut, fresh_path
+from millrace.plans.durable import cut, table_path
 
 _NAME = re.compile(r"^[a-z][a-z0-9_]{1,62}$")
-PREVIEW_DEFAULT, PREVIEW_MAX, EXPORT_MAX = 20, 200, 10_000
+PREVIEW_DEFAULT, PREVIEW_MAX = 20, 200
 _BOM = "﻿"
 
 
@@ -41,9 +43,12 @@ def _point_at(spark: SparkSession, table: str, path: str) -> None:
 
 def _replace(spark: SparkSession, table: str, df: DataFrame) -> None:
     """Write a new version and make it current; create the table where it does not exist."""
-    path = fresh_path(spark, table.replace(".", "-"))
+    path = table_path(spark, table)
+    exists = spark.catalog.tableExists(table)
+    if exists and set(spark.table(table).columns) == set(df.columns):
+        df = df.select(*spark.table(table).columns)  # in the stored order the location can simply move
     df.write.parquet(path)
-    if spark.catalog.tableExists(table):
+    if exists:
         same = [(f.name, f.dataType) for f in spark.table(table).schema.fields] == [
             (f.name, f.dataType) for f in df.schema.fields
         ]
@@ -67,7 +72,7 @@ def _append(spark: SparkSession, table: str, df: DataFrame) -> int:
 
 def load_raw(
     spark: SparkSession, table: str, batch: DataFrame, *, mode: str = "append",
-    dedupe: str | None = None, pos: str | None = None, ingested_at: str,
+    dedupe: Sequence[str] | None = None, pos: str | None = None, ingested_at: str,
 ) -> dict[str, Any]:
     """Load a batch as strings. The first load creates the table; later ones need the same columns.
 
@@ -76,7 +81,9 @@ def load_raw(
     """
     if mode not in ("append", "overwrite"):
         raise ValueError(f"unknown mode {mode!r}")
-    kept = dedupe_batch(batch, dedupe, pos) if dedupe and pos else batch
+    if dedupe and not pos:
+        raise ValueError("dedupe needs the batch's position column")
+    kept = dedupe_batch(batch, dedupe, pos) if dedupe else batch
     rows = stringify(kept.drop(pos) if pos else kept, ingested_at)
     exists = spark.catalog.tableExists(table)
     if exists:
@@ -90,7 +97,7 @@ def load_raw(
         _replace(spark, table, rows)
         loaded = spark.table(table).count()
     out: dict[str, Any] = {"table": table, "rows": loaded, "mode": mode, "created": not exists}
-    if dedupe and pos:
+    if dedupe:
         out["deduped"] = batch.count() - loaded
     return out
 
@@ -226,34 +233,45 @@ def list_objects(spark: SparkSession, root: str) -> DataFrame:
     return listing.select("path", "length")
 
 
-def export_csv(df: DataFrame, path: str, *, limit: int = EXPORT_MAX) -> None:
-    """CSV with a header and a BOM so spreadsheets read it as UTF-8; at most 10,000 rows."""
+def export_csv(df: DataFrame, path: str, *, limit: int | None = None) -> None:
+    """CSV files with a header and a BOM each, so spreadsheets read them as UTF-8; all rows unless a limit is asked."""
+    if limit is not None and limit < 1:
+        raise ValueError("limit must be at least 1")
     first, *rest = df.columns
-    rows = df.limit(min(limit, EXPORT_MAX)).withColumnRenamed(first, _BOM + first)
-    rows.coalesce(1).write.option("header", True).option("escape", '"').csv(path)
+    rows = (df if limit is None else df.limit(limit)).withColumnRenamed(first, _BOM + first)
+    rows.write.option("header", True).option("escape", '"').csv(path)
+
+
+def _rule_folder(root: str, rule_id: str) -> str:
+    return f"{root}/rule={quote(rule_id, safe='')}"
 
 
 def store_violations(failing: DataFrame, rule_id: str, root: str) -> None:
-    """Keep a rule's failing rows as text, one folder per rule."""
-    packed = failing.select(F.lit(rule_id).alias("rule_id"), F.to_json(F.struct("*")).alias("row"))
-    packed.write.mode("append").partitionBy("rule_id").parquet(root)
+    """Keep a rule's failing rows as text, one folder per rule; storing again replaces them."""
+    packed = failing.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row"))
+    packed.write.mode("overwrite").parquet(_rule_folder(root, rule_id))
 
 
 def read_violations(
-    spark: SparkSession, root: str, rule_id: str, *, status: str, limit: int = 20
+    spark: SparkSession, root: str, rule_id: str, *, status: str, limit: int | None = 20
 ) -> tuple[str, DataFrame | None]:
-    """(``passed`` | ``not_stored`` | ``rows``, rows): no rows stored is not the same as no violation."""
-    if not 1 <= limit <= 200:
+    """(``passed`` | ``not_stored`` | ``rows``, rows): no rows stored is not the same as no violation.
+
+    ``limit`` is 1 to 200 for a screen, or None for all of them.
+    """
+    if limit is not None and not 1 <= limit <= 200:
         raise ValueError("limit must be between 1 and 200")
     if status == "ok":
         return "passed", None
     try:
-        stored = spark.read.parquet(root).filter(F.col("rule_id") == rule_id)
-    except Exception:  # noqa: BLE001 - nothing was ever stored under this root
+        stored = spark.read.schema("row string").parquet(_rule_folder(root, rule_id))
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return "not_stored", None
     if stored.isEmpty():
         return "not_stored", None
-    return "rows", stored.select("row").limit(limit)
+    return "rows", stored if limit is None else stored.limit(limit)
 
 
 def append_history(spark: SparkSession, table: str, incoming: DataFrame, keys: Sequence[str],
@@ -262,5 +280,5 @@ def append_history(spark: SparkSession, table: str, incoming: DataFrame, keys: S
     from millrace.operators.ingest import append_if_absent
 
     if not spark.catalog.tableExists(table):
-        spark.catalog.createTable(table, path=fresh_path(spark, table), source="parquet", schema=incoming.schema)
+        spark.catalog.createTable(table, path=table_path(spark, table), source="parquet", schema=incoming.schema)
     return _append(spark, table, append_if_absent(spark.table(table), incoming, keys, order))

@@ -95,12 +95,12 @@ def test_placeholders(spark):
 def test_dedupe_keeps_last_value_at_first_place(spark):
     df = spark.createDataFrame(
         [("a", 1, 0), ("b", 2, 1), ("a", 3, 2), (None, 4, 3), ("", 5, 4)], "k string, v int, pos int")
-    got = [tuple(r) for r in ing.dedupe_batch(df, "k", "pos").orderBy("pos").collect()]
+    got = [tuple(r) for r in ing.dedupe_batch(df, ["k"], "pos").orderBy("pos").collect()]
     assert got == [("a", 3, 0), ("b", 2, 1), ("", 5, 3)]
-    assert ing.dedupe_counts(df, "k").head().dropped == 2
-    again = ing.dedupe_batch(ing.dedupe_batch(df, "k", "pos"), "k", "pos")
+    assert ing.dedupe_counts(df, ["k"]).head().dropped == 2
+    again = ing.dedupe_batch(ing.dedupe_batch(df, ["k"], "pos"), ["k"], "pos")
     assert again.count() == 3
-    assert ing.dedupe_batch(df, " , ", "pos") is df
+    assert ing.dedupe_batch(df, [], "pos") is df
 
 
 def test_stringify_rejects_reserved_column(spark):
@@ -252,8 +252,10 @@ def name(prefix):
 def test_load_raw(spark):
     t = name("raw")
     df = spark.createDataFrame([("a", 1, 0), ("a", 2, 1)], "k string, v int, pos int")
-    out = tables.load_raw(spark, t, df, mode="append", dedupe="k", pos="pos", ingested_at="t1")
+    out = tables.load_raw(spark, t, df, mode="append", dedupe=["k"], pos="pos", ingested_at="t1")
     assert out == {"table": t, "rows": 1, "mode": "append", "created": True, "deduped": 1}
+    with pytest.raises(ValueError, match="position"):
+        tables.load_raw(spark, t, df, dedupe=["k"], ingested_at="t1")
     swapped = spark.createDataFrame([(5, "b")], "v int, k string")
     assert tables.load_raw(spark, t, swapped, ingested_at="t2")["created"] is False
     assert sorted(map(tuple, spark.table(t).collect())) == [("a", "2", "t1"), ("b", "5", "t2")]
@@ -361,3 +363,30 @@ def test_manifest_file(spark, tmp_path):
     assert rules[("t", "a")].kwargs == {"where": "n > 1"} and not rules[("s", "a")].enabled and rules[("s", "x")].singular
     assert [tuple(r) for r in got["columns"].orderBy("pos").collect()] == [
         ("a", 0, "id", "Key", "INT", True), ("a", 1, "n", "n", "", False)]
+
+
+def test_header_names_like_generated_ones_and_equal_names(spark):
+    path = fresh_path(spark, "csv")
+    spark.createDataFrame([("a,_c1, b ,,b",), ("1,2,3,4,5",)], "value string").coalesce(1).write.text(path)
+    got = files.read_csv_raw(spark, path)
+    assert got.columns == ["a", "_c1", "b"] and [tuple(r) for r in got.collect()] == [("1", "2", "5")]
+
+
+def test_nested_nulls_are_kept_as_text(spark):
+    df = spark.sql("SELECT named_struct('a', 1, 'b', CAST(NULL AS INT)) AS s")
+    assert ing.stringify(df, "t").head().s == '{"a":1,"b":null}'
+
+
+def test_storing_violations_again_replaces_them_and_exports_have_no_cap(spark):
+    root = fresh_path(spark, "v")
+    for _ in range(2):
+        tables.store_violations(spark.range(300).repartition(3), "r/1", root)
+    assert tables.read_violations(spark, root, "r/1", status="err", limit=None)[1].count() == 300
+    path = fresh_path(spark, "export")
+    tables.export_csv(spark.range(12_000), path)
+    assert files.read_csv_raw(spark, path).count() == 12_000
+
+
+def test_dedupe_takes_columns_that_have_no_order(spark):
+    df = spark.sql("SELECT 'a' AS k, map('x', 1) AS m, 0 AS pos UNION ALL SELECT 'a', map('x', 2), 1")
+    assert [r.m for r in ing.dedupe_batch(df, ["k"], "pos").collect()] == [{"x": 2}]

@@ -77,7 +77,9 @@ def test_spec_errors(sales, spec, message):
 
 
 def test_limits_and_order(sales):
-    assert [an.row_limit(x) for x in (0, None, 7, 5000)] == [100, 100, 7, 1000]
+    assert [an.row_limit(x) for x in (0, None, 7, 1000)] == [100, 100, 7, 1000]
+    with pytest.raises(an.SpecError, match="between 1 and 1000"):
+        an.row_limit(5000)
     out = an.analyze(sales, {"dimensions": ["region"], "metrics": [{"col": "price", "agg": "SUM"}], "limit": 2})
     assert [tuple(r) for r in out.collect()] == [("a", 30.0), ("b", 12.0)]
     assert an.analyze(sales, {"dimensions": ["n"], "limit": 3}).count() == 3
