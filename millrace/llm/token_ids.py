@@ -35,7 +35,7 @@ from millrace.plans.durable import fresh_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHE_PARTS = 400_000
+CACHE_PARTS = 120_000
 _PART = re.compile(r" *[^ ]+(?:(?<=\s) +[^ ]+)*(?:(?<=\s) +$)?| +").findall
 _MEETING = re.compile(r"\s | $").search  # a blank after white space, or at the end
 _LATIN = r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)"
