@@ -35,10 +35,10 @@ from millrace.plans.durable import fresh_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHE_PARTS = 120_000
+CACHE_PARTS = 80_000
 _PART = re.compile(r" *[^ ]+(?:(?<=\s) +[^ ]+)*(?:(?<=\s) +$)?| +").findall
 _MEETING = re.compile(r"\s | $").search  # a blank after white space, or at the end
-_LATIN = r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([.,;:!?]*)"
+_LATIN = r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]*)"
 _PLAIN = re.compile(rf"{_LATIN}(?:\n{_LATIN})?").fullmatch
 
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary"
@@ -70,9 +70,13 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
 class Encoder:
     """Whole texts to ids through the tokenizer, remembering the parts it has met.
 
-    A part is what stands between two blanks. Latin words with an optional tail of sentence marks, one or
-    two with a single line break between them, have the same pre-tokens whatever surrounds them, so a new one goes straight to the tokenizer's model; any other new part
-    goes through the whole tokenizer. A text where a blank touches other white space is cut by ``_PART``.
+    A part is what stands between two blanks. Latin words with an optional tail of ASCII punctuation, one or
+    two with a single line break between them, have the same pre-tokens whatever surrounds them, so a new one
+    goes straight to the tokenizer's model; any other new part goes through the whole tokenizer. A text where a
+    blank touches other white space is cut by ``_PART``.
+
+    Two generations of at most ``cache`` parts (and those of one text) are remembered: when the younger is full
+    it becomes the older, so parts in steady use stay known while rare ones are forgotten.
     """
 
     def __init__(self, path: str, cache: int = CACHE_PARTS) -> None:
@@ -80,41 +84,50 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.limit = cache
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.letters = {b: self.spell.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
-        high = {c.encode(): self.spell.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xC0, 0x250))}
-        self.bytes = dict(self.letters)
-        for raw, shown in high.items():
-            self.bytes.update(zip(raw, shown))
+        self.older: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
+        self.blank, self.line = spell(" ")[0][0], self._model(spell("\n")[0][0])
+        self.shown = {i: spell(chr(i))[0][0] for i in range(0xC0, 0x250)}
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _model(self, pre_token: str) -> bytes:
-        code = self.words.get(pre_token)
+    def _model(self, shown: str) -> bytes:
+        """Ids of a pre-token in the tokenizer's spelling."""
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _spelled(self, word: str) -> str:
+        return word if word.isascii() else word.translate(self.shown)
+
+    def _bare(self, pre_token: str) -> bytes:
+        """Ids of a word or of punctuation without a blank in front."""
+        code = self.bare.get(pre_token)
         if code is None:
-            shown = "".join(map(self.bytes.__getitem__, pre_token.encode()))
-            code = array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-            if len(self.words) > self.limit:
-                self.words.clear()
-            self.words[pre_token] = code
+            if len(self.bare) >= self.limit // 4:
+                self.bare.clear()
+            code = self.bare[pre_token] = self._model(self._spelled(pre_token))
         return code
 
     def _part(self, part: str) -> bytes:
-        """Ids of a blank followed by ``part``."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        plain = _PLAIN(part)
-        if plain is None:
-            code = self._whole(" " + part)
-        else:
-            word, tail, below, end = plain.groups()
-            code = self._model(" " + word) + (self._model(tail) if tail else b"")
-            if below:
-                code += self._model("\n") + self._model(below) + (self._model(end) if end else b"")
+        """Ids of a blank followed by ``part``, new or of the older generation."""
+        code = self.known.get(part) or self.older.get(part)
+        if code is None:
+            plain = _PLAIN(part)
+            if plain is None:
+                code = self._whole(" " + part)
+            else:
+                word, tail, below, end = plain.groups()
+                if not tail and not below:
+                    code = self._model(self.blank + self._spelled(word))
+                else:
+                    code = self._part(word)
+                    if tail:
+                        code += self._bare(tail)
+                    if below:
+                        code += self.line + self._bare(below) + (self._bare(end) if end else b"")
         self.known[part] = code
         return code
 
@@ -126,6 +139,8 @@ class Encoder:
         got = list(map(self.known.get, rest))
         if None in got:
             got = [code if code is not None else self._part(p) for code, p in zip(got, rest)]
+            if len(self.known) > self.limit:
+                self.known, self.older = {}, self.known
         return self._whole(first) + b"".join(got)
 
 
