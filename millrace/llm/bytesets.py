@@ -7,12 +7,13 @@ only a single text longer than the bound is ever handled in one piece of its own
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 19
 _RNG = np.random.default_rng(20240611)
 BYTE_CODE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = int(_RNG.integers(2**62, 2**63)) * 2 + 1
@@ -46,6 +47,22 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         i = j
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``run`` for ``mapInArrow``, handing freed memory back when a task's rows end: Spark keeps its Python workers,
+    and what an idle one holds on to counts against the executor's memory."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Finish a polynomial hash so that every bit depends on every input byte."""
     h = h ^ (h >> np.uint64(31))
@@ -96,12 +113,15 @@ class Prefix:
 
     def __init__(self, codes: np.ndarray) -> None:
         n = len(codes) + 1
-        if len(Prefix._powers) < n:
+        self._powers, self._inverse = Prefix._powers, Prefix._inverse
+        if len(self._powers) < n:
             size = 1 << int(n - 1).bit_length()
-            Prefix._powers = self._table(BASE, size)
-            Prefix._inverse = self._table(pow(BASE, -1, 1 << 64), size)
+            self._powers = self._table(BASE, size)
+            self._inverse = self._table(pow(BASE, -1, 1 << 64), size)
+            if size <= 2 * PIECE_BYTES:  # the tables of one very long text go with it
+                Prefix._powers, Prefix._inverse = self._powers, self._inverse
         self.sums = np.zeros(n, np.uint64)
-        np.cumsum(codes * Prefix._powers[: n - 1], out=self.sums[1:])
+        np.cumsum(codes * self._powers[: n - 1], out=self.sums[1:])
 
     @staticmethod
     def _table(base: int, size: int) -> np.ndarray:
@@ -111,5 +131,5 @@ class Prefix:
         return out
 
     def ranges(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        h = (self.sums[end] - self.sums[start]) * Prefix._inverse[start]
+        h = (self.sums[end] - self.sums[start]) * self._inverse[start]
         return mix(h + np.uint64(0x632BE59BD9B4E019) * (end - start).astype(np.uint64))

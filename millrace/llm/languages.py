@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.bytesets import pieces, text_buffer
+from millrace.llm.bytesets import pieces, text_buffer, tidy
 from millrace.llm.frames import split_of
 
 TRAIN_DOCS = 400
@@ -177,4 +177,4 @@ def predict(documents: DataFrame, model: Model, *, key: str = "doc_id", text: st
                 )
 
     source = documents.select(F.col(key).cast("long").alias(key), F.col(text).alias("text"))
-    return source.mapInArrow(run, f"`{key}` long, lang_pred string, score double, bits_per_byte double")
+    return source.mapInArrow(tidy(run), f"`{key}` long, lang_pred string, score double, bits_per_byte double")

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.bytesets import tidy
+
 TRAIN_PAGES = 500
 TRAIN_BYTES = 65_536
 
@@ -291,4 +293,4 @@ def main_texts(pages: DataFrame, model: Model) -> DataFrame:
                 )
 
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html")
-    return source.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return source.mapInArrow(tidy(run), "page_id long, url string, text string, n_chars long")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import shingles as S
-from millrace.llm.bytesets import mix, pieces, text_buffer
+from millrace.llm.bytesets import mix, pieces, text_buffer, tidy
 from millrace.llm.components import components
 from millrace.llm.frames import cut, tidy_shuffles, up_to_bound
 from millrace.llm.suffixes import NO_ID, named, numbered
@@ -74,7 +74,7 @@ def features(docs: DataFrame, rows_per_band: int) -> DataFrame:
                     ["doc_id", "row", "line", "one", "two", "bands"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, row long, line int, one long, two long, bands array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, row long, line int, one long, two long, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     cells = [grams[where[k] : where[k + 1]].tobytes() for k in hit.tolist()]
                     yield pa.RecordBatch.from_arrays([pa.array(signed[hit]), pa.array(cells, pa.binary())], ["id", "codes"])
 
-    return texts.mapInArrow(run, "id long, codes binary").dropDuplicates(["id"])
+    return texts.mapInArrow(tidy(run), "id long, codes binary").dropDuplicates(["id"])
 
 
 def near_copies(docs: DataFrame, *, least: float = S.SIMILARITY, recall: float = RECALL) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bytesets import BASE, BYTE_CODE, Prefix, mix, pieces, text_buffer
+from millrace.llm.bytesets import BASE, BYTE_CODE, Prefix, mix, pieces, text_buffer, tidy
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -125,7 +125,7 @@ def per_text(df: DataFrame, text_at: int, schema: str, fn: Callable[[pa.RecordBa
                 if columns is not None:
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def int64(values: np.ndarray) -> pa.Array:
@@ -210,7 +210,7 @@ def similar_links(buckets: DataFrame, least: float) -> DataFrame:
         if size:
             yield _links(found_a, found_b)
 
-    return _by_block(buckets, ["bucket", "i", "j"], ["id", "sketch"]).mapInArrow(run, "a long, b long").distinct()
+    return _by_block(buckets, ["bucket", "i", "j"], ["id", "sketch"]).mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def _links(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -270,7 +270,7 @@ def linked_blocks(blocks: DataFrame, group: str, least: float = SIMILARITY) -> D
             )
 
     rows = _by_block(blocks, [group, "i", "j"], ["id", "side", "copies", "codes"])
-    return rows.mapInArrow(run, "id long, other long, links long")
+    return rows.mapInArrow(tidy(run), "id long, other long, links long")
 
 
 def exact_near(cells: list[bytes], least: float) -> np.ndarray:

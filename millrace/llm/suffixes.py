@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.bytesets import BYTE_CODE, Prefix, gram_hashes, mix, pieces, text_buffer, window_min
+from millrace.llm.bytesets import BYTE_CODE, Prefix, gram_hashes, mix, pieces, text_buffer, tidy, window_min
 from millrace.llm.frames import cut, tidy_shuffles
 from millrace.llm.shingles import groups, int64
 
@@ -86,7 +86,7 @@ def _rows(documents: DataFrame) -> DataFrame:
                     ["gram", "body", "doc_id", "row", "start", "n"],
                 )
 
-    return documents.mapInArrow(run, "gram long, body long, doc_id long, row long, start long, n int")
+    return documents.mapInArrow(tidy(run), "gram long, body long, doc_id long, row long, start long, n int")
 
 
 def _judge(rows: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def _judge(rows: DataFrame) -> DataFrame:
 
     order = ["gram", "body", "doc_id", "row", "start"]
     laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return laid.mapInArrow(run, "doc_id long, row long, start long, n int, gram long, kind int")
+    return laid.mapInArrow(tidy(run), "doc_id long, row long, start long, n int, gram long, kind int")
 
 
 def multikey_order(heads: np.ndarray, owner: np.ndarray, texts: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +205,7 @@ def _compare_groups(bodies: DataFrame) -> DataFrame:
     laid = bodies.select("gram", "doc_id", "row", "start", "n", "body").repartition("gram").sortWithinPartitions(
         "gram", "doc_id", "row", "start"
     )
-    return laid.mapInArrow(run, "doc_id long, row long, start long, end long")
+    return laid.mapInArrow(tidy(run), "doc_id long, row long, start long, end long")
 
 
 def _compare_codes(bodies: DataFrame) -> DataFrame:
@@ -229,7 +229,7 @@ def _compare_codes(bodies: DataFrame) -> DataFrame:
                 )
 
     strings = cut(
-        bodies.select("doc_id", "row", "start", "n", "body").mapInArrow(run, "one long, two long, doc_id long, row long, start long"),
+        bodies.select("doc_id", "row", "start", "n", "body").mapInArrow(tidy(run), "one long, two long, doc_id long, row long, start long"),
         "strings",
     )
     firsts = strings.groupBy("one", "two").agg(
@@ -267,7 +267,7 @@ def _bodies(documents: DataFrame, wanted: DataFrame) -> DataFrame:
                 )
 
     return texts.select("doc_id", "row", "text", "spans").mapInArrow(
-        run, "gram long, kind int, doc_id long, row long, start long, n int, body binary"
+        tidy(run), "gram long, kind int, doc_id long, row long, start long, n int, body binary"
     )
 
 
@@ -338,6 +338,6 @@ def remove_repeats(documents: DataFrame) -> DataFrame:
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
-        out = joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+        out = joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
         return out.withColumn("doc_id", named("doc_id"))
 

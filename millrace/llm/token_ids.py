@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from millrace.llm.bytesets import text_buffer, tidy
 from millrace.llm.frames import cut, tidy_shuffles
 from millrace.plans.durable import fresh_path
 
@@ -170,12 +171,10 @@ def encoded(documents: DataFrame, tokenizer_path: str, *, end_id: int = END_ID)
                     [some.column(0), pa.array([i + end for i in ids], pa.binary())], ["doc_id", "ids"]
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, ids binary")
 
 
 def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    from millrace.llm.bytesets import text_buffer
-
     raw, offsets = text_buffer(column)
     return raw.view("<u4") if raw.flags.aligned and raw.ctypes.data % 4 == 0 else raw.copy().view("<u4"), offsets // 4
 
@@ -196,7 +195,7 @@ def _counted(ids: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token_id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+    return ids.select("ids").mapInArrow(tidy(run), "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
 
 
 def write_files(documents: DataFrame, tokenizer_path: str, path: str, *, end_id: int = END_ID) -> None:
@@ -232,7 +231,7 @@ def write_files(documents: DataFrame, tokenizer_path: str, path: str, *, end_id:
                     i, block = j, block + 1
 
         laid = ids.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-        laid.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
+        laid.mapInArrow(tidy(run), BLOCKS).write.parquet(f"{path}/blocks")
 
 
 _BLOCK_NAMES = ["shard", "block", "n_ids", "doc_ids", "lengths", "control", "data"]
@@ -273,7 +272,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def round_trip(documents: DataFrame, tokenizer_path: str, *, end_id: int = END_ID) -> DataFrame:

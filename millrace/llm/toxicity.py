@@ -29,6 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.bytesets import tidy
 from millrace.llm.frames import split_of
 
 TRAIN_TOXIC = 1_500
@@ -220,7 +221,7 @@ def score(documents: DataFrame, model: Model, *, key: str = "doc_id", text: str
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(b.column(1), scorer))], [key, "score"])
 
-    return source.mapInArrow(run, f"`{key}` long, score double")
+    return source.mapInArrow(tidy(run), f"`{key}` long, score double")
 
 
 def keep_ordinary(documents: DataFrame, model: Model, *, text: str = "text", limit: float = 0.5) -> DataFrame:
@@ -232,4 +233,4 @@ def keep_ordinary(documents: DataFrame, model: Model, *, text: str = "text", lim
         for b in batches:
             yield b.filter(pa.array(_scores(b.column(at), scorer) < limit))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.bytesets import tidy
 from millrace.llm.components import components
 from millrace.llm.frames import cut, tidy_shuffles
 
@@ -87,7 +88,7 @@ def _placed(classes: DataFrame, pivots: dict[int, np.ndarray], radius: float) ->
                 )
 
     return classes.select("cls", "v", "copies").mapInArrow(
-        run, "cls long, copies long, dim int, home int, near array<int>, unit binary"
+        tidy(run), "cls long, copies long, dim int, home int, near array<int>, unit binary"
     )
 
 
@@ -183,7 +184,7 @@ def _joined(dealt: DataFrame, cosine: float) -> DataFrame:
 
     rows = dealt.select("dim", "cell", "block", "side", "cls", "copies", "unit")
     laid = rows.repartition("dim", "cell", "block").sortWithinPartitions("dim", "cell", "block", "side")
-    return laid.mapInArrow(run, "cls long, other long, links long")
+    return laid.mapInArrow(tidy(run), "cls long, other long, links long")
 
 
 def near_vectors(embeddings: DataFrame, *, cosine: float = COSINE, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
