@@ -36,7 +36,7 @@ COSINE = 0.95
 BLOCK = 4_096
 STREAM = 1_024
 PIVOTS = 1_024  # at most; their vectors are the only ones that reach the driver
-SLACK = 1e-9
+SLACK = 1e-9  # more than a squared distance loses to rounding
 
 
 def _units(cells: list[bytes]) -> np.ndarray:
@@ -54,14 +54,28 @@ def _classes(embeddings: DataFrame, id_col: str, vector: str) -> DataFrame:
     return cut(rows.distinct().groupBy("v").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("low")), "vectors")
 
 
+def _distinct(points: np.ndarray) -> np.ndarray:
+    """Pivots without those that coincide with an earlier one up to rounding."""
+    square, kept = 2.0 - 2.0 * points @ points.T, []
+    for k in range(len(points)):
+        if (square[k, kept] > SLACK).all():
+            kept.append(k)
+    return points[kept]
+
+
 def _near_cells(units: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Home cell of each vector, and the lower-numbered cells in which it may have a partner."""
+    """Home cell of each vector, and the lower-numbered cells in which it may have a partner.
+
+    ``SLACK`` is added to squared lengths before a root is taken: near zero the root would magnify their rounding, and as a
+    factor of a distance that cancelled to zero it would allow for nothing.
+    """
+    radius = math.sqrt(radius * radius + SLACK)
     square = np.maximum(0.0, 2.0 - 2.0 * units @ pivots.T)
     home = square.argmin(1)
     own = square[np.arange(len(units)), home]
-    apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * pivots @ pivots.T))[home]
-    plane = (square - own[:, None]) <= 2.0 * apart * (radius + SLACK)
-    ball = np.sqrt(square) <= np.sqrt(own)[:, None] + 2.0 * radius + SLACK
+    apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * pivots @ pivots.T) + SLACK)[home]
+    plane = (square - own[:, None]) <= 2.0 * apart * radius + SLACK
+    ball = np.sqrt(square) <= np.sqrt(own + SLACK)[:, None] + 2.0 * radius + SLACK
     lower = np.arange(len(pivots))[None, :] < home[:, None]
     reach = plane & ball & lower
     return home, [np.flatnonzero(r) for r in reach]
@@ -201,7 +215,7 @@ def near_vectors(embeddings: DataFrame, *, cosine: float = COSINE, id_col: str =
             )
             points = np.array([r["v"] for r in drawn], float)
             points /= np.abs(points).max(1, keepdims=True)
-            pivots[row["dim"]] = points / np.linalg.norm(points, axis=1, keepdims=True)
+            pivots[row["dim"]] = _distinct(points / np.linalg.norm(points, axis=1, keepdims=True))
         placed = cut(_placed(classes, pivots, radius), "placed")
         # One row per cell: bounded by the pivots.
         blocks = placed.groupBy("dim", F.col("home").alias("cell")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("n"))

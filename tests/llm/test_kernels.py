@@ -184,3 +184,22 @@ def test_near_cells_lose_no_pair():
         for j in range(i):
             if points[i] @ points[j] >= 0.95:
                 assert min(home[i], home[j]) in cells[i] & cells[j]
+
+
+def test_coincident_pivots_lose_no_pair():
+    rng = np.random.default_rng(9)
+    lost = 0
+    for _ in range(40):
+        one = rng.normal(size=64).astype(np.float32)
+        twins = np.repeat(one[None, :], 4, 0)
+        twins[[1, 2, 3], rng.integers(0, 64, 3)] *= np.float32(1) + np.finfo(np.float32).eps
+        pivots = twins.astype(float)
+        pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+        points = one + rng.normal(scale=0.1, size=(40, 64))
+        points /= np.linalg.norm(points, axis=1, keepdims=True)
+        home, near = vectors._near_cells(points, pivots, math.sqrt(2 - 2 * 0.95))
+        cells = [{int(h), *n.tolist()} for h, n in zip(home, near)]
+        for i, j in zip(*np.nonzero(points @ points.T >= 0.95)):
+            lost += min(home[i], home[j]) not in cells[i] & cells[j]
+        assert len(vectors._distinct(np.r_[pivots, -pivots])) == 2
+    assert lost == 0
