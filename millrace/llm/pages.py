@@ -11,7 +11,7 @@ element label themselves, its blocks outside boilerplate are content and all els
 (``TRAIN_PAGES`` pages of at most ``TRAIN_BYTES`` bytes, by a hash of the id); every whole page is extracted.
 
 Text: character references decoded, white space inside a block one blank, trimmed, blocks joined by a line break. Scripts,
-styles, head and markup are never nodes; a tag cut off by the end of the page is dropped. Defined cases: null or empty html
+styles, titles and markup are never nodes; a tag cut off by the end of the page is dropped. Defined cases: null or empty html
 gives an empty text; repeated rows give equal rows; without labelled pages the prior alone decides. Other columns are not read.
 """
 
@@ -34,7 +34,9 @@ TRAIN_BYTES = 65_536
 
 # HTML element names by their role.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style noscript template iframe svg math object textarea select title head".split())
+_RAW = frozenset("script style iframe textarea title".split())  # hold text up to their end tag, or to the page's end
+_HIDDEN = frozenset("noscript template svg math object select".split())  # hold elements; without an end tag they hide nothing
+_FOREIGN = frozenset("svg math".split())
 _BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -60,6 +62,17 @@ _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|</?[a-zA-Z][^>]*\Z",
     re.S,
 )
+_END = {n: re.compile(rf"</{n}(?=[\s/>])[^>]*(?:>|\Z)", re.I | re.A) for n in _RAW | _HIDDEN}
+#: Elements that may hold HTML inside svg and math, and those that end svg and math anywhere else in them.
+_HOLDERS = "foreignobject|desc|title|annotation-xml|mtext|mi|mo|mn|ms"
+_BREAKS = "|".join(sorted(_BLOCKS)) + "|b|big|br|code|em|embed|head|i|img|listing|meta|nobr|ruby|s|small|span|strong|strike|sub|sup|tt|u|var"
+_INSIDE = {
+    n: re.compile(
+        rf"<!--.*?(?:-->|\Z)|<(/?)(?:({n})|({_HOLDERS if n in _FOREIGN else '(?!)'})|({_BREAKS if n in _FOREIGN else '(?!)'}))(?=[\s/>])([^>]*)>",
+        re.I | re.A | re.S,
+    )
+    for n in _HIDDEN
+}
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -104,12 +117,35 @@ def _words(attributes: str) -> set[str]:
     return {w for m in _NAMES.findall(attributes) for v in m if v for w in _SPLIT.split(v.lower())}
 
 
+def _hidden_end(page: str, name: str, start: int) -> tuple[int, bool]:
+    """Where a hidden element ends whose start tag ends at ``start``, and whether its tags are paired.
+
+    Nested ones of its name are counted; where they do not come out even, it ends at the first end tag, and without one at
+    ``start``.
+    """
+    depth, held, first = 1, 0, start
+    for m in _INSIDE[name].finditer(page, start):
+        if m[2]:
+            depth += -1 if m[1] else not (name in _FOREIGN and m[5].endswith("/"))
+            if m[1] and first == start:
+                first = m.end()
+            if not depth:
+                return m.end(), True
+        elif m[3]:
+            held = max(0, held - 1) if m[1] else held + (not m[5].endswith("/"))
+        elif m[4] and not m[1] and not held:
+            return m.start(), True
+    return first, False
+
+
 def parse(page: str) -> Tree:
     """The tree of a page; tolerant of unclosed and stray tags."""
     tree = Tree()
     stack = [tree.add(-1, 2, 24, "#page", None, 0)]
     opened: dict[str, int] = {}
-    block, at, skip, links = 0, 0, "", 0
+    block, at, links = 0, 0, 0
+    odd: set[str] = set()  # hidden elements whose tags were found unpaired up to the page's end: not counted again
+    gone: set[str] = set()  # those of them without a further end tag
 
     def close(name: str) -> None:
         nonlocal block, links
@@ -133,11 +169,7 @@ def parse(page: str) -> Tree:
         tail = " " if raw[-1].isspace() else ""
         tree.add(stack[-1], 4, size * 4 + ends * 2 + (links > 0), "#text", lead + words + tail, block)
 
-    for m in _TAG.finditer(page):
-        if skip:
-            if m[1] == "/" and m[2].lower() == skip or m[4] == "/" and m[5].lower() == skip:
-                skip, at = "", m.end()
-            continue
+    while m := _TAG.search(page, at):
         if m.start() > at:
             say(page[at : m.start()])
         at = m.end()
@@ -151,9 +183,21 @@ def parse(page: str) -> Tree:
                 block += 1
             continue
         attributes = m[3] or m[6] or ""
+        if name == "head":  # nothing of its own: what stands in it is void or raw, all else belongs to the body
+            continue
         if name in _RAW:
-            if not attributes.endswith("/") or name not in ("svg", "math"):
-                skip = name
+            end = _END[name].search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if name in _HIDDEN:
+            if name in odd:
+                end = _END[name].search(page, at) if name not in gone else None
+                at = end.end() if end else at
+                gone |= set() if end else {name}
+            elif not attributes.endswith("/") or name not in _FOREIGN:
+                at, paired = _hidden_end(page, name, at)
+                if not paired:
+                    odd.add(name)
             continue
         if name in _VOID:
             if name == "br" and tree.text[-1] is not None:
@@ -175,7 +219,7 @@ def parse(page: str) -> Tree:
         stack.append(tree.add(stack[-1], kind, 25 if side else 26 if main else 24, name, None, block))
         opened[name] = opened.get(name, 0) + 1
         links += name == "a"
-    if not skip and at < len(page):
+    if at < len(page):
         say(page[at:])
     return tree
 

@@ -203,3 +203,29 @@ def test_coincident_pivots_lose_no_pair():
             lost += min(home[i], home[j]) not in cells[i] & cells[j]
         assert len(vectors._distinct(np.r_[pivots, -pivots])) == 2
     assert lost == 0
+
+
+@pytest.mark.parametrize("before", [
+    "<head><title>T</title><meta name=a content=b>",
+    "<head><title>T</title><body>",
+    "<head><script>for(;i<n;i++){f()}</script></head>",
+    "<head><script>for(;i<n;i++){f()}</script>",
+    "<head><style>a:after{content:'<!--'}</style></head>",
+    "<script>if(a<b)x='<p';</SCRIPT\n>",
+    "<script>s='</scripts>'</script>",
+    "<svg><svg><text>No label.</text></svg><text>No label either.</text></svg>",
+    "<svg><foreignObject><p>No label.</p></foreignObject></svg>",
+    "<svg><path d=''>", "<svg/>", "<noscript>", "<template><p>No.</p><template></template><p>No.</p></template>",
+    "<select><option>No.</select>", "<textarea>if a<b then</textarea>",
+])
+def test_skipped_elements_end_where_they_should(before):
+    said = "Some words of the main text stand here, and they are long enough."
+    page = f"<html>{before}<article><p>{said}</p></article>"
+    assert pages.extract(page, pages.Model()) == said
+
+
+def test_unpaired_hidden_elements_hide_no_more_than_one_end_tag():
+    said = "Some words of the main text stand here, and they are long enough."
+    page = "<object><object>x</object>" + f"<article><p>{said}</p></article>" + "<object>" * 3000
+    assert pages.extract(page, pages.Model()) == said
+    assert pages.extract("<script>var a = 1 < 2;", pages.Model()) == ""
