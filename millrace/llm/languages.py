@@ -10,7 +10,8 @@ orders is solved once per tree: orders up to 2 are a dense table, and the most v
 their own. Scoring a text is two table lookups per byte.
 
 Training reads a bounded sample: per language at most ``TRAIN_DOCS`` documents of at most ``TRAIN_BYTES`` bytes, by a hash of
-the id. Bytes beyond the ``SYMBOLS`` - 1 most frequent share one symbol. Scoring reads every whole text.
+the id; where these are too few, the shortest of the longer ones are added while a language holds at most ``TRAIN_BYTES`` bytes
+a document, and one in any case. Bytes beyond the ``SYMBOLS`` - 1 most frequent share one symbol. Scoring reads every whole text.
 
 Defined cases: a null or letterless text is ``und`` with score 0; a row without lang never trains; with no training row
 every text is ``und``; equal code lengths fall to the first language in order; repeated rows are scored alike.
@@ -126,15 +127,20 @@ def code_lengths(model: Model, raw: np.ndarray, offsets: np.ndarray) -> np.ndarr
 def train(documents: DataFrame, *, fold: int = 3, held_out: int = 1) -> Model:
     """Fit on documents with a language whose id does not fall into the held-out remainder."""
     usable = documents.select("doc_id", "lang", F.octet_length("text").alias("_n")).filter(
-        (F.col("_n") > 0) & (F.col("_n") <= TRAIN_BYTES) & F.col("lang").isNotNull() & (split_of("doc_id", fold) != held_out)
+        (F.col("_n") > 0) & F.col("lang").isNotNull() & (split_of("doc_id", fold) != held_out)
     )
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.lit("languages"), "doc_id"), "doc_id"))
+    length = F.when(F.col("_n") > TRAIN_BYTES, F.col("_n")).otherwise(0)  # long texts come last, the shortest of them first
+    order = Window.partitionBy("lang").orderBy(length, F.xxhash64(F.lit("languages"), "doc_id"), "doc_id")
+    place = F.row_number().over(order)
     # At most TRAIN_DOCS ids per language: Spark limits each task's part before the shuffle.
-    picked = usable.select("doc_id", "lang", place.alias("_p")).filter(F.col("_p") <= TRAIN_DOCS).select("doc_id", "lang")
-    ids = picked.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).distinct()
+    picked = usable.select("doc_id", "lang", "_n", place.alias("_p")).filter(F.col("_p") <= TRAIN_DOCS)
+    before = F.sum("_n").over(Window.partitionBy("lang").orderBy("_p").rowsBetween(Window.unboundedPreceding, 0))
+    picked = picked.withColumn("_bytes", before).filter((F.col("_p") == 1) | (F.col("_bytes") <= TRAIN_DOCS * TRAIN_BYTES))
+    ids = picked.groupBy(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")).agg(F.max("_n").alias("_most"))
     rows = (
-        documents.select("doc_id", "lang", "text").filter(F.octet_length("text") <= TRAIN_BYTES)
+        documents.select("doc_id", "lang", "text")
         .join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("lang") == F.col("_lang")))
+        .filter(F.octet_length("text") <= F.greatest(F.lit(TRAIN_BYTES), "_most"))
         .select("lang", "text").distinct().collect()
     )
     samples: dict[str, list[bytes]] = {}

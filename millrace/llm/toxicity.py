@@ -7,8 +7,10 @@ between words, each window is compressed under both, and what the toxic dictiona
 the evidence. A logistic threshold over a text's largest savings is calibrated on labelled documents
 that did not train the dictionaries.
 
-Training reads a bounded sample (``TRAIN_TOXIC`` and ``TRAIN_ORDINARY`` labelled documents of at most
-``TRAIN_BYTES`` bytes each, chosen by a hash of the id); scoring reads every whole text.
+Training reads a bounded sample of whole texts (``TRAIN_TOXIC`` and ``TRAIN_ORDINARY`` labelled documents, chosen by a hash
+of the id among those of at most ``TRAIN_BYTES`` bytes; where these are too few, the shortest of the longer ones are added
+while a class holds at most ``TRAIN_BYTES`` bytes a document, and one in any case). The classes are counted over all training
+labels that have a text, and the intercept is set to their true shares. Scoring reads every whole text.
 
 Defined cases: a null or empty text, or one without a word, has no window and gets the calibrated score
 of "no evidence". A label row with null doc_id or null toxic is not used; a document with several label
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.bytesets import tidy
-from millrace.llm.frames import split_of
+from millrace.llm.frames import cut, split_of
 
 TRAIN_TOXIC = 1_500
 TRAIN_ORDINARY = 4_500
@@ -165,35 +167,15 @@ def _calibrate(rows: np.ndarray, wanted: np.ndarray) -> tuple[list[float], list[
     return w.tolist(), np.stack([mean, spread], 1).ravel().tolist()
 
 
-def train(documents: DataFrame, labels: DataFrame, *, fold: int = 5, held_out: int = 0) -> Model:
-    """Fit on labelled documents whose id does not fall into the held-out remainder."""
-    known = (
-        labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-        .filter(split_of("doc_id", fold) != held_out)
-        .groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-        .withColumn("_draw", F.xxhash64(F.lit("toxicity"), "doc_id"))
-    )
-    picks = [
-        known.filter((F.col("_toxic") == 1) if flag else (F.col("_toxic") != 1)).orderBy("_draw", "doc_id").limit(n)
-        for flag, n in ((1, TRAIN_TOXIC), (0, TRAIN_ORDINARY))
-    ]
-    picked = picks[0].unionAll(picks[1])  # at most TRAIN_TOXIC + TRAIN_ORDINARY ids
-    rows = (
-        documents.select("doc_id", "text").filter(F.octet_length("text") <= TRAIN_BYTES)
-        .join(F.broadcast(picked), "doc_id").select("doc_id", "_toxic", "text")
-        .dropDuplicates(["doc_id", "text"]).limit(2 * (TRAIN_TOXIC + TRAIN_ORDINARY)).collect()
-    )
-    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
-    data = [(1 if r["_toxic"] == 1 else 0, r["text"].encode("utf-8", "surrogatepass")) for r in rows]
-    groups = [[t for flag, t in data if flag == side] for side in (1, 0)]
+def fit(groups: list[list[bytes]], totals: tuple[int, int]) -> Model:
+    """Model of sampled (toxic, ordinary) texts; ``totals`` are the classes' sizes before sampling."""
     if not groups[0] or not groups[1]:
         return Model()
     # Two halves: each calibrates the dictionaries of the other; the final ones use all of it.
     found: list[list[float]] = []
     wanted: list[int] = []
     for half in (0, 1):
-        fit = [g[half::2] or g for g in groups]
-        scorer = Scorer(Model(*_dictionaries(*fit)))
+        scorer = Scorer(Model(*_dictionaries(*[g[half::2] or g for g in groups])))
         for side, g in ((1, groups[0]), (0, groups[1])):
             for t in g[1 - half :: 2]:
                 found.append(scorer.features(t))
@@ -201,9 +183,47 @@ def train(documents: DataFrame, labels: DataFrame, *, fold: int = 5, held_out: i
     if len(set(wanted)) < 2:
         return Model()
     weights, shift = _calibrate(np.array(found), np.array(wanted, float))
+    # The classes are sampled apart: take the sample's odds out of the intercept and put the true ones in.
+    weights[0] += math.log(totals[0] / totals[1]) - math.log(sum(wanted) / (len(wanted) - sum(wanted)))
     return Model(*_dictionaries(*groups), weights, shift)
 
 
+def train(documents: DataFrame, labels: DataFrame, *, fold: int = 5, held_out: int = 0) -> Model:
+    """Fit on labelled documents whose id does not fall into the held-out remainder."""
+    known = (
+        labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+        .filter(split_of("doc_id", fold) != held_out)
+        .groupBy("doc_id").agg((F.max("toxic") == 1).cast("int").alias("_toxic"))
+    )
+    texts = documents.select("doc_id", F.octet_length("text").cast("long").alias("_size")).filter("_size is not null")
+    sized = cut(known.join(texts.groupBy("doc_id").agg(F.max("_size").alias("_size")), "doc_id"), "labelled")
+    totals = {r["_toxic"]: r["n"] for r in sized.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen: list[tuple[int, int]] = []
+    for flag, n in ((1, TRAIN_TOXIC), (0, TRAIN_ORDINARY)):
+        drawn = (
+            sized.filter(F.col("_toxic") == flag)
+            .orderBy(F.when(F.col("_size") > TRAIN_BYTES, F.col("_size")).otherwise(0), F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id")
+            .limit(n).collect()
+        )
+        used = 0
+        for r in drawn:
+            used += r["_size"]
+            if used > n * TRAIN_BYTES and used > r["_size"]:  # only long texts come to this
+                break
+            chosen.append((r["doc_id"], flag))
+    if len(totals) < 2:
+        return Model()
+    picked = documents.sparkSession.createDataFrame(chosen, "doc_id long, _toxic int")
+    rows = (
+        documents.select("doc_id", "text").filter("text is not null")
+        .join(F.broadcast(picked), "doc_id").select("doc_id", "_toxic", "text")
+        .dropDuplicates(["doc_id", "text"]).limit(2 * (TRAIN_TOXIC + TRAIN_ORDINARY)).collect()
+    )
+    rows.sort(key=lambda r: (r["doc_id"], r["text"]))
+    data = [(r["_toxic"], r["text"].encode("utf-8", "surrogatepass")) for r in rows]
+    return fit([[t for flag, t in data if flag == side] for side in (1, 0)], (totals[1], totals[0]))
+
+
 def _scores(texts: pa.Array, scorer: Scorer | None) -> np.ndarray:
     if scorer is None:
         return np.zeros(len(texts))

@@ -280,3 +280,38 @@ def test_pipeline_stages_chain(spark):
     assert not any(r.contaminated for r in decontaminate.report(docs, spark.read.parquet(f"{sf}/benchmark.parquet")).collect())
     want = {r.doc_id for r in mixing.plan(docs).collect() if r.taken}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == want
+
+
+def _marked(spark, n):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("aeioustrnl", k=rng.randint(3, 8))) for _ in range(200)]
+    rows, labels = [], []
+    for k in range(n):
+        words = rng.choices(vocabulary, k=30)
+        if k % 10 == 0:
+            words.insert(9, "vexgrumble")
+        rows.append((k, " ".join(words), "en", "a"))
+        labels.append((k, 1, int(k % 10 == 0)))
+    return table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_odds_do_not_follow_the_caps(spark, monkeypatch):
+    def share_only(rows, wanted):
+        share = float(wanted.mean())
+        return [float(np.log(share / (1 - share)))] + [0.0] * rows.shape[1], [0.0, 1.0] * rows.shape[1]
+
+    monkeypatch.setattr(toxicity, "_calibrate", share_only)
+    docs, marks = _marked(spark, 300)
+    for cap in (10_000, 30):
+        monkeypatch.setattr(toxicity, "TRAIN_ORDINARY", cap)
+        scores = [r.score for r in toxicity.score(docs.limit(3), toxicity.train(docs, marks)).collect()]
+        assert scores == pytest.approx([0.1] * 3, abs=0.02), cap
+
+
+def test_training_takes_long_texts_where_short_ones_are_too_few(spark, monkeypatch):
+    docs, marks = _marked(spark, 200)
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 50)
+    assert toxicity.train(docs, marks).trained
+    assert not toxicity.train(docs, marks.filter("toxic = 0")).trained
+    monkeypatch.setattr(languages, "TRAIN_BYTES", 50)
+    assert languages.train(docs).languages == ["en"]
