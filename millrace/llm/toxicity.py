@@ -1,6 +1,6 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled text. The ordinary one holds the words ordinary
+Two zstandard dictionaries are made of words of labelled text (not by zstandard's own training, see README). The ordinary one holds the words ordinary
 documents use most. The toxic one is the ordinary one plus the words of toxic documents around byte
 segments that toxic documents use far more often than ordinary ones. A text is cut into short windows
 between words, each window is compressed under both, and what the toxic dictionary saves per window is
