@@ -14,7 +14,7 @@ import corpus_pipeline
 from millrace.llm import decontaminate, languages, mixing, ngram_join, pages, paragraphs, suffixes, token_ids, toxicity, vectors
 from millrace.llm.components import components
 from millrace.llm.frames import reach_workers
-from test_kernels import shingle_set
+from test_llm_kernels import shingle_set
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, at int, size string"
 
@@ -219,7 +219,7 @@ def test_decontaminate(spark, rows):
 
 
 def _words(text):
-    from test_kernels import words
+    from test_llm_kernels import words
 
     return words(text)
 
