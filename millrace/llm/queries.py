@@ -8,7 +8,10 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, languages, mixing, ngram_join, pages, paragraphs, suffixes, token_ids, toxicity, vectors
+from millrace.llm import (
+    decontaminate, languages, licenses, mixing, ngram_join, pages, paragraphs, spelling, suffixes, token_ids, toxicity,
+    vectors, whitening,
+)
 from millrace.llm.frames import reach_workers, read, split_of
 from millrace.llm.oracles import ORACLES
 
@@ -97,6 +100,29 @@ def op10_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op11_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf, "documents"))
+    base = F.filter("places", lambda p: p["base"])
+    starts = F.transform(base, lambda p: p["word"])
+    labels = lambda of: F.array_join(F.array_sort(F.array_distinct(of)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"), labels(F.transform(base, lambda p: p["label"])).alias("base_labels"),
+        labels("labels").alias("labels"), "score", "expressions",
+    )
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.variants(spelling.noisy_words(read(spark, sf, "documents")))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.per_component(whitening.whiten(read(spark, sf, "embeddings")))
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
