@@ -38,8 +38,8 @@ TWICE = 2
 NOISE = 31
 FACTOR = 10
 #: Words per part of a trie, sampled words per part, and code points of a splitter.
-PART = 100_000
-SAMPLES = 16
+PART = 20_000
+SAMPLES = 8
 SPLITTER = 256
 ROWS_OUT = 50_000
 _LOCAL = 40  # bits of a number inside a part
