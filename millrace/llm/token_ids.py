@@ -13,9 +13,13 @@ Text between blanks is encoded once per worker and remembered (a bounded cache):
 character always starts a new pre-token of this byte-level tokenizer, so encoding the parts apart and joining
 them gives the ids of the whole text. ``tests/llm`` holds that against whole-text encoding.
 
-Defined cases: null text counts as empty (only the end id); special-token strings in a text are ordinary text;
-a null doc_id sorts first; rows with equal doc_id stand next to each other, ordered by their bytes; no rows give
-an empty file set. Other columns are not read.
+On the way to the files a document is one binary cell of the same coding: first by token id, as the ranks are not
+known before all texts are encoded, then by rank, so that the shuffle into doc_id order moves about 1.5 bytes an id.
+
+Defined cases: null text counts as empty (only the end id); a text that holds an added token of the tokenizer (such as
+``<|endoftext|>``) is encoded in one call, which gives that token's id; a null doc_id sorts first; rows with equal
+doc_id stand next to each other, ordered by a code of their ids; no rows give an empty file set. Other columns are not
+read.
 """
 
 from __future__ import annotations
@@ -24,19 +28,20 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.bytesets import text_buffer, tidy
+from millrace.llm.bytesets import pieces, text_buffer, tidy
 from millrace.llm.frames import cut, tidy_shuffles
 from millrace.plans.durable import fresh_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHE_PARTS = 80_000
+CACHE_PARTS = 160_000
 _PART = re.compile(r" *[^ ]+(?:(?<=\s) +[^ ]+)*(?:(?<=\s) +$)?| +").findall
 _MEETING = re.compile(r"\s | $").search  # a blank after white space, or at the end
 _LATIN = r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]*)"
@@ -68,6 +73,44 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     return out.view("<u4").ravel()
 
 
+def pack_each(ranks: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """One cell per document: the control bytes of its ranks, then their data bytes."""
+    ranks = ranks.astype("<u4")
+    counts = np.diff(offsets)
+    size = (ranks > 0xFF).astype(np.uint8) + (ranks > 0xFFFF) + (ranks > 0xFFFFFF)
+    quads = np.r_[0, np.cumsum(-(-counts // 4))]
+    padded = np.zeros(4 * int(quads[-1]), np.uint8)
+    padded[np.arange(len(ranks)) + np.repeat(4 * quads[:-1] - offsets[:-1], counts)] = size
+    padded = padded.reshape(-1, 4)
+    control = padded[:, 0] | padded[:, 1] << 2 | padded[:, 2] << 4 | padded[:, 3] << 6
+    used = np.arange(4)[None, :] <= size[:, None]
+    data = ranks.view(np.uint8).reshape(-1, 4)[used]
+    ends = np.r_[0, np.cumsum(size + np.int64(1))][offsets]  # of the data bytes of each document
+    cells = np.zeros(len(control) + len(data), np.uint8)
+    cells[np.arange(len(control)) + np.repeat(ends[:-1], np.diff(quads))] = control
+    cells[np.arange(len(data)) + np.repeat(quads[1:], np.diff(ends))] = data
+    return pa.Array.from_buffers(
+        pa.large_binary(), len(counts), [None, pa.py_buffer((quads + ends).astype(np.int64).tobytes()), pa.py_buffer(cells.tobytes())]
+    ).cast(pa.binary())
+
+
+def unpack_each(cells: np.ndarray, edges: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ranks of the documents whose cells lie end to end, with ``counts`` ranks each; the inverse of ``pack_each``."""
+    quads = -(-counts // 4)
+    where = np.arange(int(quads.sum())) + np.repeat(edges[:-1] - np.r_[0, np.cumsum(quads)[:-1]], quads)
+    real = np.ones(len(cells), bool)
+    real[where] = False
+    lengths = _LENGTHS[cells[where]].astype(np.uint8).ravel()
+    inside = np.ones(len(lengths), bool)
+    last = 4 * np.cumsum(quads)
+    for k in range(1, 4):  # up to three places of a document's last control byte stand for no rank
+        inside[(last - k)[(4 * quads - counts) >= k]] = False
+    lengths = lengths[inside]
+    out = np.zeros((len(lengths), 4), np.uint8)
+    out[np.arange(4)[None, :] < lengths[:, None]] = cells[real]
+    return out.view("<u4").ravel()
+
+
 class Encoder:
     """Whole texts to ids through the tokenizer, remembering the parts it has met.
 
@@ -84,7 +127,8 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.limit = cache
         self.known: dict[str, bytes] = {}
@@ -134,6 +178,8 @@ class Encoder:
 
     def __call__(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
+        if self.added(text):
+            return self._whole(text)
         if _MEETING(text):
             return b"".join(map(self._whole, _PART(text)))
         first, *rest = text.split(" ")
@@ -154,8 +200,11 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+CELLS = "doc_id long, code long, n int, cell binary"
+
+
 def encoded(documents: DataFrame, tokenizer_path: str, *, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, ids) with the end id appended, ids as little-endian unsigned 32-bit integers."""
+    """(doc_id, code, n, cell): each whole text's ids with the end id appended, packed by id, and a code of them."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,28 +213,36 @@ def encoded(documents: DataFrame, tokenizer_path: str, *, end_id: int = END_ID)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         encode = _encoder(tokenizer_path)
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                some = b.slice(at, 512)
-                ids = [encode(t) if t else b"" for t in some.column(1).to_pylist()]
+            _, offsets = text_buffer(b.column(1))
+            for i, j in pieces(offsets):
+                some = b.slice(i, j - i)
+                ids = [encode(t) + end if t else end for t in some.column(1).to_pylist()]
+                edges = np.r_[0, np.cumsum([len(x) // 4 for x in ids])]
+                codes = [int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True) for x in ids]
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([i + end for i in ids], pa.binary())], ["doc_id", "ids"]
+                    [some.column(0), pa.array(codes, pa.int64()), pa.array(np.diff(edges).astype(np.int32)),
+                     pack_each(np.frombuffer(b"".join(ids), "<u4"), edges)],
+                    ["doc_id", "code", "n", "cell"],
                 )
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), "doc_id long, ids binary")
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), CELLS)
 
 
-def _ids_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw, offsets = text_buffer(column)
-    return raw.view("<u4") if raw.flags.aligned and raw.ctypes.data % 4 == 0 else raw.copy().view("<u4"), offsets // 4
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, values, counts) of cells, a bounded number of bytes at a time."""
+    for b in batches:
+        raw, edges = text_buffer(b.column(b.num_columns - 1))
+        counts = b.column(b.num_columns - 2).to_numpy().astype(np.int64)
+        for i, j in pieces(edges):
+            yield b.slice(i, j - i), unpack_each(raw[edges[i] : edges[j]], edges[i : j + 1] - edges[i], counts[i:j]), counts[i:j]
 
 
-def _counted(ids: DataFrame) -> DataFrame:
+def _counted(cells: DataFrame) -> DataFrame:
     """(token_id, n): summed in each task before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for b in batches:
-            values, _ = _ids_of(b.column(0))
+        for _, values, _ in _some(batches):
             here = np.bincount(values)
             if len(here) > len(total):
                 here[: len(total)] += total
@@ -195,43 +252,45 @@ def _counted(ids: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["token_id", "n"])
 
-    return ids.select("ids").mapInArrow(tidy(run), "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
+    return cells.select("n", "cell").mapInArrow(tidy(run), "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
 
 
 def write_files(documents: DataFrame, tokenizer_path: str, path: str, *, end_id: int = END_ID) -> None:
     """Encode every text and write the file set at ``path``."""
     spark = documents.sparkSession
     with tidy_shuffles(spark):
-        ids = cut(encoded(documents, tokenizer_path, end_id=end_id), "ids")
+        cells = cut(encoded(documents, tokenizer_path, end_id=end_id), "ids")
         # One row per id in use: bounded by the vocabulary, which the tokenizer fixes.
-        used = sorted(_counted(ids).collect(), key=lambda r: (-r["n"], r["token_id"]))
+        used = sorted(_counted(cells).collect(), key=lambda r: (-r["n"], r["token_id"]))
         spark.createDataFrame([(i, r["token_id"]) for i, r in enumerate(used)], "rank int, token_id long").coalesce(
             1
         ).write.parquet(f"{path}/ranks")
         table = np.zeros(max([r["token_id"] for r in used], default=0) + 1, np.uint32)
         table[[r["token_id"] for r in used]] = np.arange(len(used), dtype=np.uint32)
 
+        def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows, values, counts in _some(batches):
+                packed = pack_each(table[values], np.r_[0, np.cumsum(counts)])
+                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], packed], rows.schema.names)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
             shard, block = TaskContext.get().partitionId(), 0
-            for b in batches:
-                values, offsets = _ids_of(b.column(1))
-                keys = b.column(0).to_pylist()
-                i = 0
-                while i < b.num_rows:
-                    j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + BLOCK_IDS, "right")) - 1)
-                    j = min(j, b.num_rows)
-                    control, data = pack(table[values[offsets[i] : offsets[j]]])
-                    row = [shard, block, int(offsets[j] - offsets[i]), keys[i:j],
-                           np.diff(offsets[i : j + 1]).tolist(), control, data]
+            for rows, values, counts in _some(batches):
+                keys, edges, i = rows.column(0), np.r_[0, np.cumsum(counts)], 0
+                while i < len(counts):
+                    j = max(i + 1, int(np.searchsorted(edges, edges[i] + BLOCK_IDS, "right")) - 1)
+                    control, data = pack(values[edges[i] : edges[j]])
+                    row = [shard, block, int(edges[j] - edges[i]), keys.slice(i, j - i).to_pylist(), counts[i:j].tolist(), control, data]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([v], t) for v, t in zip(row, _BLOCK_TYPES)], _BLOCK_NAMES
                     )
                     i, block = j, block + 1
 
-        laid = ids.repartitionByRange("doc_id", "ids").sortWithinPartitions("doc_id", "ids")
-        laid.mapInArrow(tidy(run), BLOCKS).write.parquet(f"{path}/blocks")
+        # The sample behind the ranges holds ids and codes, never a text's ids.
+        laid = cells.mapInArrow(tidy(ranked), CELLS).repartitionByRange("doc_id", "code").sortWithinPartitions("doc_id", "code")
+        laid.select("doc_id", "n", "cell").mapInArrow(tidy(run), BLOCKS).write.parquet(f"{path}/blocks")
 
 
 _BLOCK_NAMES = ["shard", "block", "n_ids", "doc_ids", "lengths", "control", "data"]

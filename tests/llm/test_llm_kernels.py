@@ -116,13 +116,24 @@ def test_pack_is_undone_by_unpack():
         assert token_ids.unpack(*token_ids.pack(ranks[:n]), n).tolist() == ranks[:n].tolist()
 
 
+def test_cells_are_undone_per_document():
+    rng = np.random.default_rng(4)
+    for counts in ([0, 1, 5, 4, 0, 7], [0], [3], [8, 0, 0, 1]):
+        edges = np.r_[0, np.cumsum(counts)]
+        ranks = (2 ** rng.uniform(0, 32, edges[-1])).astype(np.uint32)
+        raw, offsets = bytesets.text_buffer(token_ids.pack_each(ranks, edges))
+        assert token_ids.unpack_each(raw, offsets, np.array(counts)).tolist() == ranks.tolist()
+        for k in range(len(counts)):
+            one = token_ids.unpack_each(raw[offsets[k] : offsets[k + 1]], np.array([0, offsets[k + 1] - offsets[k]]), np.array(counts[k : k + 1]))
+            assert one.tolist() == ranks[edges[k] : edges[k + 1]].tolist()
+
+
 def test_encoder_equals_the_whole_text_tokenizer():
     import public_tokenizers
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     encode, plain = token_ids.Encoder(path, cache=5), Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     odd = ["  a  b \n c", "\n  x \t y  ", "a\n b", " ", "x  ", "don't 's  b", "a　b\x1c c", "1 2  3\n\n4 <|endoftext|> z",
            "Straße, été... ÀÖ!? word's a,b ß. ×a ÷ b", "end.\nNext, one.\n\nThird", "中文 字 ok", *[t for t in TEXTS if t]]
     for text in odd:
