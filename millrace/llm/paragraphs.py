@@ -1,13 +1,18 @@
 """Paragraph dedup: MinHash banding, exact verification, removal by components.
 
-A paragraph is a line. Paragraphs with equal shingle sets are one class. The min-wise sketch of a class is cut into
-bands; ``bands`` picks the longest band that still finds a pair at the threshold with the wanted recall. Classes that
-share a band value hang together as a group; inside a group every pair is compared exactly (Jaccard of five-word
-shingles), in blocks over many tasks. Of each component of links the first paragraph (doc_id, then line) stays.
-
-Defined cases: a null text has no paragraph, an empty text one empty paragraph; paragraphs of fewer than five words
-have no shingle and always stay; rows with an equal doc_id are told apart as in ``suffixes``; a null doc_id sorts
-first; an empty table gives no rows. Other columns are not read.
+Lines do not make paragraphs here: a passage may run over several short lines or stand inside a long one, and short
+stock lines repeat everywhere. A paragraph is a stretch of words cut where the text itself says so: before each word
+whose two-word code is the smallest of the ``REACH`` words on either side. Equal passages are therefore cut alike
+whatever stands around them; a paragraph has ``REACH`` + 1 words at least (but for the ends of a text), about twice as
+many on average. Paragraphs with equal shingle sets are one class. The min-wise sketch of a class is cut into bands;
+``bands`` picks the longest band that still finds a pair at the threshold with the wanted recall. Classes that share a
+band value hang together as a group; inside a group every pair is compared exactly (Jaccard of five-word shingles), in
+blocks over many tasks. Of each component of links the first paragraph (doc_id, then place) stays; the others are
+copies. A run of copies next to each other is removed if it has ``LEAST_RUN`` words or more, so stock phrases stay.
+
+Defined cases: a null text has no paragraph, an empty text and a text without words have one, which stays; paragraphs
+of fewer than five words have no shingle and are never copies; rows with an equal doc_id are told apart as in
+``suffixes``; a null doc_id sorts first; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,15 +21,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import shingles as S
-from millrace.llm.bytesets import mix, pieces, text_buffer, tidy
+from millrace.llm.bytesets import BASE, BYTE_CODE, Prefix, mix, pieces, text_buffer, tidy, window_min
 from millrace.llm.components import components
 from millrace.llm.frames import cut, tidy_shuffles, up_to_bound
 from millrace.llm.suffixes import NO_ID, named, numbered
 
+REACH = 9
+LEAST_RUN = 20
 RECALL = 0.9995
 BROADCAST_ROWS = 2_000_000
 
@@ -35,25 +43,55 @@ def bands(least: float, recall: float, size: int = S.SKETCH) -> int:
     return max(fitting, default=1)
 
 
-def _lines(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Offsets of the lines of all texts end to end, the text of each line, and its place there."""
-    breaks = np.flatnonzero(raw == 10) + 1
-    breaks = breaks[breaks < len(raw)] if len(raw) else breaks
-    starts = np.unique(np.r_[offsets[:-1][np.diff(offsets) > 0], breaks])
-    text = np.searchsorted(offsets, starts, "right") - 1
-    first = np.searchsorted(text, np.arange(len(offsets) - 1))
-    return np.r_[starts, len(raw)], text, np.arange(len(starts)) - first[text]
+def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, text and code of every word of the texts end to end."""
+    inside = S._IS_WORD[raw]
+    before = np.r_[False, inside[:-1]]
+    before[offsets[:-1][offsets[:-1] < len(raw)]] = False
+    start = np.flatnonzero(inside & ~before)
+    after = np.r_[inside[1:], False]
+    after[offsets[1:][offsets[1:] > 0] - 1] = False
+    end = np.flatnonzero(inside & ~after) + 1
+    if not len(start):
+        return start, start, np.zeros(0, np.uint64)
+    return start, np.searchsorted(offsets, start, "right") - 1, Prefix(BYTE_CODE[S._FOLD][raw]).ranges(start, end)
+
+
+def cuts(codes: np.ndarray, text: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Words that start a paragraph: the two-word code is below all ``reach`` before it and not above those behind."""
+    if not len(codes):
+        return np.zeros(0, np.int64)
+    last = np.r_[text[1:] != text[:-1], True]
+    pairs = mix(codes * np.uint64(BASE) + np.where(last, np.uint64(0), np.r_[codes[1:], codes[:1]]))
+    # Words of other texts are out of reach: between texts stand codes that are never smallest.
+    at = np.arange(len(codes)) + reach * (np.cumsum(np.r_[False, text[1:] != text[:-1]]) + 1)
+    spread = np.full(at[-1] + reach + 1, np.iinfo(np.uint64).max, np.uint64)
+    spread[at] = pairs
+    low = window_min(spread, reach)
+    return np.flatnonzero((pairs < low[at - reach]) & (pairs <= low[at + 1]))
+
+
+def paragraphs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the paragraphs of all texts end to end, the text of each, its place there and its words."""
+    word, text, codes = _words(raw, offsets)
+    first = np.r_[True, text[1:] != text[:-1]] if len(text) else np.zeros(0, bool)
+    at = cuts(codes, text)
+    starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], word[at[~first[at]]]).astype(np.int64)
+    owner = np.searchsorted(offsets, starts, "right") - 1
+    place = np.arange(len(starts)) - np.searchsorted(owner, np.arange(len(offsets) - 1))[owner]
+    edges = np.r_[starts, len(raw)]
+    return edges, owner, place, np.diff(np.searchsorted(word, edges))
 
 
 def features(docs: DataFrame, rows_per_band: int) -> DataFrame:
-    """Per paragraph of five words or more: where it is, the code of its set, and its band values."""
+    """Per paragraph of five words or more: where it is, the codes of its set, and its band values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = text_buffer(b.column(2))
             for i, j in pieces(offsets):
                 at = offsets[i : j + 1] - offsets[i]
-                edges, text, place = _lines(raw[offsets[i] : offsets[j]], at)
+                edges, text, place, _ = paragraphs(raw[offsets[i] : offsets[j]], at)
                 grams, where = S.shingle_codes(raw[offsets[i] : offsets[j]], edges, short=False)
                 full = np.flatnonzero(np.diff(where))
                 if not len(full):
@@ -89,7 +127,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             raw, offsets = text_buffer(b.column(1))
             for i, j in pieces(offsets):
                 at = offsets[i : j + 1] - offsets[i]
-                edges, text, _ = _lines(raw[offsets[i] : offsets[j]], at)
+                edges, text, _, _ = paragraphs(raw[offsets[i] : offsets[j]], at)
                 grams, where = S.shingle_codes(raw[offsets[i] : offsets[j]], edges, short=False)
                 one, _ = S.set_codes(grams, where)
                 want = b.column(0).slice(i, j - i)
@@ -106,7 +144,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, *, least: float = S.SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """Written table (doc_id, row, line, keeper): paragraphs to remove and the document that keeps their like."""
+    """Written table (doc_id, row, line, keeper): copies by their place, and the document that keeps their like."""
     feats = cut(features(docs, bands(least, recall)), "paragraphs")
     place = F.struct("doc_id", "row", "line")
     classes = cut(
@@ -140,25 +178,61 @@ def near_copies(docs: DataFrame, *, least: float = S.SIMILARITY, recall: float =
     return cut(found.select("doc_id", "row", "line", F.col("keep.doc_id").alias("keeper")), "removed")
 
 
-def remove_near_copies(documents: DataFrame, *, least: float = S.SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """Per document: doc_id, n_paragraphs, n_removed, removed (lines), keepers (documents), kept (text)."""
+def runs(places: np.ndarray, words: np.ndarray, least: int = LEAST_RUN) -> np.ndarray:
+    """Which of the copies (sorted places) stand in a run of at least ``least`` words; ``words`` is of all paragraphs."""
+    number = np.cumsum(np.diff(places, prepend=places[:1]) > 1)
+    return np.bincount(number, words[places])[number] >= least
+
+
+def _without(docs: DataFrame, least: int) -> DataFrame:
+    """Each whole text without its removed paragraphs; ``docs`` has (doc_id, text, copies) with copies (line, keeper)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, offsets = text_buffer(b.column(1))
+            for i, j in pieces(offsets):
+                at, piece = offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]]
+                edges, text, _, words = paragraphs(piece, at)
+                first = np.searchsorted(text, np.arange(j - i + 1))
+                removed: list[list[int]] = [[] for _ in range(j - i)]
+                keepers: list[list[int]] = [[] for _ in range(j - i)]
+                keep = np.ones(len(piece), bool)
+                lists = b.column(2).slice(i, j - i)
+                for k in np.flatnonzero(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()).tolist():
+                    copies = sorted((c["line"], c["keeper"]) for c in lists[k].as_py())
+                    places = np.array([line for line, _ in copies])
+                    for gone, (line, keeper) in zip(runs(places, words[first[k] : first[k + 1]], least), copies):
+                        if gone:
+                            removed[k].append(line)
+                            if keeper != NO_ID:
+                                keepers[k].append(keeper)
+                            keep[edges[first[k] + line] : edges[first[k] + line + 1]] = False
+                ends = np.r_[0, np.cumsum(keep)][at]
+                kept = pa.Array.from_buffers(
+                    pa.large_string(), j - i, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(piece[keep].tobytes())]
+                ).cast(pa.string())
+                known = b.column(1).slice(i, j - i).is_valid().to_numpy(zero_copy_only=False)
+                count = np.where(np.diff(at) > 0, np.diff(first), known)  # an empty text is one paragraph
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), pa.array([len(r) for r in removed], pa.int64()),
+                     pa.array(removed, pa.list_(pa.int32())), pa.array([sorted(set(c)) for c in keepers], pa.list_(pa.int64())), kept],
+                    ["doc_id", "n_paragraphs", "n_removed", "removed", "keepers", "kept"],
+                )
+
+    return docs.mapInArrow(
+        tidy(run), "doc_id long, n_paragraphs long, n_removed long, removed array<int>, keepers array<long>, kept string"
+    )
+
+
+def remove_near_copies(
+    documents: DataFrame, *, least: float = S.SIMILARITY, recall: float = RECALL, least_run: int = LEAST_RUN
+) -> DataFrame:
+    """Per document: doc_id, n_paragraphs, n_removed, removed (places), keepers (documents), kept (text)."""
     with tidy_shuffles(documents.sparkSession):
         docs = numbered(documents)
         gone = near_copies(docs, least=least, recall=recall)
         lists = gone.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(
-            F.array_sort(F.collect_list("line")).alias("lines"), F.array_sort(F.collect_set(F.nullif("keeper", F.lit(NO_ID)))).alias("keepers")
+            F.collect_list(F.struct("line", "keeper")).alias("copies")
         )
         joined = docs.join(lists, (docs["doc_id"] == lists["_id"]) & (docs["row"] == lists["_row"]), "left")
-        none = F.array().cast("array<int>")
-        cells = F.coalesce(F.split("text", "\n"), F.array().cast("array<string>"))
-        shaped = joined.select(
-            "doc_id", "text", cells.alias("cells"), F.coalesce("lines", none).alias("removed"),
-            F.coalesce("keepers", F.array().cast("array<bigint>")).alias("keepers"),
-        )
-        kept = F.when(F.size("removed") == 0, F.coalesce("text", F.lit(""))).otherwise(
-            F.array_join(F.filter("cells", lambda _, k: ~F.array_contains("removed", k)), "\n")
-        )
-        return shaped.select(
-            named("doc_id").alias("doc_id"), F.size("cells").cast("long").alias("n_paragraphs"), F.size("removed").cast("long").alias("n_removed"),
-            "removed", "keepers", kept.alias("kept"),
-        )
+        return _without(joined.select("doc_id", "text", "copies"), least_run).withColumn("doc_id", named("doc_id"))

@@ -227,17 +227,56 @@ def _words(text):
 def test_paragraphs(spark, rows):
     unique = {i: t for i, t, *_ in rows}
     got = {r.doc_id: r for r in paragraphs.remove_near_copies(table(spark, [*((i, t, "en", "a") for i, t in unique.items()), (None, "q r s", "en", "a")])).collect()}
-    sets = {(i, k): shingle_set(line) for i, t in unique.items() for k, line in enumerate((t or "").split("\n")) if len(_words(line)) >= 5}
+    parts = {i: stretches(t) for i, t in unique.items()}
+    sets = {(i, k): shingle_set(part) for i, held in parts.items() for k, part in enumerate(held) if len(_words(part)) >= 5}
     _, root = jaccard_classes(sets)
-    gone = defaultdict(list)
+    copies = defaultdict(list)
     for (i, k), first in root.items():
         if first != (i, k):
-            gone[i].append(k)
+            copies[i].append(k)
     for i, t in unique.items():
-        lines = [] if t is None else t.split("\n")
-        kept = "\n".join(x for k, x in enumerate(lines) if k not in gone[i])
-        assert (got[i].n_paragraphs, list(got[i].removed), got[i].kept) == (len(lines), sorted(gone[i]), kept), i
-    assert paragraphs.remove_near_copies(table(spark, [])).count() == 0
+        gone, run = [], []
+        for k in [*sorted(copies[i]), 10**9]:  # runs of neighbouring copies
+            if run and k != run[-1] + 1:
+                gone += run if sum(len(_words(parts[i][x])) for x in run) >= 20 else []
+                run = []
+            run.append(k)
+        kept = "".join(x for k, x in enumerate(parts[i]) if k not in gone)
+        assert (got[i].n_paragraphs, list(got[i].removed), got[i].kept) == (len(parts[i]), gone, kept), i
+    assert any(r.n_removed for r in got.values()) and paragraphs.remove_near_copies(table(spark, [])).count() == 0
+
+
+def stretches(text):
+    """The paragraphs of a text; ``test_paragraphs_are_cut_by_their_own_words`` holds the cuts themselves."""
+    if text is None:
+        return []
+    raw = text.encode()
+    edges = paragraphs.paragraphs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist() if raw else [0, 0]
+    return [raw[i:j].decode() for i, j in zip(edges, edges[1:])]
+
+
+def test_passages_over_lines_and_inside_lines_are_found(spark):
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(3000)]
+    say = lambda n: rng.choices(vocabulary, k=n)
+    rows, planted = [], {}
+    for p in range(12):
+        passage = say(60)
+        own = {0: passage, 1: [*passage[:20], "\n", *passage[20:40], "\n", *passage[40:]], 2: [*say(70), *passage, *say(70)]}
+        for k, words in own.items():
+            around = [say(30), say(25)]
+            rows.append((10 * p + k, f"{' '.join(around[0])}\n{' '.join(words)}\n{' '.join(around[1])}", "en", "a"))
+        planted[p] = set(passage)
+    stock = " ".join(say(8))
+    rows += [(500 + k, f"{' '.join(say(40))}\n{stock}\n{' '.join(say(40))}", "en", "a") for k in range(30)]
+    got = {r.doc_id: r for r in paragraphs.remove_near_copies(table(spark, rows)).collect()}
+    later = [got[10 * p + k] for p in planted for k in (1, 2)]
+    assert sum(r.n_removed > 0 for r in later) >= 0.9 * len(later)
+    assert all(got[10 * p].n_removed == 0 for p in planted) and all(got[500 + k].n_removed == 0 for k in range(30))
+    for p in planted:
+        for k in (1, 2):
+            r, text = got[10 * p + k], rows[3 * p + k][1]
+            assert not r.n_removed or r.keepers == [10 * p] and len(r.kept) < len(text)
 
 
 def test_toxicity(spark):
