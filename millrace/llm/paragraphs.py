@@ -1,10 +1,10 @@
 """Paragraph dedup: MinHash banding, exact verification, removal by components.
 
 Lines do not make paragraphs here: a passage may run over several short lines or stand inside a long one, and short
-stock lines repeat everywhere. A paragraph is a stretch of words cut where the text itself says so: before each word
-whose two-word code is the smallest of the ``REACH`` words on either side. Equal passages are therefore cut alike
-whatever stands around them; a paragraph has ``REACH`` + 1 words at least (but for the ends of a text), about twice as
-many on average. Paragraphs with equal shingle sets are one class. The min-wise sketch of a class is cut into bands;
+stock lines repeat everywhere. A paragraph is a line or, of a longer line, a stretch cut where the text itself says
+so: before each word whose two-word code is the smallest of the ``REACH`` words on either side, all of that line.
+Equal passages are therefore cut alike whatever stands around them, as long as their lines break alike (a passage set
+in other lines is met only where a cut of its own and a line's end agree). Paragraphs with equal shingle sets are one class. The min-wise sketch of a class is cut into bands;
 ``bands`` picks the longest band that still finds a pair at the threshold with the wanted recall. Classes that share a
 band value hang together as a group; inside a group every pair is compared exactly (Jaccard of five-word shingles), in
 blocks over many tasks. Of each component of links the first paragraph (doc_id, then place) stays; the others are
@@ -31,13 +31,14 @@ from millrace.llm.components import components
 from millrace.llm.frames import cut, tidy_shuffles, up_to_bound
 from millrace.llm.suffixes import NO_ID, named, numbered
 
-REACH = 9
+REACH = 14
 LEAST_RUN = 20
 RECALL = 0.9995
+SKETCH = 33  # minima a paragraph: enough for bands of three at this recall
 BROADCAST_ROWS = 2_000_000
 
 
-def bands(least: float, recall: float, size: int = S.SKETCH) -> int:
+def bands(least: float, recall: float, size: int = SKETCH) -> int:
     """Rows per band: the most for which a pair at the threshold still collides with probability ``recall``."""
     fitting = [r for r in range(1, size + 1) if 1 - (1 - least**r) ** (size // r) >= recall]
     return max(fitting, default=1)
@@ -57,15 +58,16 @@ def _words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, np.searchsorted(offsets, start, "right") - 1, Prefix(BYTE_CODE[S._FOLD][raw]).ranges(start, end)
 
 
-def cuts(codes: np.ndarray, text: np.ndarray, reach: int = REACH) -> np.ndarray:
-    """Words that start a paragraph: the two-word code is below all ``reach`` before it and not above those behind."""
+def cuts(codes: np.ndarray, line: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Words that start a stretch inside their line: at least ``reach`` words stand on either side, and the two-word
+    code is below all of those before it and not above those behind."""
     if not len(codes):
         return np.zeros(0, np.int64)
-    last = np.r_[text[1:] != text[:-1], True]
+    last = np.r_[line[1:] != line[:-1], True]
     pairs = mix(codes * np.uint64(BASE) + np.where(last, np.uint64(0), np.r_[codes[1:], codes[:1]]))
-    # Words of other texts are out of reach: between texts stand codes that are never smallest.
-    at = np.arange(len(codes)) + reach * (np.cumsum(np.r_[False, text[1:] != text[:-1]]) + 1)
-    spread = np.full(at[-1] + reach + 1, np.iinfo(np.uint64).max, np.uint64)
+    # Words of other lines are out of reach: between lines stand codes of 0, next to which nothing is smallest.
+    at = np.arange(len(codes)) + reach * (np.cumsum(np.r_[False, line[1:] != line[:-1]]) + 1)
+    spread = np.zeros(at[-1] + reach + 1, np.uint64)
     spread[at] = pairs
     low = window_min(spread, reach)
     return np.flatnonzero((pairs < low[at - reach]) & (pairs <= low[at + 1]))
@@ -74,9 +76,9 @@ def cuts(codes: np.ndarray, text: np.ndarray, reach: int = REACH) -> np.ndarray:
 def paragraphs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of the paragraphs of all texts end to end, the text of each, its place there and its words."""
     word, text, codes = _words(raw, offsets)
-    first = np.r_[True, text[1:] != text[:-1]] if len(text) else np.zeros(0, bool)
-    at = cuts(codes, text)
-    starts = np.union1d(offsets[:-1][np.diff(offsets) > 0], word[at[~first[at]]]).astype(np.int64)
+    breaks = np.flatnonzero(raw == 10) + 1
+    lines = np.union1d(offsets[:-1][np.diff(offsets) > 0], breaks[breaks < len(raw)]).astype(np.int64)
+    starts = np.union1d(lines, word[cuts(codes, np.searchsorted(lines, word, "right"))]).astype(np.int64)
     owner = np.searchsorted(offsets, starts, "right") - 1
     place = np.arange(len(starts)) - np.searchsorted(owner, np.arange(len(offsets) - 1))[owner]
     edges = np.r_[starts, len(raw)]
@@ -97,7 +99,7 @@ def features(docs: DataFrame, rows_per_band: int) -> DataFrame:
                 if not len(full):
                     continue
                 one, two = S.set_codes(grams, where)
-                sk = S.sketches(grams, where)[full]
+                sk = S.sketches(grams, where, SKETCH)[full]
                 count = sk.shape[1] // rows_per_band
                 values = np.zeros((len(full), count), np.uint64)
                 for k in range(count * rows_per_band):
@@ -150,16 +152,11 @@ def near_copies(docs: DataFrame, *, least: float = S.SIMILARITY, recall: float =
     classes = cut(
         feats.groupBy("one", "two").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")), "classes"
     )
-    reps = (
-        feats.join(classes.select("one", "two", "first"), ["one", "two"])
-        .filter(F.col("first").eqNullSafe(place)).select("one", "bands")
-    )
-    banded = cut(reps.select("one", F.explode("bands").alias("band")), "bands")
-    shared = cut(
-        banded.groupBy("band").agg(F.count(F.lit(1)).alias("_n"), F.min("one").alias("low")).filter("_n > 1").select("band", "low"),
-        "shared",
-    )
-    links = banded.join(shared, "band").filter(F.col("one") != F.col("low")).select(F.col("low").alias("a"), F.col("one").alias("b"))
+    banded = feats.select("one", F.explode("bands").alias("band"))
+    ends = banded.groupBy("band").agg(F.min("one").alias("low"), F.max("one").alias("high"))
+    shared = cut(ends.filter("low <> high").select("band", "low"), "shared")
+    met = banded.join(up_to_bound(shared, BROADCAST_ROWS), "band").filter(F.col("one") != F.col("low"))
+    links = met.select(F.col("low").alias("a"), F.col("one").alias("b"))
     groups = components(links)
     wanted = groups.join(classes, groups["id"] == classes["one"]).select(
         "one", "root", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")

@@ -118,21 +118,26 @@ def test_pack_is_undone_by_unpack():
 
 def test_paragraphs_are_cut_by_their_own_words():
     rng = random.Random(6)
-    texts = [" ".join(rng.choices("aa b cc d ee f gg h".split(), k=rng.randint(0, 90))) for _ in range(30)] + ["", "  ", "one", "é é é é é é\n" * 20]
+    texts = [" ".join(rng.choices("aa b cc d ee f gg h".split(), k=rng.randint(0, 90))) for _ in range(30)] + ["", "  ", "one", "a\n\nb\n", "é é é é é é\n" * 20]
     raw = "".join(texts).encode()
     edges = np.r_[0, np.cumsum([len(t.encode()) for t in texts])]
     found, owner, place, words = paragraphs.paragraphs(np.frombuffer(raw, np.uint8), edges)
     assert found[0] == 0 and found[-1] == len(raw) and set(edges[:-1][np.diff(edges) > 0]) <= set(found.tolist())
     for k, text in enumerate(texts):
-        one = text.encode()
-        start, _, codes = paragraphs._words(np.frombuffer(one, np.uint8), np.array([0, len(one)]))
-        after = [*codes.tolist()[1:], None]
-        pair = [int(bytesets.mix(np.array([(c * bytesets.BASE + (n or 0)) % 2**64], np.uint64))[0]) for c, n in zip(codes.tolist(), after)]
-        r = paragraphs.REACH
-        cut = [start[i] for i in range(1, len(pair)) if all(pair[i] < x for x in pair[max(0, i - r) : i]) and all(pair[i] <= x for x in pair[i + 1 : i + 1 + r])]
+        want, total, at = [], 0, 0
+        for line in text.split("\n"):
+            one = line.encode()
+            start, _, codes = paragraphs._words(np.frombuffer(one, np.uint8), np.array([0, len(one)]))
+            after = [*codes.tolist()[1:], 0]
+            pair = [int(bytesets.mix(np.array([(c * bytesets.BASE + n) % 2**64], np.uint64))[0]) for c, n in zip(codes.tolist(), after)]
+            r, total = paragraphs.REACH, total + len(start)
+            inside = [start[i] for i in range(r, len(pair) - r) if all(pair[i] < x for x in pair[i - r : i]) and all(pair[i] <= x for x in pair[i + 1 : i + 1 + r])]
+            if at < len(text.encode()):
+                want += [at, *(at + x for x in inside)]
+            at += len(one) + 1
         mine = np.flatnonzero(owner == k)
-        assert (found[mine] - edges[k]).tolist() == ([0, *cut] if one else [])
-        assert place[mine].tolist() == list(range(len(mine))) and int(words[mine].sum()) == len(start)
+        assert (found[mine] - edges[k]).tolist() == want
+        assert place[mine].tolist() == list(range(len(mine))) and int(words[mine].sum()) == total
 
 
 def test_runs_count_the_words_of_neighbours():
