@@ -31,7 +31,7 @@ from millrace.llm.components import components
 from millrace.llm.frames import cut, tidy_shuffles, up_to_bound
 from millrace.llm.suffixes import NO_ID, named, numbered
 
-REACH = 14
+REACH = 8
 LEAST_RUN = 20
 RECALL = 0.9995
 SKETCH = 33  # minima a paragraph: enough for bands of three at this recall
