@@ -13,7 +13,7 @@ from millrace.operators import ingest as ing
 from millrace.plans.durable import fresh_path
 from millrace.registry.book import book
 from millrace.registry.facts import table
-from millrace.sources import artifacts, files, responses, tables
+from millrace.sources import artifacts, files, listing, responses, tables
 
 TODAY = "2024-01-31"
 
@@ -668,14 +668,36 @@ def table_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(counts, "name string, rows long")
 
 
-@book.entry("live_files")
+@book.entry(
+    "live_files",
+    """SELECT DISTINCT 'o_orderpriority=' || o_orderpriority AS partition, CAST(1 AS BIGINT) AS files, TRUE AS filled
+       FROM orders""",
+)
 def live_files(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.live_files(table(spark, sf, "lineitem"))
+    name = f"priorities_{uuid.uuid4().hex[:12]}"
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    for _ in range(2):  # the second version replaces the first in a folder of its own, so its files alone are live
+        path = tables.table_path(spark, name)
+        orders.repartition("o_orderpriority").write.partitionBy("o_orderpriority").parquet(path)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        spark.catalog.createTable(name, path=path, source="parquet")
+    found = listing.live_files(spark, name)
+    return found.groupBy("partition").agg(F.count(F.lit(1)).alias("files"), (F.min("bytes") > 0).alias("filled"))
 
 
-@book.entry("list_objects")
+@book.entry(
+    "list_objects",
+    """SELECT DISTINCT 'year=' || year(CAST(o_orderdate AS DATE)) || '/status=' || o_orderstatus AS folder, CAST(1 AS BIGINT) AS objects
+       FROM orders""",
+)
 def list_objects(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.list_objects(spark, sf)
+    root = fresh_path(spark, "objects")
+    orders = table(spark, sf, "orders").select(
+        "o_orderkey", F.year(F.col("o_orderdate").cast("date")).alias("year"), F.col("o_orderstatus").alias("status")
+    )
+    orders.repartition("year", "status").write.partitionBy("year", "status").parquet(root)
+    found = listing.list_objects(spark, root, width=4).filter(~listing.hidden(F.col("path")))
+    return found.groupBy(listing.folder_under(F.col("path"), root).alias("folder")).agg(F.count(F.lit(1)).alias("objects"))
 
 
 @book.entry(

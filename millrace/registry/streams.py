@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.plans.durable import fresh_path
@@ -71,10 +71,13 @@ def status_changes(spark: SparkSession, sf: str) -> DataFrame:
 def status_stream(spark: SparkSession, sf: str) -> DataFrame:
     landing, root, mark = (fresh_path(spark, p) for p in ("observed", "changes", "position"))
     rows = _observed(spark, sf)
-    # Two arrivals: the second is compared with the state the first one left.
-    for early in (True, False):
-        rows.filter((F.col("seen_at") < "2024-01-12") == F.lit(early)).write.mode("append").parquet(landing)
-        changes.status_change_stream(loads.file_stream(spark, landing, rows.schema), root, checkpoint=mark)
+    # Three arrivals out of order, all within the delay; the last row ends the stream.
+    for turn in (2, 0, 1):
+        rows.filter(F.col("tick") % 3 == turn).write.mode("append").parquet(landing)
+        stream = loads.file_stream(spark, landing, rows.schema)
+        changes.status_change_stream(stream, root, delay="400 days", checkpoint=mark)
+    changes.close(spark, landing, "2030-01-01")
+    changes.status_change_stream(stream, root, delay="400 days", checkpoint=mark)
     out = changes.emitted_changes(spark, root)
     return out.select("id", F.col("seen_at").cast("string").alias("seen_at"), "state")
 
@@ -97,28 +100,51 @@ _DAILY = """SELECT strftime(ts + INTERVAL {h} HOUR, '%Y-%m-%d') AS date, count(*
    FROM events GROUP BY 1"""
 
 
-def _daily(spark: SparkSession, sf: str, tz: str, streaming: bool) -> DataFrame:
-    rows = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    measures = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")]
-    if not streaming:
-        return loads.daily_tumbling(rows, "ts", tz=tz, measures=measures)
-    landing, name = fresh_path(spark, "days"), "daily_" + fresh_path(spark, "x")[-12:]
-    rows.write.parquet(landing)
-    out = loads.daily_tumbling(loads.file_stream(spark, landing, rows.schema), "ts", tz=tz, measures=measures)
-    # One row per day leaves the stream, so the result is small however many events there are.
-    query = (
-        out.writeStream.format("memory").queryName(name).outputMode("complete")
-        .option("checkpointLocation", fresh_path(spark, "position")).trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    return spark.table(name)
+def _daily_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+
+
+def _measures() -> dict[str, Column]:
+    return {"n": F.count(F.lit(1)), "errors": F.count_if(F.col("event_type") == "error")}
 
 
 @book.entry("daily_tumbling", _DAILY.format(h=9))
 def daily_batch(spark: SparkSession, sf: str) -> DataFrame:
-    return _daily(spark, sf, "Asia/Seoul", streaming=False)
+    measures = [m.alias(k) for k, m in _measures().items()]
+    return loads.daily_tumbling(_daily_rows(spark, sf), "ts", tz="Asia/Seoul", measures=measures)
+
+
+def _streamed(spark: SparkSession, sf: str) -> str:
+    """Events by day in order, then every thirteenth event of the first days once more too late; the folder they load to.
+
+    The second run has lost its checkpoint: it reads all files again and loads only the new one.
+    """
+    landing, root = fresh_path(spark, "days"), fresh_path(spark, "buckets")
+    rows = _daily_rows(spark, sf)
+    first = rows.agg(F.min("ts")).scalar()
+    newest = rows.agg(F.max("ts")).scalar()
+    for arrival in (
+        rows.filter(F.col("ts") < newest - F.expr("INTERVAL 2 DAYS")), rows.filter(F.col("ts") >= newest - F.expr("INTERVAL 2 DAYS")),
+        rows.filter((F.col("event_id") % 13 == 0) & (F.col("ts") < first + F.expr("INTERVAL 3 DAYS"))),
+    ):
+        arrival.write.mode("append").parquet(landing)
+        stream = loads.file_stream(spark, landing, rows.schema)
+        loads.daily_stream(stream, "ts", root, measures=_measures(), delay="1 day")
+    return root
 
 
-@book.entry("daily_tumbling_stream", _DAILY.format(h=0))
+@book.entry(
+    "daily_tumbling_stream",
+    f"""SELECT * FROM ({_DAILY.format(h=0)}) WHERE CAST(date AS DATE) + INTERVAL 1 DAY
+        <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+)
 def daily_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return _daily(spark, sf, "UTC", streaming=True)
+    return loads.closed_days(spark, _streamed(spark, sf))
+
+
+@book.entry(
+    "daily_late_rows",
+    "SELECT event_id, event_type FROM events WHERE event_id % 13 = 0 AND ts < (SELECT min(ts) FROM events) + INTERVAL 3 DAY",
+)
+def daily_late(spark: SparkSession, sf: str) -> DataFrame:
+    return loads.late_rows(spark, _streamed(spark, sf)).select("event_id", "event_type")

@@ -220,19 +220,6 @@ def preview(df: DataFrame, limit: int = PREVIEW_DEFAULT) -> DataFrame:
     return output_safe(df.limit(limit))
 
 
-def live_files(df: DataFrame) -> DataFrame:
-    """Files (path, bytes) behind a table's current version."""
-    return df.select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")
-    ).distinct()
-
-
-def list_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Every object under a root with its size; file contents are not read."""
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return listing.select("path", "length")
-
-
 def export_csv(df: DataFrame, path: str, *, limit: int | None = None) -> None:
     """CSV files with a header and a BOM each, so spreadsheets read them as UTF-8; all rows unless a limit is asked."""
     if limit is not None and limit < 1:

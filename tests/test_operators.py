@@ -13,6 +13,7 @@ from millrace.operators import catalog, history, lineage, quality, storage
 from millrace.operators import sqltexts
 from millrace.operators import transform as tf
 from millrace.plans.durable import fresh_path
+from millrace.sources import listing
 from millrace.streaming import changes, loads
 
 
@@ -349,17 +350,106 @@ def test_stream_resumes_where_it_stopped(spark):
     assert loads.loaded_rows(spark, root).count() == 3
 
 
-def test_status_change_stream_keeps_state_between_runs(spark):
+def test_lost_checkpoint_loads_no_file_twice(spark):
+    landing, root = fresh_path(spark, "l"), fresh_path(spark, "r")
+    df = spark.createDataFrame([(k, "a") for k in range(6)], "id int, v string")
+    run = lambda: loads.incremental_stream_load(
+        loads.file_stream(spark, landing, df.schema, files_per_step=1), root, ingested_at="t")
+    df.filter("id < 4").repartition(2).write.parquet(landing)
+    assert run() == 4
+    df.filter("id >= 4").coalesce(1).write.mode("append").parquet(landing)
+    assert run() == 2 and run() == 0  # every run starts at step 0 of a new checkpoint
+    assert sorted(int(r.id) for r in loads.loaded_rows(spark, root).collect()) == list(range(6))
+
+
+def test_uncommitted_step_is_not_read(spark):
+    landing, root = fresh_path(spark, "l"), fresh_path(spark, "r")
+    df = spark.createDataFrame([(1, "a")], "id int, v string")
+    df.coalesce(1).write.parquet(landing)
+    stream = loads.file_stream(spark, landing, df.schema)
+    loads.incremental_stream_load(stream, root, ingested_at="t")
+    spark.read.parquet(f"{root}/rows").drop("load").write.parquet(f"{root}/rows/load=00000009-dead")
+    assert loads.loaded_rows(spark, root).count() == 1
+
+
+def test_event_log_raises_what_is_not_a_missing_log(spark):
+    root = fresh_path(spark, "log")
+    event = spark.createDataFrame([("s", 0, 3)], "source string, step long, rows long")
+    for _ in range(2):
+        loads.event_log(spark, root, event)
+    assert spark.read.parquet(root).count() == 1
+    spark.createDataFrame([("x",)], "source string").write.mode("overwrite").text(root)
+    with pytest.raises(Exception):  # noqa: B017 - a damaged log must not read as an empty one
+        loads.event_log(spark, root, event)
+
+
+def _seen(spark, rows):
+    return spark.createDataFrame(rows, "id string, at string, tick long, state string").select(
+        "id", F.col("at").cast("timestamp").alias("seen_at"), "tick", "state")
+
+
+def test_status_change_stream_equals_the_batch_on_late_arrivals(spark):
+    rng = random.Random(5)
+    rows = [(f"n{rng.randrange(4)}", f"2024-01-{1 + k // 24:02d} {k % 24:02d}:00:00.{rng.randrange(10**6):06d}", k, rng.choice(["run", "ok", None]))
+            for k in range(120)]
+    rows += [("hot", "2024-01-03 01:00:00", k, "ok" if k % 50 else "err") for k in range(200)] + [("one", "2024-01-01 00:00:00", 0, None)]
+    landing, root, mark = (fresh_path(spark, p) for p in ("l", "r", "m"))
+    shuffled = rng.sample(rows, len(rows))
+    for k in range(4):
+        _seen(spark, shuffled[k::4]).write.mode("append").parquet(landing)
+        stream = loads.file_stream(spark, landing, _seen(spark, []).schema)
+        changes.status_change_stream(stream, root, delay="30 days", checkpoint=mark)
+    assert changes.emitted_changes(spark, root).count() == 0  # all may still be preceded by earlier ones
+    changes.close(spark, landing, "2025-01-01")
+    changes.status_change_stream(stream, root, delay="30 days", checkpoint=mark)
+    key = lambda r: (r.id, r.seen_at, r.tick, str(r.state))
+    want = changes.status_changes(_seen(spark, rows)).collect()
+    assert sorted(map(key, changes.emitted_changes(spark, root).collect())) == sorted(map(key, want))
+
+
+def test_status_change_stream_settles_by_the_watermark(spark):
+    landing, root, mark = (fresh_path(spark, p) for p in ("l", "r", "m"))
+    stream = lambda: loads.file_stream(spark, landing, _seen(spark, []).schema)
+    for rows in (
+        [("n", "2024-01-01 00:00:00", 1, "wait"), ("n", "2024-01-01 02:00:00", 3, "ok")],
+        [("n", "2024-01-01 01:00:00", 2, "run"), ("k", "2024-01-03 00:00:00", 4, "ok")],
+    ):
+        _seen(spark, rows).write.mode("append").parquet(landing)
+        changes.status_change_stream(stream(), root, delay="1 day", checkpoint=mark)
+    got = [(r.id, r.tick, r.state) for r in changes.emitted_changes(spark, root).collect()]
+    assert sorted(got) == [("n", 1, "wait"), ("n", 2, "run"), ("n", 3, "ok")]  # "k" is still within the delay
+
+
+def test_late_rows_go_to_the_side_table(spark):
     landing, root, mark = (fresh_path(spark, p) for p in ("l", "r", "m"))
-    schema = "id string, seen_at int, tick int, state string"
-    first = spark.createDataFrame([("n", 1, 1, "wait"), ("n", 2, 2, "run"), ("n", 3, 3, "run"), ("k", 1, 4, "ok")], schema)
-    first.write.parquet(landing)
-    go = lambda: changes.status_change_stream(loads.file_stream(spark, landing, first.schema), root, checkpoint=mark)
-    go()
-    spark.createDataFrame([("n", 4, 5, "run"), ("n", 5, 6, "ok"), ("k", 2, 7, "ok")], schema).write.mode("append").parquet(landing)
-    go()
-    got = sorted((r.id, r.seen_at, r.state) for r in changes.emitted_changes(spark, root).collect())
-    assert got == [("k", 1, "ok"), ("n", 1, "wait"), ("n", 2, "run"), ("n", 5, "ok")]
+    make = lambda rows: spark.createDataFrame(rows, "t string, v int").select(F.col("t").cast("timestamp").alias("t"), "v")
+    stream = lambda: loads.file_stream(spark, landing, make([]).schema)
+    go = lambda m: loads.daily_stream(stream(), "t", root, measures={"n": F.count(F.lit(1)), "v": F.sum("v")}, delay="6 hours", checkpoint=m)
+    make([("2024-01-01 10:00:00", 1), ("2024-01-02 05:00:00", 2)]).coalesce(1).write.parquet(landing)
+    go(mark)
+    assert loads.closed_days(spark, root, delay="6 hours").count() == 0
+    make([("2024-01-01 11:00:00", 4), ("2024-01-02 07:00:00", 8)]).coalesce(1).write.mode("append").parquet(landing)
+    go(mark)  # in time: the day was open when the step began
+    make([("2024-01-01 12:00:00", 16), (None, 32)]).coalesce(1).write.mode("append").parquet(landing)
+    go(mark)
+    go(None)  # a new checkpoint reads everything again
+    closed = [(r.date, r.n, r.v) for r in loads.closed_days(spark, root, delay="6 hours").collect()]
+    assert closed == [("2024-01-01", 2, 5)]
+    assert sorted(r.v for r in loads.late_rows(spark, root).collect()) == [16, 32]
+
+
+def test_objects_are_listed_by_folder(spark):
+    root = fresh_path(spark, "objects")
+    assert listing.list_objects(spark, root).count() == 0
+    spark.range(20).select("id", (F.col("id") % 3).alias("a"), (F.col("id") % 2).alias("b")).repartition(1).write.partitionBy("a", "b").parquet(root)
+    for width in (1, 2, 5, 100):
+        found = listing.list_objects(spark, root, width=width)
+        seen = found.filter(~listing.hidden(F.col("path"))).withColumn("folder", listing.folder_under(F.col("path"), root)).collect()
+        assert sorted(r.folder for r in seen) == sorted(f"a={a}/b={b}" for a in range(3) for b in range(2))
+        assert all(r.bytes > 0 and r.modified is not None for r in seen)
+    paths = ["/x/_SUCCESS", "/x/.a.crc", "/x/_tmp/f", "/x/_day=1/f", "/x/f"]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(listing.hidden(F.col("p"))).collect()
+    assert [r[0] for r in got] == [True, True, True, False, False]
 
 
 def test_daily_window_cuts_at_local_midnight(spark):
