@@ -20,11 +20,14 @@ def any_cell_contains(needle: str, cols: Sequence[Column]) -> Column:
     )
 
 
-def condition_text(check: Column, args: Column) -> Column:
-    """``type (k=v · k=v)`` from a map whose values are arrays of text; lists show six entries."""
+SHOWN = 6  # fixed value: entries of a list that a screen shows
+
+
+def condition_text(check: Column, args: Column, *, shown: int | None = None) -> Column:
+    """``type (k=v · k=v)`` from a map whose values are arrays of text; of a list all or the first ``shown`` entries."""
     parts = F.transform(
         F.map_entries(args),
-        lambda e: F.concat(e["key"], F.lit("="), F.concat_ws(", ", F.slice(e["value"], 1, 6))),
+        lambda e: F.concat(e["key"], F.lit("="), F.concat_ws(", ", e["value"] if shown is None else F.slice(e["value"], 1, shown))),
     )
     return F.when(
         F.coalesce(F.size(args), F.lit(0)) > 0,

@@ -105,10 +105,6 @@ class Metric:
             return F.expr(self.expression).alias(self.name)
         return self.aggregate.column(F.col(self.column) if self.column else F.lit(1)).alias(self.name)
 
-    @property
-    def distinct(self) -> bool:
-        return not self.expression and self.aggregate is AGGREGATES["COUNT_DISTINCT"]
-
 
 @dataclass(frozen=True)
 class Ask:
@@ -161,8 +157,7 @@ class Ask:
             return rows.select(*(self.dimensions or df.columns)).limit(self.limit)
         medians = [q for q in (m.median for m in self.metrics) if q]
         plain = [m.plain for m in self.metrics if not m.median]
-        apart = any(m.distinct for m in self.metrics)
-        answered = percentiles.grouped(rows, list(self.dimensions), plain, medians, apart=apart)
+        answered = percentiles.grouped(rows, list(self.dimensions), plain, medians)
         shown = answered.select(*self.dimensions, *[_q(m.name) for m in self.metrics])
         # Dimensions break ties so a limited answer is the same on every run.
         return shown.orderBy(F.col(_q(self.metrics[0].name)).desc_nulls_last(), *self.dimensions).limit(self.limit)

@@ -200,14 +200,17 @@ def runs_with_nodes(
 
 
 def run_nodes(results: DataFrame, invocation_id: str) -> DataFrame:
-    """One run's nodes, longest first, with the compile phase."""
+    """One run's nodes, longest first, with the seconds of the compile and execute phases."""
     return (
         results.filter(F.col("invocation_id") == invocation_id)
         .orderBy(F.col(_SECONDS).desc_nulls_last(), "unique_id")
-        .withColumn("compile_seconds", _phase("compile"))
+        .withColumns({f"{p}_seconds": _phase(p) for p in _PHASES})
     )
 
 
+_PHASES = ("compile", "execute")
+
+
 def _phase(name: str) -> Column:
     return times.elapsed_seconds(
         times.as_time(f"{name}_started_at"), times.as_time(f"{name}_completed_at"), 3
@@ -252,7 +255,7 @@ def model_series(results: DataFrame, name: str, *, days: int, as_of: str | None,
     ran = times.as_time("generated_at")
     return (
         since_days(results.filter(F.col("name") == name), "generated_at", days, as_of)
-        .withColumn("compile_seconds", _phase("compile"))
+        .withColumns({f"{p}_seconds": _phase(p) for p in _PHASES})
         .orderBy(ran.desc_nulls_last(), "unique_id").limit(limit)
     )
 
@@ -345,13 +348,18 @@ def top_n_with_other(df: DataFrame, key: str, value: str, *, n: int = 5) -> Data
     return listed.unionByName(other).withColumn("pct", percent(F.col("total"), whole, digits=0))
 
 
-def spike_vs_median(results: DataFrame, *, runs: int = 10, factor: float = 1.5) -> DataFrame:
-    """Per model over its last ``runs`` runs: last value, upper-middle median, max, and the spike flag."""
-    newest = Window.partitionBy("name").orderBy(times.as_time("generated_at").desc(), F.col("event_id").desc())
+def spike_vs_median(
+    results: DataFrame, *, tie: str, value: str = _SECONDS, runs: int = 10, factor: float = 1.5
+) -> DataFrame:
+    """Per model over its last ``runs`` runs: last value, upper-middle median, max, and the spike flag.
+
+    ``value`` is what is watched, seconds or rows (a missing one counts as 0); runs of one moment go by ``tie``.
+    """
+    newest = Window.partitionBy("name").orderBy(times.as_time("generated_at").desc(), F.col(tie).desc())
     recent = results.filter(_builds()).withColumn("_rn", F.row_number().over(newest)).filter(
         F.col("_rn") <= runs
     )
-    sec = F.coalesce(F.col(_SECONDS).cast("double"), F.lit(0.0))
+    sec = F.coalesce(F.col(value).cast("double"), F.lit(0.0))
     # At most `runs` values per model are gathered.
     values = F.sort_array(F.collect_list(sec))
     shaped = recent.groupBy("name").agg(

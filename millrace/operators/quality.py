@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import status as st
 from millrace.functions import texts, times
 from millrace.functions.numbers import percent
+from millrace.sources import tables
 
 # ---------------------------------------------------------------- checks on data: failing rows
 
@@ -217,7 +218,8 @@ def rules_state(
     return joined.select(
         F.col("name").alias("rule_id"), "uid", rtype.alias("type"),
         st.dimension(rtype).alias("dimension"), "model_id", "col",
-        texts.condition_text(F.col("check_name"), F.col("args")).alias("cond"),
+        texts.condition_text(F.col("check_name"), F.col("args"), shown=texts.SHOWN).alias("cond"),
+        texts.condition_text(F.col("check_name"), F.col("args")).alias("cond_all"),
         F.when(F.col("severity") == "error", "error").otherwise("warn").alias("sev"),
         F.col("enabled").alias("active"), "singular",
         F.when(~F.col("enabled"), "unknown").when(ran, st.test_state(F.col("_c_status")))
@@ -334,7 +336,7 @@ def failure_mix(state: DataFrame) -> DataFrame:
 
 
 def group_rules(state: DataFrame) -> DataFrame:
-    """Rules folded by (condition, severity), singular ones by name, one row per group.
+    """Rules folded by (whole condition, severity), singular ones by name, one row per group.
 
     Members stay in rows of their own (:func:`group_members`), so a group of any size is only
     counted here, never gathered.
@@ -383,11 +385,34 @@ def status_rank(status: Column) -> Column:
 
 def group_members(state: DataFrame) -> DataFrame:
     key = F.when(F.col("singular"), F.concat(F.lit("S:"), "rule_id")).otherwise(
-        F.concat(F.lit("G:"), "cond", F.lit("|"), "sev")
+        F.concat(F.lit("G:"), "cond_all", F.lit("|"), "sev")
     )
     return state.withColumn("key", key)
 
 
+def group_filters(
+    groups: DataFrame, members: DataFrame, *, status: str | None = None, model: str | None = None, dimension: str | None = None,
+    search: str | None = None, page: int | None = None, page_size: int = 10,
+) -> DataFrame:
+    """Groups of a status, with a target in a model, of a dimension, matching a search; then one page.
+
+    A search looks at the group's number, condition and kind and at the column and model of every member. Members are
+    only ever asked for the keys of the groups they are in.
+    """
+    out = groups if status is None else groups.filter(F.col("status") == status)
+    for column, wanted in (("model_id", model), ("dimension", dimension)):
+        if wanted is not None:
+            out = out.join(members.filter(F.col(column) == wanted).select("key").distinct(), "key", "left_semi")
+    if search:
+        inside = members.filter(texts.contains_any(search, [F.col(c) for c in ("col", "model_id")])).select("key").distinct()
+        own = texts.contains_any(search, [F.col("rid"), F.col("cond"), st.rule_label(F.col("type"))])
+        met = inside.withColumnRenamed("key", "_key")
+        out = out.join(met, out["key"] == met["_key"], "left").filter(own | F.col("_key").isNotNull()).drop("_key")
+    if page:
+        out = ordered_groups(out).offset((page - 1) * page_size).limit(page_size)
+    return out
+
+
 def ordered_groups(groups: DataFrame) -> DataFrame:
     return groups.orderBy(status_rank(F.col("status")), "cond", "key")
 
@@ -396,17 +421,21 @@ def top_failing_rules(groups: DataFrame, k: int = 6) -> DataFrame:
     return groups.filter("err_rows > 0").orderBy(F.col("err_rows").desc(), "key").limit(k)
 
 
-def merge_histories(tests: DataFrame, members: DataFrame, *, days: int, as_of: str | None, limit: int = 200) -> DataFrame:
-    """The newest results of every test in a group, newest first."""
+def merge_histories(
+    tests: DataFrame, members: DataFrame, *, days: int, as_of: str | None, tie: str, limit: int | None = 200
+) -> DataFrame:
+    """The newest results of every test in a group, newest first; results of one moment go by ``tie``, the larger first.
+
+    ``limit`` is per test, None for all of them.
+    """
     ts = times.as_time("detected_at")
     recent = tests.filter(times.within_days(ts, days, as_of)).join(
         members.select(F.col("rule_id").alias("test_name")).distinct(), "test_name", "left_semi"
     )
-    newest = Window.partitionBy("test_unique_id").orderBy(ts.desc(), F.col("event_id").desc())
-    return (
-        recent.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= limit)
-        .drop("_rn").orderBy(ts.desc(), "test_name")
-    )
+    if limit is not None:
+        newest = Window.partitionBy("test_unique_id").orderBy(ts.desc(), F.col(tie).desc())
+        recent = recent.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= limit).drop("_rn")
+    return recent.orderBy(ts.desc(), "test_name")
 
 
 def daily_pass_rate(
@@ -445,6 +474,19 @@ def rule_report(state: DataFrame) -> DataFrame:
     )
 
 
+#: The headings of the exported report, in its order.
+REPORT_HEADINGS = {
+    "rule": "규칙", "model": "대상 모델", "column": "컬럼", "check_type": "검사 유형",
+    "severity": "심각도", "status": "결과", "count": "위반 건수", "condition": "검사 방식",
+}
+
+
+def export_report(state: DataFrame, path: str) -> None:
+    """The report as CSV files with the headings above and a BOM each; a missing value is an empty cell."""
+    report = rule_report(state)
+    tables.export_csv(report.select(*[F.col(c).cast("string").alias(h) for c, h in REPORT_HEADINGS.items()]), path)
+
+
 def failed_models(state: DataFrame) -> DataFrame:
     """Models an error-level rule failed on: where a run stops."""
     hit = (F.col("sev") == "error") & (F.col("status") == "err") & F.col("active")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import status as st
 from millrace.functions import texts
 from millrace.operators import quality as q
+from millrace.plans.durable import fresh_path
 from millrace.registry import facts
 from millrace.registry.book import book
 from millrace.registry.facts import AS_OF, table
@@ -308,6 +309,20 @@ def group_rules(spark: SparkSession, sf: str) -> DataFrame:
     return q.ordered_groups(q.group_rules(facts.rule_state(spark, sf)))
 
 
+@book.entry(
+    "group_filters_page",
+    f"""WITH {_GROUPS_SQL} SELECT rid, key, status FROM groups g
+        WHERE status = 'ok' AND key IN (SELECT key FROM keyed WHERE dimension <> 'custom' AND dimension = 'completeness')
+          AND (contains(lower(rid || ' ' || cond), '1') OR key IN (SELECT key FROM keyed WHERE contains(lower(coalesce(col, '') || ' ' || model_id), '1')))
+        ORDER BY cond, key LIMIT 5""",
+)
+def group_filters(spark: SparkSession, sf: str) -> DataFrame:
+    state = facts.rule_state(spark, sf)
+    found = q.group_filters(
+        q.group_rules(state), q.group_members(state), status="ok", dimension="completeness", search="1", page=1, page_size=5)
+    return found.select("rid", "key", "status")
+
+
 @book.entry("group_members", f"WITH {_GROUPS_SQL} SELECT key, rule_id, model_id FROM keyed")
 def group_members(spark: SparkSession, sf: str) -> DataFrame:
     return q.group_members(facts.rule_state(spark, sf)).select("key", "rule_id", "model_id")
@@ -331,7 +346,7 @@ def top_failing(spark: SparkSession, sf: str) -> DataFrame:
 )
 def merge_histories(spark: SparkSession, sf: str) -> DataFrame:
     members = q.group_members(facts.rule_state(spark, sf)).filter(F.col("key") == "G:unique|error")
-    out = q.merge_histories(facts.test_results(spark, sf), members, days=7, as_of=AS_OF)
+    out = q.merge_histories(facts.test_results(spark, sf), members, days=7, as_of=AS_OF, tie="event_id")
     return out.select("test_name", "detected_at", "status", "failures")
 
 
@@ -376,6 +391,19 @@ def report(spark: SparkSession, sf: str) -> DataFrame:
     return q.rule_report(facts.rule_state(spark, sf))
 
 
+@book.entry(
+    "rule_report_csv",
+    f"""WITH {facts.STATE_SQL} SELECT rule_id AS rule, model_id AS model, coalesce(col, '') AS "column", {_LABEL_SQL} AS check_type,
+        sev AS severity, status, coalesce(CAST(cnt AS VARCHAR), '') AS count, cond AS condition FROM state""",
+)
+def report_csv(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "report")
+    q.export_report(facts.rule_state(spark, sf), path)
+    schema = ", ".join(f"`{name}` string" for name in q.REPORT_HEADINGS)
+    back = spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    return back.select(*[F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(name) for name in q.REPORT_HEADINGS])
+
+
 # ---------------------------------------------------------------- status and condition expressions
 
 

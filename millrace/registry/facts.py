@@ -39,6 +39,8 @@ run_results AS (
          CAST(ts AS VARCHAR) AS generated_at,
          CAST(ts AS VARCHAR) AS compile_started_at,
          CAST(ts + INTERVAL 250 MILLISECOND AS VARCHAR) AS compile_completed_at,
+         CAST(ts + INTERVAL 250 MILLISECOND AS VARCHAR) AS execute_started_at,
+         CASE WHEN event_id % 7 > 0 THEN CAST(ts + to_milliseconds(250 + event_id % 5000) AS VARCHAR) END AS execute_completed_at,
          event_id
   FROM events)"""
 
@@ -68,6 +70,9 @@ def run_results(spark: SparkSession, sf: str) -> DataFrame:
         F.col("ts").cast("string").alias("generated_at"),
         F.col("ts").cast("string").alias("compile_started_at"),
         (F.col("ts") + F.expr("INTERVAL '0.250' SECOND")).cast("string").alias("compile_completed_at"),
+        (F.col("ts") + F.expr("INTERVAL '0.250' SECOND")).cast("string").alias("execute_started_at"),
+        F.when(F.col("event_id") % 7 > 0, F.col("ts") + F.expr("make_dt_interval(0, 0, 0, (250 + event_id % 5000) / CAST(1000 AS DECIMAL(8, 3)))"))
+        .cast("string").alias("execute_completed_at"),
         "event_id",
     )
 

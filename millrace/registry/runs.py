@@ -118,12 +118,13 @@ def runs_with_nodes(spark: SparkSession, sf: str) -> DataFrame:
 @book.entry(
     "run_nodes",
     f"""WITH {R} SELECT unique_id, name, status, execution_time, rows_affected, failures,
-          round(date_diff('millisecond', CAST(compile_started_at AS TIMESTAMP), CAST(compile_completed_at AS TIMESTAMP)) / 1000.0 + 1e-9, 3) AS compile_seconds
+          round(date_diff('millisecond', CAST(compile_started_at AS TIMESTAMP), CAST(compile_completed_at AS TIMESTAMP)) / 1000.0 + 1e-9, 3) AS compile_seconds,
+          round(date_diff('millisecond', CAST(execute_started_at AS TIMESTAMP), CAST(execute_completed_at AS TIMESTAMP)) / 1000.0 + 1e-9, 3) AS execute_seconds
         FROM run_results WHERE invocation_id = '2024-01-15-2'""",
 )
 def run_nodes(spark: SparkSession, sf: str) -> DataFrame:
     return h.run_nodes(facts.run_results(spark, sf), "2024-01-15-2").select(
-        "unique_id", "name", "status", "execution_time", "rows_affected", "failures", "compile_seconds"
+        "unique_id", "name", "status", "execution_time", "rows_affected", "failures", "compile_seconds", "execute_seconds"
     )
 
 
@@ -148,12 +149,14 @@ def model_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @book.entry(
     "model_series",
-    f"""WITH {R} SELECT generated_at, status, execution_time, invocation_id FROM run_results
+    f"""WITH {R} SELECT generated_at, status, execution_time, invocation_id,
+          round(date_diff('millisecond', CAST(compile_started_at AS TIMESTAMP), CAST(compile_completed_at AS TIMESTAMP)) / 1000.0 + 1e-9, 3) AS compile_seconds,
+          round(date_diff('millisecond', CAST(execute_started_at AS TIMESTAMP), CAST(execute_completed_at AS TIMESTAMP)) / 1000.0 + 1e-9, 3) AS execute_seconds FROM run_results
         WHERE name = 'm42' AND {_since('generated_at', 30)} ORDER BY generated_at DESC, unique_id LIMIT 100""",
 )
 def model_series(spark: SparkSession, sf: str) -> DataFrame:
     return h.model_series(facts.run_results(spark, sf), "m42", days=30, as_of=AS_OF).select(
-        "generated_at", "status", "execution_time", "invocation_id"
+        "generated_at", "status", "execution_time", "invocation_id", "compile_seconds", "execute_seconds"
     )
 
 
@@ -290,4 +293,17 @@ def top_n(spark: SparkSession, sf: str) -> DataFrame:
         SELECT *, median_value <> 0 AND last_value > median_value * 1.5 AS spike FROM g""",
 )
 def spike(spark: SparkSession, sf: str) -> DataFrame:
-    return h.spike_vs_median(facts.run_results(spark, sf))
+    return h.spike_vs_median(facts.run_results(spark, sf), tie="event_id")
+
+
+@book.entry(
+    "spike_in_rows",
+    f"""WITH {R}, l AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY CAST(generated_at AS TIMESTAMP) DESC, event_id DESC) AS rn
+          FROM run_results WHERE {_BUILD}), g AS (
+        SELECT name, count(*) AS runs, min(CAST(coalesce(rows_affected, 0) AS DOUBLE)) FILTER (WHERE rn = 1) AS last_value,
+               list_sort(list(CAST(coalesce(rows_affected, 0) AS DOUBLE)))[count(*) // 2 + 1] AS median_value, max(CAST(coalesce(rows_affected, 0) AS DOUBLE)) AS max_value
+        FROM l WHERE rn <= 10 GROUP BY 1)
+        SELECT *, median_value <> 0 AND last_value > median_value * 1.5 AS spike FROM g""",
+)
+def spike_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return h.spike_vs_median(facts.run_results(spark, sf), tie="event_id", value="rows_affected")

@@ -204,7 +204,7 @@ def test_scores_and_groups(spark):
         ("c", "c", "unique", "uniqueness", "m2", "c", "unique", "warn", True, False, "unknown", 0),
         ("d", "d", "sql", "custom", "m3", "", "singular", "error", False, True, "unknown", 0),
     ]
-    state = spark.createDataFrame(rows, STATE)
+    state = spark.createDataFrame(rows, STATE).withColumn("cond_all", F.col("cond"))
     d = quality.dashboard(state).head()
     assert (d.rule_total, d.measured, d.passed, d.err_rows, d.not_run_count, d.affected_models, d.score) == (3, 2, 1, 3, 1, 1, 50.0)
     assert quality.dashboard(state.filter("status = 'unknown'")).head().score is None
@@ -213,6 +213,42 @@ def test_scores_and_groups(spark):
     assert {r.model_id: (r.completeness, r.uniqueness, r.overall) for r in quality.quality_matrix(state).collect()} == {
         "m1": (100.0, None, 100.0), "m2": (0.0, None, 0.0)}
     assert quality.rule_filters(state, page=2, page_size=3).count() == 1
+    groups, members = quality.group_rules(state), quality.group_members(state)
+    keys = lambda **asked: sorted(r.key for r in quality.group_filters(groups, members, **asked).collect())
+    assert keys(status="err") == ["G:not_null|error"] and keys(status="ok") == []
+    assert keys(model="m2") == ["G:not_null|error", "G:unique|warn"] and keys(model="m2", dimension="uniqueness") == ["G:unique|warn"]
+    assert keys(search="M3") == ["S:d"] and keys(search="unique") == ["G:unique|warn"] and len(keys(page=2, page_size=2)) == 1
+
+
+def test_rules_that_differ_in_a_seventh_value_are_two_groups(spark):
+    args = spark.createDataFrame([(1, list("abcdefg")), (2, list("abcdefh")), (3, list("abcdefg"))], "n int, v array<string>")
+    text = args.select("n", F.create_map(F.lit("values"), F.col("v")).alias("args")).select(
+        "n", texts.condition_text(F.lit("accepted"), F.col("args"), shown=6).alias("cond"),
+        texts.condition_text(F.lit("accepted"), F.col("args")).alias("cond_all"))
+    state = text.select(
+        F.concat(F.lit("r"), "n").alias("rule_id"), F.lit("accepted").alias("type"), F.lit("m").alias("model_id"), "cond", "cond_all",
+        F.lit("error").alias("sev"), F.lit(True).alias("active"), F.lit(False).alias("singular"), F.lit("ok").alias("status"), F.lit(0).alias("cnt"))
+    got = {(r.cond, r.targets) for r in quality.group_rules(state).collect()}
+    assert got == {("accepted (values=a, b, c, d, e, f)", 1), ("accepted (values=a, b, c, d, e, f)", 2)}
+
+
+def test_report_is_exported_with_headings_and_bom(spark):
+    row = ("r", "u", "notnull", "completeness", "m", None, 'a "b", c', "error", True, False, "ok", 0)
+    path = fresh_path(spark, "report")
+    quality.export_report(spark.createDataFrame([row], STATE), path)
+    lines = [r.value for r in spark.read.text(path).collect()]
+    assert lines[0].lstrip("\ufeff") == ",".join(quality.REPORT_HEADINGS.values())
+    assert lines[1].startswith("r,m,") and lines[1].endswith(',error,ok,0,"a ""b"", c"')
+
+
+def test_merged_histories_need_no_column_of_their_own(spark):
+    tests = spark.createDataFrame(
+        [(f"t{k % 2}", f"u{k % 2}", "2024-01-30 10:00:00", "pass", k) for k in range(8)],
+        "test_name string, test_unique_id string, detected_at string, status string, run int")
+    members = spark.createDataFrame([("t0",)], "rule_id string")
+    few = quality.merge_histories(tests, members, days=7, as_of="2024-01-31", tie="run", limit=2).collect()
+    assert sorted(r.run for r in few) == [4, 6]
+    assert quality.merge_histories(tests, members, days=7, as_of="2024-01-31", tie="run", limit=None).count() == 4
 
 
 # ---------------------------------------------------------------- lineage

@@ -58,27 +58,54 @@ def test_previous_crosses_partitions(skewed):
     assert {(r.k, r.pos): (r.before, r.is_first) for r in got} == want
 
 
-@pytest.mark.parametrize("small,broadcast", [(0, 10**6), (0, 0), (10**6, 0)])
-def test_percentiles_match_numpy(spark, monkeypatch, small, broadcast):
-    monkeypatch.setattr(percentiles, "_BROADCAST_GROUPS", broadcast)
+@pytest.mark.parametrize("parts", [2, 100, 1 << 20])
+def test_percentiles_match_numpy(spark, monkeypatch, parts):
+    monkeypatch.setattr(percentiles, "_PARTS", parts)
     rng = np.random.default_rng(3)
     hot = rng.integers(0, 10**6, 30_000) / 100
     tiny = np.array([1.0, 2.0])
     rows = [("hot", float(x)) for x in hot] + [("tiny", float(x)) for x in tiny] + [("none", None)]
     df = spark.createDataFrame(rows, "k string, v double").repartition(8)
     qs = [Quantile("p50", F.col("v"), 0.5), Quantile("p95", F.col("v"), 0.95), Quantile("p0", F.col("v"), 0.0)]
-    got = {r.k: r for r in percentiles.grouped(df, ["k"], [F.count("v").alias("n")], qs, small=small).collect()}
+    got = {r.k: r for r in percentiles.grouped(df, ["k"], [F.count("v").alias("n")], qs).collect()}
     for k, values in (("hot", hot), ("tiny", tiny)):
         assert got[k].n == len(values)
         assert got[k].p50 == pytest.approx(np.quantile(values, 0.5), abs=1e-9)
         assert got[k].p95 == pytest.approx(np.quantile(values, 0.95), abs=1e-9)
         assert got[k].p0 == values.min()
     assert got["none"].n == 0 and got["none"].p50 is None
-    flat = percentiles.grouped(df, [], [F.count(F.lit(1)).alias("n")], qs[:1], small=small).head()
+    flat = percentiles.grouped(df, [], [F.count(F.lit(1)).alias("n")], qs[:1]).head()
     both = np.concatenate([hot, tiny])
     assert flat.n == len(both) + 1 and flat.p50 == pytest.approx(np.quantile(both, 0.5), abs=1e-9)
 
 
+def test_percentiles_of_any_doubles(spark):
+    rng = np.random.default_rng(9)
+    wild = np.concatenate([
+        rng.choice([-1, 1], 300) * 2.0 ** rng.uniform(-1070, 1020, 300), [0.0, -0.0, np.inf, -np.inf, 5e-324, -5e-324, np.finfo(float).max],
+        1 + np.arange(40) * 2.0**-52, np.full(200, 7.0),
+    ])
+    rows = [(k, float(x), float(-x)) for k in ("a", None) for x in rng.permutation(wild)] + [("nan", float("nan"), 1.0), ("nan", 1.0, None)]
+    df = spark.createDataFrame(rows, "k string, v double, w double")
+    v, w = F.col("v"), F.col("w")
+    qs = [Quantile(f"v{p}", v, p) for p in (0.0, 0.25, 0.5, 1.0)] + [Quantile("w50", w, 0.5)]
+    got = {r.k: r for r in percentiles.grouped(df, ["k"], [], qs).collect()}
+    assert set(got) == {"a", None, "nan"}
+    def exact(values, p):
+        at, ordered = (len(values) - 1) * p, np.sort(values)
+        low, high = ordered[int(np.floor(at))], ordered[int(np.ceil(at))]
+        return low if low == high else low + (high - low) * (at - np.floor(at))
+
+    for k in ("a", None):
+        for p in (0.0, 0.25, 0.5, 1.0):
+            assert got[k][f"v{p}"] == exact(wild, p)
+        assert got[k].w50 == exact(-wild, 0.5)
+    assert got["nan"]["v0.0"] == 1.0 and np.isnan(got["nan"]["v1.0"]) and got["nan"].w50 == 1.0
+    assert percentiles.grouped(df.limit(0), ["k"], [], qs).count() == 0
+    alone = percentiles.grouped(df.filter("k = 'a'"), [], [], qs).collect()
+    assert len(alone) == 1 and alone[0]["v0.5"] == exact(wild, 0.5)
+
+
 def _graph(spark, pairs):
     return spark.createDataFrame(pairs, "src string, dst string")
 
