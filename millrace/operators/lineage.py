@@ -189,7 +189,7 @@ def trigger_edges(flows: DataFrame) -> DataFrame:
 
 
 def chain_cycles(flows: DataFrame) -> DataFrame:
-    """Flows whose trigger chain leads back to themselves."""
+    """(id, cycle): flows whose trigger chain leads back to themselves, and the smallest flow of that cycle."""
     return reach.on_cycles(trigger_edges(flows).select(F.col("dst").alias("id"), F.col("src").alias("next")))
 
 

@@ -127,18 +127,30 @@ def spread(
 
 
 def on_cycles(pointers: DataFrame, *, node: str = "id", nxt: str = "next") -> DataFrame:
-    """Nodes of a one-successor graph whose chain returns to themselves.
+    """(node, cycle): nodes of a one-successor graph whose chain returns to them, and the smallest node of their cycle.
 
-    Pointer doubling: after k rounds every pointer has moved 2^k steps, and once 2^k reaches the
-    node count whatever is still pointed at lies on a cycle. That is log2(nodes) self-joins.
+    After k rounds a pointer has moved 2^k steps. What nobody points at by then stands outside every cycle and is
+    trimmed, and so is a chain that ended, so a round joins only cycles and what hangs far above them. Once all
+    remaining nodes are pointed at, they are the cycles: rounds follow the logarithm of the longest way into a cycle.
+    The smallest node is then handed on along the cycles in the same way.
     """
-    hops = cut(pointers.filter(F.col(nxt).isNotNull()).select(F.col(node).alias("id"), F.col(nxt).alias("at")), "hops")
-    nodes = hops.count()
-    moved = 1
-    while moved < nodes:
-        second = hops.select(F.col("id").alias("_id"), F.col("at").alias("_at"))
-        hops = cut(
-            hops.join(second, F.col("at") == F.col("_id")).select("id", F.col("_at").alias("at")), "hops"
-        )
-        moved *= 2
-    return hops.select(F.col("at").alias(node)).distinct()
+    hops = cut(
+        pointers.filter(F.col(nxt).isNotNull()).select(F.col(node).alias("id"), F.col(nxt).alias("step"), F.col(nxt).alias("at")), "hops"
+    )
+    size = hops.count()
+    while size:
+        over = hops.select(F.col("id").alias("_id"), F.col("at").alias("_at"))
+        aimed = hops.select(F.col("at").alias("_aim")).distinct()
+        kept = hops.join(aimed, F.col("id") == F.col("_aim"), "left_semi")
+        moved = kept.join(over, F.col("at") == F.col("_id")).select("id", "step", F.col("_at").alias("at"))
+        hops = cut(moved, "hops")
+        before, size = size, hops.count()
+        if size == before:
+            break
+    least = cut(hops.select("id", F.col("step").alias("at"), F.col("id").alias("least")), "least")
+    while True:
+        over = least.select(F.col("id").alias("_id"), F.col("at").alias("_at"), F.col("least").alias("_least"))
+        met = least.join(over, F.col("at") == F.col("_id"))
+        if met.filter("least <> _least").isEmpty():
+            return least.select(F.col("id").alias(node), F.col("least").alias("cycle"))
+        least = cut(met.select("id", F.col("_at").alias("at"), F.least("least", "_least").alias("least")), "least")

@@ -198,7 +198,7 @@ def chained(spark: SparkSession, sf: str) -> DataFrame:
     "chain_cycles",
     f"""WITH RECURSIVE {FL}, {_TRIG},
         walk(root, pos) AS (SELECT dst, src FROM trig UNION SELECT w.root, t.src FROM walk w JOIN trig t ON t.dst = w.pos)
-        SELECT DISTINCT root AS id FROM walk WHERE root = pos""",
+        SELECT root AS id, min(pos) AS cycle FROM walk WHERE root IN (SELECT root FROM walk WHERE root = pos) GROUP BY root""",
 )
 def cycles(spark: SparkSession, sf: str) -> DataFrame:
     return ln.chain_cycles(facts.flows(spark, sf))

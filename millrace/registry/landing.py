@@ -618,6 +618,20 @@ def materialize(spark: SparkSession, sf: str) -> DataFrame:
     return tables.materialize(spark, name, o, "incremental", newer_than="o_orderkey")
 
 
+@book.entry(
+    "materialize_merge",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'late' ELSE o_orderstatus END AS o_orderstatus,
+              strftime(CASE WHEN o_orderkey % 5 = 0 THEN (SELECT max(o_orderdate) FROM orders) ELSE o_orderdate END, '%Y-%m-%d') AS day FROM orders""",
+)
+def materialize_merge(spark: SparkSession, sf: str) -> DataFrame:
+    name = _fresh_table("merged_orders")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    newest = orders.agg(F.max("day")).scalar()
+    late = orders.filter("o_orderkey % 5 = 0").select("o_orderkey", F.lit("late").alias("o_orderstatus"), newest.alias("day"))
+    tables.materialize(spark, name, orders, "incremental", newer_than="day", keys=["o_orderkey"])
+    return tables.materialize(spark, name, late, "incremental", newer_than="day", keys=["o_orderkey"])
+
+
 @book.entry(
     "load_seed",
     "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, s_name FROM supplier",

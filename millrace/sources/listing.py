@@ -122,16 +122,21 @@ def folder_under(path: Column, root: str) -> Column:
     return F.regexp_replace(F.substr(plain, F.lit(len(top) + 2)), r"/?[^/]*$", "")
 
 
+def location(spark: SparkSession, table: str) -> str:
+    """The folder of a table's current version."""
+    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").head()
+    if described is None:
+        raise ValueError(f"{table} has no location")
+    return described["data_type"]
+
+
 def live_files(spark: SparkSession, table: str) -> DataFrame:
     """(path, bytes, partition) of the data files a table's current version is made of; no row is read.
 
     A version of a table is a folder of its own here, which the catalog names, so the files under it are the live ones.
     ``partition`` is the ``column=value`` path below it, empty for a table without partitions.
     """
-    described = spark.sql(f"DESCRIBE TABLE EXTENDED {table}").filter("col_name = 'Location'").head()
-    if described is None:
-        raise ValueError(f"{table} has no location")
-    root = described["data_type"]
+    root = location(spark, table)
     found = list_objects(spark, root)
     inside = F.concat(F.lit("/"), folder_under(F.col("path"), root), F.lit("/"), F.element_at(F.split("path", "/"), -1))
     return found.filter(~hidden(inside)).select("path", "bytes", folder_under(F.col("path"), root).alias("partition"))

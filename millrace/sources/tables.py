@@ -20,6 +20,7 @@ from millrace.operators.ingest import (
     call_plan, dedupe_batch, schema_diff, stringify, within_budget,
 )
 from millrace.plans.durable import cut, table_path
+from millrace.sources import listing
 
 _NAME = re.compile(r"^[a-z][a-z0-9_]{1,62}$")
 PREVIEW_DEFAULT, PREVIEW_MAX = 20, 200
@@ -167,11 +168,60 @@ def load_seed(spark: SparkSession, table: str, path: str, *, delimiter: str = ",
     return spark.table(table).count()
 
 
+_BUCKET = "_bucket"
+
+
+def merge_keyed(
+    spark: SparkSession, name: str, df: DataFrame, keys: Sequence[str], *, newer_than: str | None = None, buckets: int = 64
+) -> DataFrame:
+    """Merge rows into a table by key: a new key is added, a known one replaced; of several rows of a key the newest stays.
+
+    The table lies in ``buckets`` folders by a hash of the key (a number chosen at its first build and kept). A batch
+    rewrites the folders its keys fall into and no others, so its cost follows the batch and not the table. Rows older
+    than the stored maximum of ``newer_than`` are left out, those equal to it are not: they may be late. Without
+    ``newer_than`` every row of the batch counts as newer than the table's.
+    """
+    order = [newer_than] if newer_than else []
+    fresh = df
+    if known := spark.catalog.tableExists(name):
+        stored = spark.table(name)
+        buckets = int(spark.sql(f"SHOW TBLPROPERTIES {name}('buckets')").head()["value"])
+        if newer_than and (high := stored.agg(F.max(newer_than)).head()[0]) is not None:
+            fresh = df.filter(F.col(newer_than) >= F.lit(high))
+    placed = fresh.withColumn(_BUCKET, F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int"))
+    placed = cut(placed.withColumn("_new", F.lit(True)), "batch")
+    if known:
+        touched = placed.select(F.col(_BUCKET).alias("_b")).distinct()
+        there = stored.join(F.broadcast(touched), F.col(_BUCKET) == F.col("_b"), "left_semi")  # ``buckets`` rows at most
+        placed = placed.unionByName(there.withColumn("_new", F.lit(False)))
+    plain = [c for c in placed.columns if c not in (*keys, _BUCKET, "_new")]
+    newest = placed.groupBy(*keys, _BUCKET).agg(F.max_by(F.struct(*plain), F.struct(*order, "_new", *plain)).alias("_row"))
+    merged = cut(newest.select(*[F.col(c) if c in keys else F.col(f"_row.{c}").alias(c) for c in df.columns], _BUCKET), "merged")
+    if not known:
+        path = table_path(spark, name)
+        merged.repartition(_BUCKET).write.partitionBy(_BUCKET).parquet(path)
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in merged.schema.fields)
+        spark.sql(
+            f"CREATE TABLE {name} ({columns}) USING parquet PARTITIONED BY (`{_BUCKET}`) LOCATION '{path}' TBLPROPERTIES ('buckets' = '{buckets}')"
+        )
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+    else:
+        # Only the folders in ``merged`` are replaced, each when the job commits.
+        replaced = merged.repartition(_BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        replaced.partitionBy(_BUCKET).parquet(listing.location(spark, name))
+        spark.sql(f"MSCK REPAIR TABLE {name}")
+        spark.sql(f"REFRESH TABLE {name}")
+    return spark.table(name).drop(_BUCKET)
+
+
 def materialize(
-    spark: SparkSession, name: str, df: DataFrame, how: str = "table", *, newer_than: str | None = None
+    spark: SparkSession, name: str, df: DataFrame, how: str = "table", *, newer_than: str | None = None,
+    keys: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Build a model as ``table``, ``view``, ``incremental`` (rows beyond the stored maximum of the
-    ``newer_than`` column are appended) or ``ephemeral`` (the plan itself is handed on)."""
+    """Build a model as ``table``, ``view``, ``incremental`` (rows beyond the stored maximum of the ``newer_than``
+    column are appended; with ``keys`` they are merged, see ``merge_keyed``) or ``ephemeral`` (the plan itself is handed on)."""
+    if how == "incremental" and keys:
+        return merge_keyed(spark, name, df, keys, newer_than=newer_than)
     if how == "ephemeral":
         return df
     if how == "view":

@@ -171,3 +171,22 @@ def test_spread_max_and_cycles_of_pointers(spark):
         [("p", "q"), ("q", "r"), ("r", "q"), ("s", "s"), ("t", None), ("u", "t")], "id string, next string"
     )
     assert {r.id for r in reach.on_cycles(pointers).collect()} == {"q", "r", "s"}
+
+
+def test_cycles_name_their_members_whatever_hangs_on_them(spark):
+    rng = np.random.default_rng(2)
+    after = {f"t{k}": f"t{k + 1}" for k in range(70)} | {"t70": "c0"} | {f"c{k}": f"c{(k + 1) % 11}" for k in range(11)}
+    after |= {"self": "self", "a": "b", "b": "a", "x": "self", "end": None, "to_end": "end"}
+    after |= {f"n{k}": f"n{rng.integers(60)}" for k in range(60)}
+    pointers = spark.createDataFrame(list(after.items()), "id string, next string")
+
+    def members(start):
+        walk, at = [], start
+        while at is not None and at not in walk:
+            walk.append(at)
+            at = after.get(at)
+        return walk if at == start else None
+
+    want = {k: min(m) for k in after if (m := members(k))}
+    assert {r.id: r.cycle for r in reach.on_cycles(pointers).collect()} == want
+    assert reach.on_cycles(pointers.filter("id like 't%'")).count() == 0
