@@ -23,7 +23,7 @@ def any_cell_contains(needle: str, cols: Sequence[Column]) -> Column:
 SHOWN = 6  # fixed value: entries of a list that a screen shows
 
 
-def condition_text(check: Column, args: Column, *, shown: int | None = None) -> Column:
+def condition_text(check: Column, args: Column, *, shown: int | None = SHOWN) -> Column:
     """``type (k=v · k=v)`` from a map whose values are arrays of text; of a list all or the first ``shown`` entries."""
     parts = F.transform(
         F.map_entries(args),

@@ -218,8 +218,8 @@ def rules_state(
     return joined.select(
         F.col("name").alias("rule_id"), "uid", rtype.alias("type"),
         st.dimension(rtype).alias("dimension"), "model_id", "col",
-        texts.condition_text(F.col("check_name"), F.col("args"), shown=texts.SHOWN).alias("cond"),
-        texts.condition_text(F.col("check_name"), F.col("args")).alias("cond_all"),
+        texts.condition_text(F.col("check_name"), F.col("args")).alias("cond"),
+        texts.condition_text(F.col("check_name"), F.col("args"), shown=None).alias("cond_all"),
         F.when(F.col("severity") == "error", "error").otherwise("warn").alias("sev"),
         F.col("enabled").alias("active"), "singular",
         F.when(~F.col("enabled"), "unknown").when(ran, st.test_state(F.col("_c_status")))

@@ -223,8 +223,8 @@ def test_scores_and_groups(spark):
 def test_rules_that_differ_in_a_seventh_value_are_two_groups(spark):
     args = spark.createDataFrame([(1, list("abcdefg")), (2, list("abcdefh")), (3, list("abcdefg"))], "n int, v array<string>")
     text = args.select("n", F.create_map(F.lit("values"), F.col("v")).alias("args")).select(
-        "n", texts.condition_text(F.lit("accepted"), F.col("args"), shown=6).alias("cond"),
-        texts.condition_text(F.lit("accepted"), F.col("args")).alias("cond_all"))
+        "n", texts.condition_text(F.lit("accepted"), F.col("args")).alias("cond"),
+        texts.condition_text(F.lit("accepted"), F.col("args"), shown=None).alias("cond_all"))
     state = text.select(
         F.concat(F.lit("r"), "n").alias("rule_id"), F.lit("accepted").alias("type"), F.lit("m").alias("model_id"), "cond", "cond_all",
         F.lit("error").alias("sev"), F.lit(True).alias("active"), F.lit(False).alias("singular"), F.lit("ok").alias("status"), F.lit(0).alias("cnt"))
