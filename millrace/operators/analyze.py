@@ -47,12 +47,13 @@ COMPARISONS: dict[str, Callable[[Column, Any], Column]] = {
     "<=": Column.__le__, "LIKE": Column.like,
 }
 PRESENCE: dict[str, Callable[[Column], Column]] = {"IS NULL": Column.isNull, "IS NOT NULL": Column.isNotNull}
+# Per chart the least and the largest number of dimensions, then of metrics.
 CHARTS = {
-    "table": (range(9), range(9)),
-    "bar": (range(1, 3), range(1, 5)),
-    "line": (range(1, 3), range(1, 5)),
-    "pie": (range(1, 2), range(1, 2)),
-    "kpi": (range(1), range(1, 2)),
+    "table": ((0, 8), (0, 8)),
+    "bar": ((1, 2), (1, 4)),
+    "line": ((1, 2), (1, 4)),
+    "pie": ((1, 1), (1, 1)),
+    "kpi": ((0, 0), (1, 1)),
 }
 DEFAULT_LIMIT, MAX_LIMIT = 100, 1000
 
@@ -146,8 +147,9 @@ class Ask:
         if missing := sorted(used.difference(columns)):
             raise SpecError(f"{', '.join(missing)} is not a column of this model")
         for what, parts, room in zip(("dimensions", "metrics"), (self.dimensions, self.metrics), CHARTS[kind]):
-            if len(parts) not in room:
-                raise SpecError(f"{kind} takes {room[0]}-{room[-1]} {what}, not {len(parts)}")
+            least, most = room
+            if not least <= len(parts) <= most:
+                raise SpecError(f"{kind} takes {least}-{most} {what}, not {len(parts)}")
         return self
 
     def over(self, df: DataFrame) -> DataFrame:
@@ -177,9 +179,10 @@ def spec_filters(filters: Sequence[Mapping[str, Any]] | None) -> Column | None:
 
 
 def metric_label(label: str, agg: str) -> str:
-    """The label with its aggregate's word, unless it already ends in it."""
-    word = AGGREGATES[agg].word
-    return label if label.endswith(word) else f"{label} {word}"
+    """The label with its aggregate's words behind it, once: whole words are compared."""
+    ending = AGGREGATES[agg].word.split()
+    words = label.split()
+    return label if words[-len(ending):] == ending else " ".join((label, *ending))
 
 
 def row_limit(limit: Any, max_limit: int = MAX_LIMIT) -> int:

@@ -25,10 +25,10 @@ def audit_sql(models: DataFrame, known: DataFrame) -> DataFrame:
     Unknown references are found by joining the reference rows to the known ids, so neither side is
     gathered; a model's own unknown references (a handful) come back as a list in call order.
     """
-    body = texts.sql_structure(F.col("sql"))
-    counted = models.select("id", body.alias("_b")).select(
-        "id", texts.statement_count(F.col("_b")).alias("statements"), texts.cte_count(F.col("_b")).alias("ctes"),
-        texts.select_count(F.col("_b")).alias("selects"), texts.ddl_found(F.col("_b")).alias("ddl"),
+    scan = texts.TokenScan(F.col("_t"))
+    counted = models.select("id", texts.sql_tokens(F.col("sql")).alias("_t")).select(
+        "id", scan.statements().alias("statements"), scan.ctes().alias("ctes"),
+        scan.selects().alias("selects"), scan.change().alias("ddl"),
     )
     refs = extract_refs(models).filter("kind = 'ref'")
     unknown = refs.join(known.select(F.col("id").alias("_known")), F.col("target") == F.col("_known"), "left_anti")
