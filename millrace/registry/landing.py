@@ -490,6 +490,26 @@ def flag_errors(spark: SparkSession, sf: str) -> DataFrame:
     return responses.flag_error_bodies(_responses(spark, sf)).drop("page", "body")
 
 
+@book.entry(
+    "flag_error_bodies_mixed",
+    """SELECT c_custkey AS call_id, c_custkey % 6 IN (1, 2, 3) AS is_error,
+              CASE c_custkey % 6 WHEN 1 THEN '022' WHEN 2 THEN '30' WHEN 3 THEN '5' END AS error_code,
+              CASE c_custkey % 6 WHEN 1 THEN 'LIMIT ' || c_mktsegment WHEN 2 THEN 'SERVICE ERROR' WHEN 3 THEN c_name END AS error_message FROM customer""",
+)
+def flag_errors_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey") % 6
+    head = lambda inner: F.concat(F.lit("<?xml version='1.0'?><!-- a > b --><response><header>"), inner, F.lit("</header><body/></response>"))
+    body = (
+        F.when(k == 0, head(F.lit("<resultCode>00</resultCode>")))
+        .when(k == 1, head(F.concat(F.lit("<resultCode>022</resultCode><resultMsg> LIMIT "), "c_mktsegment", F.lit(" </resultMsg>"))))
+        .when(k == 2, "<OpenAPI_ServiceResponse><cmmMsgHeader><errMsg>SERVICE ERROR</errMsg><returnReasonCode>30</returnReasonCode></cmmMsgHeader></OpenAPI_ServiceResponse>")
+        .when(k == 3, F.to_json(F.struct(F.struct(F.struct(F.lit(5).alias("resultCode"), F.col("c_name").alias("resultMsg")).alias("header")).alias("response"))))
+        .when(k == 4, "<response><header><resultCode>9</resultCode>").otherwise("<other><header><resultCode>9</resultCode></header></other>")
+    )
+    calls = table(spark, sf, "customer").select(F.col("c_custkey").alias("call_id"), body.alias("body"))
+    return responses.flag_error_bodies(calls).drop("body")
+
+
 @book.entry(
     "records_from_xml",
     """SELECT c_custkey AS call_id, 0 AS pos, CAST(c_custkey AS VARCHAR) AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 4 < 2
@@ -553,6 +573,19 @@ def completeness(spark: SparkSession, sf: str) -> DataFrame:
     return responses.page_completeness(_pages(spark, sf), size=20)
 
 
+@book.entry(
+    "page_sizes_per_call",
+    f"""WITH {_PAGES_SQL}, e AS (SELECT *, CASE WHEN call_id % 4 > 0 THEN 10 * (call_id % 4) ELSE 0 END AS asked, TRY_CAST(total AS BIGINT) AS t FROM along),
+        f AS (SELECT *, coalesce(collected >= t, false) OR rows = 0 OR (asked > 0 AND rows < asked) OR (t IS NULL AND asked = 0) AS ends FROM e),
+        c AS (SELECT call_id, arg_max(ends, page) AS last_ends, count(*) FILTER (WHERE ends) AS n_ends FROM f GROUP BY 1)
+        SELECT call_id, CASE WHEN NOT last_ends THEN 'truncated' WHEN n_ends > 1 THEN 'read_past_end' ELSE 'complete' END AS verdict FROM c""",
+)
+def page_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("call_id") % 4
+    pages = _pages(spark, sf).withColumn("asked", F.when(k > 0, k * 10))
+    return responses.page_completeness(pages, size="asked").select("call_id", "verdict")
+
+
 # ---------------------------------------------------------------- loads
 
 
@@ -606,6 +639,25 @@ def run_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return spark.table(name)
 
 
+@book.entry(
+    "run_file_job",
+    """SELECT k, arg_max(segment, n) AS segment, arg_max(_ingested_at, n) AS _ingested_at FROM (
+         SELECT CAST(c_nationkey AS VARCHAR) AS k, c_mktsegment AS segment, 'csv' AS _ingested_at, c_custkey AS n FROM customer) GROUP BY 1
+       UNION ALL SELECT CAST(s_suppkey AS VARCHAR), NULL, 'jsonl' FROM supplier""",
+)
+def file_job(spark: SparkSession, sf: str) -> DataFrame:
+    root, name = fresh_path(spark, "job"), _fresh_table("raw_files")
+    c = table(spark, sf, "customer").orderBy("c_custkey").coalesce(1)
+    c.select(F.col("c_nationkey").alias(" k "), F.col("c_mktsegment").alias("segment"), "c_name").write.options(header=True, sep=";").csv(f"{root}/csv")
+    table(spark, sf, "supplier").select(F.to_json(F.struct(F.col("s_suppkey").alias("k"), "s_name")).alias("value")).write.text(f"{root}/jsonl")
+    job = {"id": "f", "target": name, "mode": "overwrite", "columns": ["k", "segment"], "dedupe": ["k"],
+           "config": {"format": "csv", "delimiter": ";"}}
+    tables.run_file_job(spark, job, f"{root}/csv", ingested_at="csv")
+    job |= {"mode": "append", "config": {"format": "jsonl"}}
+    tables.run_file_job(spark, job, f"{root}/jsonl", ingested_at="jsonl")
+    return spark.table(name)
+
+
 @book.entry(
     "materialize_incremental",
     "SELECT o_orderkey, o_orderstatus FROM orders",
@@ -770,7 +822,7 @@ def run_artifacts(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("key", "resource_type", "status", "execution_time", "rows_affected")
 
 
-def _manifest(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+def _manifest_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Manifest entries made from customers (models), suppliers (sources) and orders (tests)."""
     s, c, o = (table(spark, sf, n) for n in ("supplier", "customer", "orders"))
     text = lambda col: F.col(col).cast("string")
@@ -807,7 +859,11 @@ def _manifest(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
             )).alias("test_metadata"),
         )).alias("node"),
     )
-    return artifacts.read_manifest(sources.unionByName(models).unionByName(tests), "shop")
+    return sources.unionByName(models).unionByName(tests)
+
+
+def _manifest(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return artifacts.read_manifest(_manifest_entries(spark, sf), "shop")
 
 
 _MAN_RULES_SQL = """man_rules AS (SELECT 'test.shop.t' || CAST(o_orderkey AS VARCHAR) AS uid,
@@ -836,6 +892,28 @@ def manifest_columns(spark: SparkSession, sf: str) -> DataFrame:
     return _manifest(spark, sf)["columns"].drop("pos")
 
 
+@book.entry(
+    "read_manifest_physical",
+    """SELECT 'm' || CAST(c_custkey AS VARCHAR) AS model_id, 'id' AS name, c_mktsegment AS label, 'BIGINT' AS type, 0 AS nth FROM customer WHERE c_custkey % 10 <> 9
+       UNION ALL SELECT 'm' || CAST(c_custkey AS VARCHAR), 'nation', 'nation', 'VARCHAR', 1 FROM customer WHERE c_custkey % 10 <> 9 AND c_custkey % 2 = 0
+       UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), 'phone', 'phone', '', 0 FROM supplier""",
+)
+def manifest_physical(spark: SparkSession, sf: str) -> DataFrame:
+    model = F.concat(F.lit("model.shop.m"), F.col("c_custkey").cast("string")).alias("uid")
+    found = F.explode(F.array(
+        F.struct(F.lit(0).alias("pos"), F.lit("id").alias("name"), F.lit("hugeint").alias("type")),
+        F.struct(F.lit(1).alias("pos"), F.lit("nation").alias("name"), F.lit("varchar").alias("type")),
+    ))
+    models = table(spark, sf, "customer").select(model, "c_custkey", found.alias("f")).filter("f.pos = 0 OR c_custkey % 2 = 0").select("uid", "f.*")
+    sources = table(spark, sf, "supplier").select(
+        F.concat(F.lit("source.shop.raw.s"), F.col("s_suppkey").cast("string")).alias("uid"), F.lit(0).alias("pos"),
+        F.lit("phone").alias("name"), F.lit(None).cast("string").alias("type"),
+    )
+    out = artifacts.read_manifest(_manifest_entries(spark, sf), "shop", models.unionByName(sources))["columns"]
+    # Positions have gaps; the documented column comes first.
+    return out.select("model_id", "name", "label", "type", F.when(F.col("pos") > 0, 1).otherwise(0).alias("nth"))
+
+
 @book.entry(
     "read_manifest_models",
     """SELECT 'm' || CAST(c_custkey AS VARCHAR) AS id, 'model' AS dbt_type, 'analytics.m' || CAST(c_custkey AS VARCHAR) AS phys, 'DATA MODEL' AS "group", 'table' AS mat FROM customer WHERE c_custkey % 10 <> 9

@@ -61,11 +61,35 @@ def manifest_nodes(spark: SparkSession, path: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(off).select("uid", "section", "node")
 
 
-def read_manifest(nodes: DataFrame, package: str) -> dict[str, DataFrame]:
+def _with_physical(columns: DataFrame, physical: DataFrame) -> DataFrame:
+    """Documented columns typed by the warehouse where the text gives no type, then the undocumented ones.
+
+    One grouped pass brings both descriptions of a column together; ``pos`` keeps the documented order first and the
+    warehouse's order after it, with gaps.
+    """
+    last = columns.groupBy(F.col("model_id").alias("_m")).agg((F.max("pos") + 1).alias("_next"))
+    known = physical.join(last, F.col("model_id") == F.col("_m"), "left").select(
+        "model_id", (F.coalesce("_next", F.lit(0)) + F.col("pos")).alias("pos"), "name", F.col("name").alias("label"),
+        F.upper(F.coalesce("type", F.lit(""))).alias("type"), F.lit(False).alias("required"), F.lit(1).alias("_rank"),
+    )
+    both = columns.withColumn("_rank", F.lit(0)).unionByName(known)
+    merged = both.groupBy("model_id", "name").agg(
+        F.min_by(F.struct("pos", "label", "type", "required"), "_rank").alias("c"),
+        F.max_by("type", "_rank").alias("_type"),
+    )
+    return merged.select(
+        "model_id", "c.pos", "name", "c.label",
+        F.when(F.col("c.type") != "", F.col("c.type")).otherwise(F.col("_type")).alias("type"), "c.required",
+    )
+
+
+def read_manifest(nodes: DataFrame, package: str, physical: DataFrame | None = None) -> dict[str, DataFrame]:
     """``models``, ``edges``, ``rules`` and ``columns`` of one package from its manifest entries.
 
     A generic test hangs on its attached node, a singular one on everything it depends on; disabled
     tests stay, marked. A column is required when an enabled, error-level not_null hangs on it.
+    ``physical(uid, pos, name, type)`` are the columns the warehouse has: they fill in missing types, and those nobody
+    documented follow the documented ones.
     """
     n = nodes.withColumn("n", F.from_json("node", _NODE)).filter(F.col("n.package_name") == package)
     rtype = F.when(F.col("section") == "sources", "source").otherwise(F.col("n.resource_type"))
@@ -114,6 +138,9 @@ def read_manifest(nodes: DataFrame, package: str) -> dict[str, DataFrame]:
             F.upper(F.coalesce("c.data_type", F.lit(""))).alias("type"), F.col("_rc").isNotNull().alias("required"),
         )
     )
+    if physical is not None:
+        owned = physical.join(ids, F.col("uid") == F.col("_uid")).select(F.col("_id").alias("model_id"), "pos", "name", "type")
+        columns = _with_physical(columns, owned)
     return {
         "models": entries.drop("_deps", "_cols"), "edges": edges, "rules": rules, "columns": columns,
     }

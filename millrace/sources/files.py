@@ -17,12 +17,13 @@ _FILE, _BLOCK, _ID = "_file", "_block", "_line"
 
 
 def read_csv_raw(
-    spark: SparkSession, path: str, *, delimiter: str = ",", multiline: bool = False
+    spark: SparkSession, path: str, *, delimiter: str = ",", multiline: bool = False, place: str | None = None
 ) -> DataFrame:
     """Header CSV, every column a string, header names stripped, nameless columns dropped.
 
     An empty cell is ``""``; Spark's reader cannot tell it from a cell a short row lacks, so that
     becomes ``""`` too. ``multiline`` allows line breaks inside quotes but reads a file per task.
+    ``place`` names a column to add that orders the rows as they stand in the files.
     """
     options = {"sep": delimiter, "escape": '"', "multiLine": multiline}
     raw = spark.read.options(header=True, **options).csv(path)
@@ -31,7 +32,12 @@ def read_csv_raw(
     header = [(cell or "").replace(_BOM, "").strip() for cell in top] if top else []
     chosen = {name: given for name, given in zip(header, raw.columns) if name}
     named = [F.col(f"`{given}`").alias(name) for name, given in chosen.items()]
-    return raw.select(*named).na.fill("")
+    return raw.select(*named, *([_place().alias(place)] if place else [])).na.fill("")
+
+
+def _place() -> Column:
+    """Where a row stands: file, block, number within what a task reads."""
+    return F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
 
 
 def require_rows(df: DataFrame, what: str = "rows") -> DataFrame:
@@ -109,12 +115,16 @@ def record_columns(records: DataFrame, columns: Sequence[str], record: str = "re
     return records.select(*[F.try_element_at(record, F.lit(c)).alias(c) for c in columns], *keep)
 
 
-def read_jsonl_raw(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """JSON Lines as string columns; without ``columns`` the keys are collected first."""
+def read_jsonl_raw(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, *, place: str | None = None
+) -> DataFrame:
+    """JSON Lines as string columns; without ``columns`` the keys are collected first. ``place`` as for CSV."""
     records = jsonl_records(spark, path)
     names = columns or column_names(infer_raw_columns(records, "record", _FILE, _BLOCK, _ID))
     if not names:
         raise ValueError("no records to read")
+    if place:
+        records = records.withColumn(place, F.struct(_FILE, _BLOCK, _ID))
     return record_columns(records, names).drop(_FILE, _BLOCK, _ID)
 
 

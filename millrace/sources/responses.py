@@ -131,37 +131,57 @@ def records_from_xml(responses: DataFrame, record_path: str, *, strict: bool = T
     )
 
 
+# The parts of an XML body in which a source reports a failure.
+_ENVELOPES = "cmmMsgHeader map<string,string>, header map<string,string>"
+_ROOT_TAG = r"(?s)^\s*(?:(?:<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^>]*>)\s*)*<([A-Za-z_][\w.:-]*)"
+
+
 def flag_error_bodies(responses: DataFrame) -> DataFrame:
-    """Failures a source reports inside a success; only exact shapes count."""
-    v = F.try_parse_json("body")
-
-    def text(*parts: str) -> Column:
-        return F.trim(F.coalesce(F.try_variant_get(v, _json_path(list(parts)), "string"), F.lit("")))
-
-    def present(*parts: str) -> Column:
-        return _kind(F.try_variant_get(v, _json_path(list(parts)), "variant")) == "OBJECT"
-
-    def either(a: Column, b: Column) -> Column:
-        return F.when(a != "", a).otherwise(b)
-
-    env = ("OpenAPI_ServiceResponse", "cmmMsgHeader")
-    failed, code, message = F.lit(None), F.lit(None), F.lit(None)
-    for key in ("Response", "response"):
-        head = (key, "header")
-        has_code = F.try_variant_get(v, _json_path([*head, "resultCode"]), "variant").isNotNull()
-        c = F.when(has_code, text(*head, "resultCode")).otherwise(text(*head, "returnReasonCode"))
-        hit = present(*head) & (c != "") & ~c.isin(*OK_CODES)
-        m = either(text(*head, "resultMsg"), text(*head, "returnAuthMsg"))
-        failed = F.when(hit, True).otherwise(failed)
-        code = F.when(hit, c).otherwise(code)
-        message = F.when(hit, m).otherwise(message)
-    service = present(*env)
-    return responses.select(
-        "*",
-        F.coalesce(F.when(service, True).otherwise(failed), F.lit(False)).alias("is_error"),
-        F.when(service, text(*env, "returnReasonCode")).otherwise(code).alias("error_code"),
-        F.when(service, either(text(*env, "returnAuthMsg"), text(*env, "errMsg")))
-        .otherwise(message).alias("error_message"),
+    """Failures a source reports inside a success, in JSON or XML; only exact shapes count.
+
+    A body that is no JSON is read as XML, once, and only if its root tag can hold a failure. Broken bodies report none.
+    """
+    service, ordinary = ("OpenAPI_ServiceResponse", "cmmMsgHeader"), [(key, "header") for key in ("Response", "response")]
+    roots = [service[0], *(key for key, _ in ordinary)]
+    read = (
+        responses.withColumn("_json", F.try_parse_json("body"))
+        .withColumn("_root", F.when(F.col("_json").isNull(), F.regexp_extract("body", _ROOT_TAG, 1)))
+        .withColumn("_xml", F.from_xml(F.when(F.col("_root").isin(*roots), F.col("body")), _ENVELOPES, {"excludeAttribute": "true"}))
+    )
+
+    def elements(head: tuple[str, str]) -> Column:
+        return F.when(F.col("_root") == head[0], F.col(f"_xml.{head[1]}"))
+
+    def found(head: tuple[str, str], field: str) -> Column:
+        given = F.try_variant_get("_json", _json_path([*head, field]), "string")
+        return F.trim(F.coalesce(given, F.try_element_at(elements(head), F.lit(field)), F.lit("")))
+
+    def present(head: tuple[str, str]) -> Column:
+        kind = _kind(F.try_variant_get("_json", _json_path(list(head)), "variant"))
+        return F.coalesce(kind == "OBJECT", F.size(elements(head)) > 0, F.lit(False))
+
+    def first_text(head: tuple[str, str], *fields: str) -> Column:
+        texts = [found(head, f) for f in fields]
+        return reduce(lambda other, t: F.when(t != "", t).otherwise(other), reversed(texts))
+
+    def reported(head: tuple[str, str]) -> Column:
+        """The result code, null where there is none or it means success."""
+        given = F.try_variant_get("_json", _json_path([*head, "resultCode"]), "variant").isNotNull()
+        has_code = given | F.coalesce(F.map_contains_key(elements(head), "resultCode"), F.lit(False))
+        code = F.when(has_code, found(head, "resultCode")).otherwise(found(head, "returnReasonCode"))
+        return F.when(present(head) & (code != "") & ~code.isin(*OK_CODES), code)
+
+    failed = F.when(present(service), F.struct(
+        found(service, "returnReasonCode").alias("code"), first_text(service, "returnAuthMsg", "errMsg").alias("message"),
+    ))
+    for head in reversed(ordinary):
+        failed = failed.when(reported(head).isNotNull(), F.struct(
+            reported(head).alias("code"), first_text(head, "resultMsg", "returnAuthMsg").alias("message"),
+        ))
+    read = read.withColumn("_failed", failed)
+    return read.select(
+        *responses.columns, F.col("_failed").isNotNull().alias("is_error"),
+        F.col("_failed.code").alias("error_code"), F.col("_failed.message").alias("error_message"),
     )
 
 
@@ -170,17 +190,19 @@ def running_page_total(pages: DataFrame) -> DataFrame:
     return running(pages, ["call_id"], ["page"], number="nth_page", sums={"collected": "rows"})
 
 
-def page_completeness(pages: DataFrame, *, size: int = 0) -> DataFrame:
+def page_completeness(pages: DataFrame, *, size: int | str = 0) -> DataFrame:
     """Per call: rows, declared total, and whether paging stopped where it should.
 
-    ``pages(call_id, page, rows, total)``. A page ends the call when the declared total is reached,
-    when it is short or empty, or when neither size nor total is known.
+    ``pages(call_id, page, rows, total)``; ``size`` is the asked page size of all calls, or names a column that holds
+    each call's own (0 or null: not known). A page ends the call when the declared total is reached, when it is short or
+    empty, or when neither size nor total is known. ``MAX_PAGES`` pages without an end are an error, not a cut.
     """
     along = running_page_total(pages)
+    size = F.coalesce(F.col(size).cast("bigint"), F.lit(0)) if isinstance(size, str) else F.lit(size)
     total = F.col("total").try_cast("bigint")
     ends = (
         F.coalesce(F.col("collected") >= total, F.lit(False)) | (F.col("rows") == 0)
-        | (F.lit(size > 0) & (F.col("rows") < size)) | (total.isNull() & F.lit(size == 0))
+        | ((size > 0) & (F.col("rows") < size)) | (total.isNull() & (size <= 0))
     )
     per_call = along.withColumn("_ends", ends).groupBy("call_id").agg(
         F.count(F.lit(1)).alias("pages"), F.sum("rows").alias("rows"),
@@ -188,7 +210,8 @@ def page_completeness(pages: DataFrame, *, size: int = 0) -> DataFrame:
         F.max_by("_ends", "page").alias("_last_ends"), F.count_if("_ends").alias("_n_ends"),
     )
     verdict = (
-        F.when(F.col("pages") > MAX_PAGES, "too_many_pages").when(~F.col("_last_ends"), "truncated")
+        F.when((F.col("pages") > MAX_PAGES) | ((F.col("pages") == MAX_PAGES) & ~F.col("_last_ends")), "too_many_pages")
+        .when(~F.col("_last_ends"), "truncated")
         .when(F.col("_n_ends") > 1, "read_past_end").otherwise("complete")
     )
     return per_call.select(

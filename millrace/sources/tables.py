@@ -20,10 +20,11 @@ from millrace.operators.ingest import (
     call_plan, dedupe_batch, schema_diff, stringify, within_budget,
 )
 from millrace.plans.durable import cut, table_path
-from millrace.sources import listing
+from millrace.sources import files, listing
 
 _NAME = re.compile(r"^[a-z][a-z0-9_]{1,62}$")
 PREVIEW_DEFAULT, PREVIEW_MAX = 20, 200
+_PLACE = "_place"
 _BOM = "﻿"
 
 
@@ -160,11 +161,40 @@ def run_ingest(
     return out
 
 
+def file_records(spark: SparkSession, path: str, config: Mapping[str, Any]) -> tuple[DataFrame, str]:
+    """A job's files as string columns, and the column that holds each row's place in them.
+
+    ``config`` gives ``format`` (``csv``, the default, with a ``delimiter``, or ``json`` or ``jsonl``: one object a line).
+    """
+    kind = config.get("format") or "csv"
+    if kind == "csv":
+        rows = files.read_csv_raw(spark, path, delimiter=config.get("delimiter") or ",", multiline=bool(config.get("multiline")), place=_PLACE)
+    elif kind in ("json", "jsonl"):
+        rows = files.read_jsonl_raw(spark, path, place=_PLACE)
+    else:
+        raise ValueError(f"files of format {kind!r} cannot be loaded")
+    return rows, _PLACE
+
+
+def run_file_job(spark: SparkSession, job: Mapping[str, Any], path: str, *, ingested_at: str) -> dict[str, Any]:
+    """Load a job's files in its mode, with its columns (none given: those found) and its in-batch dedupe.
+
+    Files without rows load nothing and make no table: the answer has ``rows`` 0, so that a caller can pass over what
+    follows. The files are read by the tasks.
+    """
+    rows, place = file_records(spark, path, job.get("config") or {})
+    if rows.isEmpty():
+        return {"table": job["target"], "rows": 0, "mode": job["mode"], "created": False}
+    if wanted := job.get("columns"):
+        given = set(rows.columns)
+        rows = rows.select(*[F.col(f"`{c}`") if c in given else F.lit(None).cast("string").alias(c) for c in wanted], place)
+    return load_raw(spark, job["target"], cut(rows, "file-rows"), mode=job["mode"], dedupe=job.get("dedupe"),
+                    pos=place, ingested_at=ingested_at)
+
+
 def load_seed(spark: SparkSession, table: str, path: str, *, delimiter: str = ",") -> int:
     """Replace a table by its CSV; returns the rows now in it."""
-    from millrace.sources.files import read_csv_raw
-
-    _replace(spark, table, read_csv_raw(spark, path, delimiter=delimiter))
+    _replace(spark, table, files.read_csv_raw(spark, path, delimiter=delimiter))
     return spark.table(table).count()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 import pytest
@@ -411,3 +412,47 @@ def test_keyed_merge_rewrites_only_touched_buckets(spark):
     kept = {p for p in before if p in after}
     assert 13 <= len({before[p] for p in kept}) < 16 and len(set(after.values())) == 16
     assert {tuple(r) for r in merge([]).collect()} == want and files() == after
+
+
+def test_file_jobs_follow_file_order_and_pass_over_empty_files(spark):
+    root, name = fresh_path(spark, "job").removeprefix("file:"), f"raw_job_{uuid.uuid4().hex[:12]}"
+    os.makedirs(f"{root}/many")
+    with open(f"{root}/many/a.csv", "w") as f:
+        f.write("k,v\n" + "1,first\n" * 400)
+    with open(f"{root}/many/b.csv", "w") as f:
+        f.write("k,v\n1,last\n2,\n")
+    with open(f"{root}/none.csv", "w") as f:
+        f.write("k,v\n")
+    job = {"target": name, "mode": "overwrite", "dedupe": ["k"], "config": {}}
+    assert tables.run_file_job(spark, job, f"{root}/none.csv", ingested_at="t")["rows"] == 0
+    assert not spark.catalog.tableExists(name)
+    done = tables.run_file_job(spark, job, f"{root}/many", ingested_at="t")
+    assert done["rows"] == 2 and done["deduped"] == 400 and done["created"]
+    assert sorted((r.k, r.v) for r in spark.table(name).collect()) == [("1", "last"), ("2", "")]
+    with pytest.raises(ValueError, match="format"):
+        tables.run_file_job(spark, {**job, "config": {"format": "xlsx"}}, root, ingested_at="t")
+
+
+def test_five_hundred_pages_without_an_end_are_an_error(spark):
+    pages = spark.range(1, 501).selectExpr("'c' AS call_id", "id AS page", "10L AS rows", "CAST(NULL AS STRING) AS total", "10 AS asked")
+    unended = pages.unionAll(pages.selectExpr("'d'", "page", "IF(page = 500, 9L, rows)", "total", "asked"))
+    got = {r.call_id: r.verdict for r in responses.page_completeness(unended, size="asked").collect()}
+    assert got == {"c": "too_many_pages", "d": "complete"}
+
+
+def test_error_envelopes_of_both_formats(spark):
+    bodies = ["<response><header><resultCode>7</resultCode><returnAuthMsg>no key</returnAuthMsg></header></response>",
+              '{"response":{"header":{"resultCode":7,"returnAuthMsg":"no key"}}}', "<response><header>", "", None, "plain",
+              "<response><header>7</header></response>", "<OpenAPI_ServiceResponse><cmmMsgHeader/></OpenAPI_ServiceResponse>"]
+    rows = spark.createDataFrame(list(enumerate(bodies)), "call_id int, body string")
+    got = [tuple(r)[2:] for r in responses.flag_error_bodies(rows).orderBy("call_id").collect()]
+    assert got[:2] == [(True, "7", "no key")] * 2 and got[2:] == [(False, None, None)] * 6
+
+
+def test_physical_columns_follow_documented_ones(spark):
+    node = ('{"name":"a","resource_type":"model","package_name":"p","columns":{"id":{"data_type":"int"},"n":{}}}')
+    nodes = spark.createDataFrame([("model.p.a", "nodes", node)], "uid string, section string, node string")
+    physical = spark.createDataFrame([("model.p.a", 0, "extra", "date"), ("model.p.a", 1, "n", "text"), ("model.q.z", 0, "x", "int")],
+                                     "uid string, pos int, name string, type string")
+    got = artifacts.read_manifest(nodes, "p", physical)["columns"].orderBy("pos").collect()
+    assert [(r.name, r.type, r.required) for r in got] == [("id", "INT", False), ("n", "TEXT", False), ("extra", "DATE", False)]
