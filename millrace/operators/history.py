@@ -277,12 +277,12 @@ def daily_trend(results: DataFrame, *, days: int, as_of: str | None, tz: str = "
 
 
 def test_stats(tests: DataFrame, *, days: int, as_of: str | None, limit: int = 200) -> DataFrame:
-    """Per test: outcomes, worst failure count, last run and last issue, pass rate."""
+    """Per test: what it looks at, outcomes, worst failure count, last run and last issue, pass rate."""
     seen = times.as_time("detected_at")
     issue = F.col("status").isin("fail", "error", "warn")
     grouped = since_days(tests, "detected_at", days, as_of).groupBy("test_unique_id", "test_name").agg(
-        F.max("model_unique_id").alias("model_unique_id"), F.max("table_name").alias("table_name"),
-        F.max("severity").alias("severity"), *_test_counts(),
+        *[F.max(c).alias(c) for c in ("model_unique_id", "table_name", "column_name", "test_type", "severity")],
+        *_test_counts(),
         F.max("failures").alias("max_failures"), F.max(seen).alias("last_run_at"),
         F.max(F.when(issue, seen)).alias("last_issue_at"),
     )

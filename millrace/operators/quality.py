@@ -34,7 +34,9 @@ def repeated_values(df: DataFrame, *cols: str) -> DataFrame:
 
 
 def accepted_values(df: DataFrame, col: str, values: Sequence[Any]) -> DataFrame:
-    return df.filter(F.col(col).isNotNull() & ~F.col(col).isin(list(values)))
+    """Rows whose value is not in the list; a null row passes, a null in the list allows nothing more."""
+    known = [v for v in values if v is not None]
+    return df.filter(F.col(col).isNotNull() & ~F.col(col).isin(known))
 
 
 def relationships(df: DataFrame, col: str, parent: DataFrame, parent_col: str) -> DataFrame:

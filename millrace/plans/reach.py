@@ -39,7 +39,7 @@ def closure(
     steps = edges.select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(frm)], *to)
     walked = [cut(start.select(*key).distinct().withColumn("hop", F.lit(0)), "reach")]
     frontier = walked[0]
-    for hop in count(1):  # ends when nothing new is found, at the latest with the last node
+    while True:  # ends when nothing new is found, at the latest with the last node
         if stop is not None:
             blocked = stop.select(*[F.col(c).alias(f"_s_{c}") for c in to])
             frontier = frontier.join(
@@ -52,12 +52,11 @@ def closure(
             .distinct()
         )
         known = reduce(DataFrame.unionAll, [w.select(*key) for w in walked])
-        fresh = cut(found.join(known, list(key), "left_anti").withColumn("hop", F.lit(hop)), "reach")
+        fresh = cut(found.join(known, list(key), "left_anti").withColumn("hop", F.lit(len(walked))), "reach")
         if fresh.isEmpty():
             return reduce(DataFrame.unionAll, walked)
         walked.append(fresh)
         frontier = fresh
-    raise AssertionError("unreachable")
 
 
 def longest_path(edges: DataFrame, nodes: DataFrame) -> DataFrame:

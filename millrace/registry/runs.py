@@ -190,6 +190,8 @@ _TESTS = """count(*) AS runs, count(*) FILTER (WHERE status = 'pass') AS passes,
     "test_stats",
     f"""WITH {T} SELECT *, {_pct('passes', 'runs')} AS pass_rate FROM (
         SELECT test_unique_id, test_name, max(model_unique_id) AS model_unique_id, max(table_name) AS table_name,
+               max('c' || CAST(event_id % 3 AS VARCHAR)) AS column_name,
+               max(CASE event_id % 2 WHEN 0 THEN 'dbt_test' ELSE 'anomaly_detection' END) AS test_type,
                max(severity) AS severity, {_TESTS}, max(failures) AS max_failures,
                CAST(max(CAST(detected_at AS TIMESTAMP)) AS VARCHAR) AS last_run_at,
                CAST(max(CAST(detected_at AS TIMESTAMP)) FILTER (WHERE status IN ('fail','error','warn')) AS VARCHAR) AS last_issue_at
@@ -197,7 +199,11 @@ _TESTS = """count(*) AS runs, count(*) FILTER (WHERE status = 'pass') AS passes,
         ORDER BY fails DESC, warns DESC, runs DESC, test_unique_id LIMIT 200)""",
 )
 def test_stats(spark: SparkSession, sf: str) -> DataFrame:
-    out = h.test_stats(facts.test_results(spark, sf), days=30, as_of=AS_OF)
+    results = facts.test_results(spark, sf).withColumns({
+        "column_name": F.concat(F.lit("c"), (F.col("event_id") % 3).cast("string")),
+        "test_type": F.when(F.col("event_id") % 2 == 0, "dbt_test").otherwise("anomaly_detection"),
+    })
+    out = h.test_stats(results, days=30, as_of=AS_OF)
     return _text(out, "last_run_at", "last_issue_at")
 
 

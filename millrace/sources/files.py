@@ -17,12 +17,13 @@ _FILE, _BLOCK, _ID = "_file", "_block", "_line"
 
 
 def read_csv_raw(
-    spark: SparkSession, path: str, *, delimiter: str = ",", multiline: bool = False, place: str | None = None
+    spark: SparkSession, path: str, *, delimiter: str = ",", multiline: bool = True, place: str | None = None
 ) -> DataFrame:
     """Header CSV, every column a string, header names stripped, nameless columns dropped.
 
     An empty cell is ``""``; Spark's reader cannot tell it from a cell a short row lacks, so that
-    becomes ``""`` too. ``multiline`` allows line breaks inside quotes but reads a file per task.
+    becomes ``""`` too. Line breaks inside quotes are part of a cell, so a file is read by one task; ``multiline=False``
+    splits large files over tasks and is right only where no cell holds a line break.
     ``place`` names a column to add that orders the rows as they stand in the files.
     """
     options = {"sep": delimiter, "escape": '"', "multiLine": multiline}

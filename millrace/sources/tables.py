@@ -168,7 +168,7 @@ def file_records(spark: SparkSession, path: str, config: Mapping[str, Any]) -> t
     """
     kind = config.get("format") or "csv"
     if kind == "csv":
-        rows = files.read_csv_raw(spark, path, delimiter=config.get("delimiter") or ",", multiline=bool(config.get("multiline")), place=_PLACE)
+        rows = files.read_csv_raw(spark, path, delimiter=config.get("delimiter") or ",", multiline=config.get("multiline", True), place=_PLACE)
     elif kind in ("json", "jsonl"):
         rows = files.read_jsonl_raw(spark, path, place=_PLACE)
     else:

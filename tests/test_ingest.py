@@ -456,3 +456,9 @@ def test_physical_columns_follow_documented_ones(spark):
                                      "uid string, pos int, name string, type string")
     got = artifacts.read_manifest(nodes, "p", physical)["columns"].orderBy("pos").collect()
     assert [(r.name, r.type, r.required) for r in got] == [("id", "INT", False), ("n", "TEXT", False), ("extra", "DATE", False)]
+
+
+def test_line_breaks_inside_quotes_stay_in_their_cell(spark):
+    path = fresh_path(spark, "csv")
+    spark.createDataFrame([("a,b",), ('1,"two',), ('lines"',), ("3,x",)], "value string").coalesce(1).write.text(path)
+    assert [tuple(r) for r in files.read_csv_raw(spark, path).collect()] == [("1", "two\nlines"), ("3", "x")]

@@ -156,6 +156,12 @@ def test_sql_audit(spark):
     assert [i for i in got if got[i].ok] == [i for i in got if i in (1, 4, 5)]
     assert got[2].statements == 2 and got[3].ddl == "create table" and got[5].ctes == 2 and got[6].selects == 0
     assert got[7].missing == ["zz"] and got[7].statements == 1
+    more = [(1, "Create OR replace View v as select 1"), (2, "update t set a = 1"), (3, "grant all on t to u; ;"), (4, "select '-- ' || 'a;b' -- x"),
+            (5, "select a from created"), (6, ""), (7, None), (8, "with a as (delete from t),b as (select 1) select 2")]
+    scan = {r.id: r for r in sqltexts.audit_sql(spark.createDataFrame(more, "id int, sql string"),
+                                                spark.createDataFrame([], "id string")).collect()}
+    assert [scan[i].ddl for i in range(1, 9)] == ["Create OR replace View", "update t set", "grant", None, None, None, None, "delete from"]
+    assert [scan[i].statements for i in range(1, 7)] == [1, 1, 1, 1, 1, 0] and scan[8].ctes == 2 and scan[8].selects == 2
     refs = sqltexts.extract_refs(spark.createDataFrame(rows, "id int, sql string"))
     assert sorted((r.id, r.kind, r.target) for r in refs.collect()) == [
         (1, "ref", "a"), (4, "ref", "a"), (7, "ref", "zz"), (7, "source", "s.t")]
@@ -177,6 +183,7 @@ def test_node_states(spark):
 def test_nulls_do_not_fail_value_checks(sales):
     assert quality.accepted_range(sales, "price", 6, 15).count() == 2
     assert quality.accepted_values(sales, "code", ["x", "y"]).count() == 1
+    assert quality.accepted_values(sales, "code", ["x", "y", None]).count() == 1
     assert quality.unique(sales, "code").count() == 2
     assert quality.relationships(sales, "code", sales.filter("code = 'x'"), "code").count() == 3
     assert quality.freshness(sales.withColumn("t", F.lit(None).cast("string")), "t", max_age_hours=1, as_of="2024-01-01").count() == 1
