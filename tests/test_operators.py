@@ -85,6 +85,7 @@ def test_limits_and_order(sales):
     assert [tuple(r) for r in out.collect()] == [("a", 30.0), ("b", 12.0)]
     assert an.analyze(sales, {"dimensions": ["n"], "limit": 3}).count() == 3
     assert an.metric_label("Price sum", "SUM") == "Price sum" and an.metric_label("Price", "MAX") == "Price max"
+    assert an.metric_label("Discount", "COUNT") == "Discount count" and an.metric_label("Users distinct count", "COUNT_DISTINCT") == "Users distinct count"
 
 
 def test_median_per_group(sales):
