@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.plans import reach
-from millrace.plans.durable import cut
+from millrace.plans.durable import cut, cut_by
 from millrace.plans.ordered import number_rows
 
 DONE = "_done"
@@ -71,11 +71,13 @@ def flow_nodes(
     blocked = None
     if stop is not None:
         blocked = stop.select(F.col("id").alias("dst")).distinct().join(wanted, "dst", "left_anti")
-    inside = edges.join(models.select(F.col("id").alias("src")), "src", "left_semi")
-    reached = reach.closure(_reverse(inside), known, stop=blocked).select(F.col("dst").alias("id"))
-    depth = reach.longest_path(edges, reached)
+    real = models.select(F.col("id").alias("dst"))
+    reached = cut(
+        reach.closure(_reverse(edges), known, stop=blocked, within=real).select(F.col("dst").alias("id")), "reached"
+    )
+    depth = cut(reach.longest_path(cut(inner_edges(edges, reached), "inner"), reached), "depth")
     kinds = models.select("id", "dbt_type")
-    nodes = depth.join(kinds, "id").withColumn("is_target", F.col("id").isin(list(targets)))
+    nodes = cut(depth.join(kinds, "id"), "nodes").withColumn("is_target", F.col("id").isin(list(targets)))
     if blocked is None:
         nodes = nodes.withColumn("read_only", F.lit(False))
     else:
@@ -85,7 +87,7 @@ def flow_nodes(
         ).drop("_b")
     runs = (F.col("dbt_type") == "model") | ((F.col("dbt_type") == "seed") & F.lit(include_seeds))
     nodes = nodes.withColumn("executable", runs & ~F.col("read_only"))
-    return exec_sequence(nodes)
+    return cut(exec_sequence(cut(nodes, "nodes")), "nodes")
 
 
 def exec_sequence(nodes: DataFrame) -> DataFrame:
@@ -103,10 +105,10 @@ def missing_targets(models: DataFrame, targets: Sequence[str]) -> DataFrame:
 def inner_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges with both ends among the nodes."""
     return (
-        edges.select("src", "dst").distinct()
+        edges.select("src", "dst")
         .join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
         .join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
-        .select("src", "dst")
+        .select("src", "dst").distinct()
     )
 
 
@@ -137,23 +139,24 @@ def ownership(models: DataFrame, edges: DataFrame, flows: DataFrame, flow_target
     later flow does, cannot change the minimum. Seeds are run only by flows that include them:
     the owner of a reading model (or a flow targeting it), or a flow that targets the seed itself.
     """
-    rank = F.struct(F.coalesce("created_at", F.lit(0.0)).cast("double").alias("at"), F.col("id").alias("flow"))
-    ranked = flows.select(F.col("id").alias("flow"), rank.alias("label"), "include_seeds")
+    at = F.coalesce("created_at", F.lit(0.0)).cast("double").alias("at")
+    ranked = flows.groupBy(at, F.col("id").alias("flow")).agg(
+        F.coalesce(F.bool_or("include_seeds"), F.lit(False)).alias("seeds")
+    ).select("flow", F.struct("at", "flow", "seeds").alias("label"))
+    # Walked upstream, in several rounds and once more for the seeds: one layout for all.
+    up = cut_by(_reverse(edges), ["src"], "up", distinct=True)
     kinds = models.select("id", "dbt_type")
     target_labels = flow_targets.join(ranked, "flow").join(kinds, "id")
     built = target_labels.filter("dbt_type = 'model'").select("id", "label")
-    spread = reach.spread(_reverse(edges), built)
+    spread = reach.spread(up, built)
     owned = spread.join(kinds.filter("dbt_type = 'model'"), "id", "left_semi").select("id", "label")
-    seeding = ranked.filter("include_seeds").select("label")
     # A flow walks past its own targets even where another flow owns them.
-    walked = owned.unionByName(built).distinct()
-    readers = edges.join(walked.select(F.col("id").alias("dst"), "label"), "dst").select(
-        F.col("src").alias("id"), "label"
-    )
-    direct = target_labels.filter("dbt_type = 'seed'").select("id", "label")
+    walked = owned.unionByName(built).filter("label.seeds").groupBy("id").agg(F.min("label").alias("label"))
+    readers = up.join(walked.select(F.col("id").alias("src"), "label"), "src").select(F.col("dst").alias("id"), "label")
+    direct = target_labels.filter("dbt_type = 'seed' AND label.seeds").select("id", "label")
     seeds = (
-        readers.unionAll(direct).join(kinds.filter("dbt_type = 'seed'"), "id", "left_semi")
-        .join(seeding, "label", "left_semi").groupBy("id").agg(F.min("label").alias("label"))
+        readers.unionAll(direct).groupBy("id").agg(F.min("label").alias("label"))
+        .join(kinds.filter("dbt_type = 'seed'"), "id", "left_semi")
     )
     return owned.unionByName(seeds).select("id", F.col("label.flow").alias("owner"))
 
@@ -228,23 +231,27 @@ def edge_check(models: DataFrame, edges: DataFrame, proposed: DataFrame) -> Data
     """Verdict per proposed edge, in this order: source input, duplicate, cycle, ok.
 
     ``dst`` lies upstream of ``src`` exactly when ``src`` lies downstream of ``dst``, so one walk
-    per distinct proposed target answers all of its proposals.
+    per distinct proposed target answers all of its proposals. Only targets of proposals that nothing else decides are
+    walked from.
     """
-    starts = proposed.select("dst", F.col("dst").alias("root")).distinct()
-    below = reach.closure(edges, starts, carry=["root"]).filter(F.col("dst") != F.col("root"))
-    back = below.select(F.col("root").alias("_root"), F.col("dst").alias("_down"))
     have = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).distinct()
     kinds = models.select(F.col("id").alias("_id"), (F.col("dbt_type") != "model").alias("_source"))
-    out = (
+    seen = (
         proposed.join(kinds, F.col("dst") == F.col("_id"))
         .join(have, (F.col("src") == F.col("_s")) & (F.col("dst") == F.col("_d")), "left")
-        .join(back, (F.col("dst") == F.col("_root")) & (F.col("src") == F.col("_down")), "left")
     )
-    return out.select(
+    seen = cut(seen.select(
         "src", "dst",
         F.when(F.col("_source"), "source_input").when(F.col("_s").isNotNull(), "duplicate")
-        .when(F.col("_down").isNotNull() | (F.col("src") == F.col("dst")), "cycle")
-        .otherwise("ok").alias("verdict"),
+        .when(F.col("src") == F.col("dst"), "cycle").alias("_verdict"),
+    ), "proposed")
+    starts = seen.filter("_verdict IS NULL").select("dst", F.col("dst").alias("root")).distinct()
+    below = reach.closure(edges, starts, carry=["root"]).filter(F.col("dst") != F.col("root"))
+    back = below.select(F.col("root").alias("_root"), F.col("dst").alias("_down"))
+    out = seen.join(back, (F.col("dst") == F.col("_root")) & (F.col("src") == F.col("_down")), "left")
+    return out.select(
+        "src", "dst",
+        F.coalesce("_verdict", F.when(F.col("_down").isNotNull(), "cycle").otherwise("ok")).alias("verdict"),
     )
 
 
@@ -260,7 +267,8 @@ def between_models(edges: DataFrame, first: str, second: str) -> DataFrame:
 
 def component(edges: DataFrame, model_id: str) -> DataFrame:
     """Models connected to one model, directions ignored, itself excluded."""
-    both = edges.select("src", "dst").unionAll(_reverse(edges).select("src", "dst"))
+    ends = F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+    both = cut_by(edges.select(ends.alias("e")).select("e.*"), ["src"], "both", distinct=True)
     found = reach.closure(both, _ids(edges, [model_id]))
     return found.filter(F.col("dst") != model_id).select(F.col("dst").alias("id"))
 
@@ -338,8 +346,7 @@ def staleness(edges: DataFrame, load_times: DataFrame) -> DataFrame:
     """Own load time against the newest load anywhere upstream; unknown times are never stale."""
     known = load_times.filter(F.col("loaded_at").isNotNull()).select("id", F.col("loaded_at").alias("label"))
     newest = reach.spread(edges, known, keep="max")
-    parents = edges.select("src", "dst").join(newest.select(F.col("id").alias("src"), "label"), "src")
-    above = parents.groupBy(F.col("dst").alias("_d")).agg(F.max("label").alias("upstream_load"))
+    above = newest.filter(F.col("came").isNotNull()).select(F.col("id").alias("_d"), F.col("came").alias("upstream_load"))
     return load_times.join(above, F.col("id") == F.col("_d"), "left").select(
         "id", "loaded_at", "upstream_load",
         F.coalesce(F.col("upstream_load") > F.col("loaded_at"), F.lit(False)).alias("stale"),
@@ -377,6 +384,6 @@ def drop_impact(
     )
 
 
-def stored(edges: DataFrame) -> DataFrame:
-    """Write a derived edge table once, before walks that read it every round."""
-    return cut(edges, "edges")
+def stored(edges: DataFrame, by: str | None = None) -> DataFrame:
+    """Write a derived edge table once, before walks that read it every round; ``by`` lays it out for walks from that end."""
+    return cut_by(edges, [by], "edges", distinct=True) if by else cut(edges, "edges")

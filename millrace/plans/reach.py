@@ -2,7 +2,9 @@
 
 Every round joins only the newest frontier to the edges and removes what is already known, so a
 cycle ends and a diamond is visited once. Rounds are bounded by the longest path, not by the node
-count; each is one write, and the number of driver steps does not depend on the data size.
+count; each is one write, and the number of driver steps does not depend on the data size. Edges laid out by the column
+that is walked from (``durable.cut_by``) stay where they are in all rounds; others are moved in each round whose frontier
+is too large to broadcast.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.plans.durable import cut
+from millrace.plans.durable import cut, cut_by
 
 
 def _same(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]) -> Column:
@@ -29,11 +31,13 @@ def closure(
     to: Sequence[str] = ("dst",),
     carry: Sequence[str] = (),
     stop: DataFrame | None = None,
+    within: DataFrame | None = None,
 ) -> DataFrame:
     """Nodes reachable from ``start`` (included, ``hop`` 0), walking ``frm`` → ``to``.
 
     ``start`` holds the node key columns named like ``to`` plus any ``carry`` columns, which keep
-    separate walks apart. Nodes listed in ``stop`` are reported but not expanded.
+    separate walks apart. Nodes listed in ``stop`` are reported but not expanded. With ``within`` only nodes listed there
+    are entered; the newly found nodes of a round are looked up in it, not the edges.
     """
     key = [*to, *carry]
     steps = edges.select(*[F.col(c).alias(f"_f{i}") for i, c in enumerate(frm)], *to)
@@ -53,6 +57,10 @@ def closure(
         )
         known = reduce(DataFrame.unionAll, [w.select(*key) for w in walked])
         fresh = cut(found.join(known, list(key), "left_anti").withColumn("hop", F.lit(len(walked))), "reach")
+        if within is not None:
+            entered = fresh.select(*to).distinct()
+            real = cut(within.select(*to).join(entered, list(to), "left_semi").distinct(), "reach")
+            fresh = cut(fresh.join(real, list(to), "left_semi").select(*key, "hop"), "reach")
         if fresh.isEmpty():
             return reduce(DataFrame.unionAll, walked)
         walked.append(fresh)
@@ -64,22 +72,19 @@ def longest_path(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Nodes are peeled: one leaves in the round after the last of its inputs left, which is its depth, so each node and
     edge is used once and only the frontier and the nodes with some inputs left are written. Nodes on a cycle, or fed
-    by one, never lose all their inputs and get depth 0.
+    by one, never lose all their inputs and get depth 0. What an edge brings to a node that is not listed is dropped with
+    the inputs, so edges are filtered by their start only.
     """
-    every = cut(nodes.select("id").distinct(), "nodes")
-    inner = cut(
-        edges.select("src", "dst").distinct()
-        .join(every.select(F.col("id").alias("src")), "src", "left_semi")
-        .join(every.select(F.col("id").alias("dst")), "dst", "left_semi"),
-        "inner",
-    )
-    inputs = cut(inner.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_need")), "inputs")
+    every = cut_by(nodes.select("id"), ["id"], "nodes", distinct=True)
+    steps = edges.select("src", "dst")
+    inner = steps.join(every.select(F.col("id").alias("src")), "src", "left_semi").distinct()
+    counted = inner.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_need"))
+    inputs = cut_by(counted.join(every, "id", "left_semi"), ["id"], "inputs")
     left = [cut(every.join(inputs, "id", "left_anti").withColumn("depth", F.lit(0)), "depth")]
     waiting = None
     for depth in count(1):
-        came = left[-1].join(inner, left[-1]["id"] == inner["src"]).groupBy(F.col("dst").alias("id")).agg(
-            F.count(F.lit(1)).alias("_got")
-        )
+        out = left[-1].join(steps, left[-1]["id"] == steps["src"]).select("src", "dst").distinct()
+        came = out.groupBy(F.col("dst").alias("id")).agg(F.count(F.lit(1)).alias("_got"))
         if waiting is not None:
             came = came.unionAll(waiting).groupBy("id").agg(F.sum("_got").alias("_got"))
         met = cut(came.join(inputs, "id"), "met")
@@ -95,16 +100,18 @@ def longest_path(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def spread(
     edges: DataFrame, labels: DataFrame, *, label: str = "label", keep: str = "min",
 ) -> DataFrame:
-    """Smallest (or largest) label that reaches each node along ``src`` → ``dst``.
+    """(id, label, came): the smallest (or largest) label that reaches each node along ``src`` → ``dst``.
 
     ``labels(id, label)`` seeds the walk. Labels are merged per node before they travel on, so the
-    cost follows the edges and never the number of (label, node) pairs.
+    cost follows the edges and never the number of (label, node) pairs. ``came`` is the best label that an edge brings,
+    the node's own seed left aside; null where none does.
     """
     fold, pick = (F.min, F.least) if keep == "min" else (F.max, F.greatest)
     better = (lambda new, old: new < old) if keep == "min" else (lambda new, old: new > old)
     steps = edges.select("src", "dst")
-    best = cut(labels.groupBy("id").agg(fold(label).alias(label)), "label")
-    frontier = best
+    seeded = labels.groupBy("id").agg(fold(label).alias(label))
+    best = cut(seeded.withColumn("came", F.lit(None).cast(seeded.schema[label].dataType)), "label")
+    frontier = best.select("id", label)
     while True:
         pushed = (
             frontier.join(steps, frontier["id"] == steps["src"])
@@ -115,12 +122,13 @@ def spread(
             best.join(pushed, "id", "full").select(
                 "id",
                 pick(label, "_new").alias(label),
+                pick("came", "_new").alias("came"),
                 F.coalesce(better(F.col("_new"), F.col(label)), F.col(label).isNull()).alias("_better"),
             ),
             "label",
         )
         frontier = merged.filter("_better").select("id", label)
-        best = merged.select("id", label)
+        best = merged.select("id", label, "came")
         if frontier.isEmpty():
             return best
 

@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the cores before work that is heavy per row: a table of one row group is else read by one task."""
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n)
+
+
 # ---------------------------------------------------------------- run history (from events)
 
 RUN_RESULTS_SQL = """
@@ -279,13 +286,12 @@ def _key(prefix: str, col: str) -> Column:
     return F.concat(F.lit(prefix), F.col(col).cast("string"))
 
 
-def edges(spark: SparkSession, sf: str) -> DataFrame:
-    from millrace.operators.lineage import stored
-
+def edge_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The edges as a plan, for what writes them itself. Keys are made unique before they become texts."""
     li = table(spark, sf, "lineitem")
     parts = [
-        li.select(_key("s", "l_suppkey").alias("src"), _key("p", "l_partkey").alias("dst")).distinct(),
-        li.select(_key("p", "l_partkey").alias("src"), _key("o", "l_orderkey").alias("dst")).distinct(),
+        li.select(a, b).distinct().select(_key(x, a).alias("src"), _key(y, b).alias("dst"))
+        for x, a, y, b in (("s", "l_suppkey", "p", "l_partkey"), ("p", "l_partkey", "o", "l_orderkey"))
     ]
     for name, a, x, b, y in (
         ("orders", "o", "o_orderkey", "c", "o_custkey"),
@@ -296,7 +302,13 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
-    return stored(out)
+    return out
+
+
+def edges(spark: SparkSession, sf: str, by: str | None = None) -> DataFrame:
+    from millrace.operators.lineage import stored
+
+    return stored(edge_rows(spark, sf), by)
 
 
 def models(spark: SparkSession, sf: str) -> DataFrame:

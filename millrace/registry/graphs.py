@@ -79,7 +79,7 @@ def missing(spark: SparkSession, sf: str) -> DataFrame:
 def depth(spark: SparkSession, sf: str) -> DataFrame:
     from millrace.plans.reach import longest_path
 
-    return longest_path(facts.edges(spark, sf), facts.models(spark, sf))
+    return longest_path(facts.edges(spark, sf, by="src"), facts.models(spark, sf))
 
 
 @book.entry(
@@ -142,9 +142,9 @@ _OWNER_SQL = _OWNER_SQL.replace("(f.created_at, f.id) AS label", "{'at': f.creat
     "l.label[2]", "l.label.flow").replace("label[2]", "label.flow")
 
 
-def _owner(spark: SparkSession, sf: str) -> DataFrame:
+def _owner(spark: SparkSession, sf: str, edges: DataFrame | None = None) -> DataFrame:
     return ln.ownership(
-        facts.models(spark, sf), facts.edges(spark, sf), facts.flows(spark, sf), facts.flow_targets(spark, sf)
+        facts.models(spark, sf), edges or facts.edge_rows(spark, sf), facts.flows(spark, sf), facts.flow_targets(spark, sf)
     )
 
 
@@ -167,7 +167,8 @@ def conflicts(spark: SparkSession, sf: str) -> DataFrame:
         SELECT o.owner, count(*) AS inputs FROM flow f JOIN owner o ON o.id = f.id WHERE f.read_only GROUP BY 1""",
 )
 def suggestions(spark: SparkSession, sf: str) -> DataFrame:
-    return ln.suggested_upstreams(_owner(spark, sf), _flow(spark, sf)[0])
+    nodes, edges = _flow(spark, sf)
+    return ln.suggested_upstreams(_owner(spark, sf, edges), nodes)
 
 
 @book.entry(
@@ -278,7 +279,7 @@ def edge_check(spark: SparkSession, sf: str) -> DataFrame:
         .when(k % 5 == 2, F.concat(F.lit("s"), (k % 10).cast("string"))).when(k % 5 == 3, o)
         .otherwise(F.concat(F.lit("o"), (k - 1).cast("string"))).alias("dst"),
     )
-    return ln.edge_check(facts.models(spark, sf), facts.edges(spark, sf), proposed)
+    return ln.edge_check(facts.models(spark, sf), facts.edges(spark, sf, by="src"), proposed)
 
 
 @book.entry(
@@ -297,7 +298,7 @@ def between(spark: SparkSession, sf: str) -> DataFrame:
         SELECT id FROM comp WHERE id <> 'r2'""",
 )
 def component(spark: SparkSession, sf: str) -> DataFrame:
-    return ln.component(facts.edges(spark, sf), "r2")
+    return ln.component(facts.edge_rows(spark, sf), "r2")
 
 
 CE = facts.COLUMN_EDGES_SQL
@@ -396,7 +397,7 @@ def seed_marts(spark: SparkSession, sf: str) -> DataFrame:
                coalesce(a.t > l.loaded_at, false) AS stale FROM load_times l LEFT JOIN above a USING (id)""",
 )
 def staleness(spark: SparkSession, sf: str) -> DataFrame:
-    out = ln.staleness(facts.edges(spark, sf), facts.load_times(spark, sf))
+    out = ln.staleness(facts.edges(spark, sf, by="src"), facts.load_times(spark, sf))
     return out.withColumn("loaded_at", F.col("loaded_at").cast("string")).withColumn(
         "upstream_load", F.col("upstream_load").cast("string")
     )

@@ -500,3 +500,24 @@ def test_daily_window_cuts_at_local_midnight(spark):
     df = spark.createDataFrame([("2024-01-01 14:59:59",), ("2024-01-01 15:00:00",)], "t string").select(F.col("t").cast("timestamp").alias("t"))
     out = loads.daily_tumbling(df, "t", tz="Asia/Seoul").collect()
     assert sorted((r.date, r.n) for r in out) == [("2024-01-01", 1), ("2024-01-02", 1)]
+
+
+def test_only_undecided_proposals_are_walked(spark, monkeypatch):
+    models = spark.createDataFrame([("s", "source"), *[(k, "model") for k in "abc"]], "id string, dbt_type string")
+    edges = spark.createDataFrame([("s", "a"), ("a", "b"), ("b", "c")], "src string, dst string")
+    proposed = spark.createDataFrame(
+        [("c", "a"), ("a", "b"), ("b", "s"), ("b", "b"), ("a", "c"), (None, "c")], "src string, dst string"
+    )
+    walked, closure = [], lineage.reach.closure
+
+    def seen(steps, start, **kw):
+        walked.extend(r.root for r in start.collect())
+        return closure(steps, start, **kw)
+
+    monkeypatch.setattr(lineage.reach, "closure", seen)
+    got = {(r.src, r.dst): r.verdict for r in lineage.edge_check(models, edges, proposed).collect()}
+    assert got == {
+        ("c", "a"): "cycle", ("a", "b"): "duplicate", ("b", "s"): "source_input", ("b", "b"): "cycle",
+        ("a", "c"): "ok", (None, "c"): "ok",
+    }
+    assert sorted(walked) == ["a", "c"]

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.plans import ordered, percentiles, reach
+from millrace.plans import durable, ordered, percentiles, reach
 from millrace.plans.percentiles import Quantile
 
 
@@ -190,3 +190,40 @@ def test_cycles_name_their_members_whatever_hangs_on_them(spark):
     want = {k: min(m) for k in after if (m := members(k))}
     assert {r.id: r.cycle for r in reach.on_cycles(pointers).collect()} == want
     assert reach.on_cycles(pointers.filter("id like 't%'")).count() == 0
+
+
+def _exchanges_over(df, column):
+    """Shuffles in the plan that move rows by a column of the given name."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange hashpartitioning(" + column in line]
+
+
+def test_laid_out_edges_are_joined_where_they_are(spark):
+    edges = _graph(spark, [("a", "b"), ("a", "b"), ("b", "c"), ("a", "c")])
+    laid = durable.cut_by(edges, ["src"], distinct=True)
+    frontier = spark.createDataFrame([("a",)], "id string").hint("merge")
+    assert sorted(laid.collect()) == [("a", "b"), ("a", "c"), ("b", "c")]
+    assert _exchanges_over(frontier.join(edges, F.col("id") == F.col("src")), "src")
+    met = frontier.join(laid, F.col("id") == F.col("src"))
+    assert not _exchanges_over(met, "src") and met.count() == 2
+
+
+def test_closure_enters_listed_nodes_only_and_leaves_the_edges_alone(spark):
+    edges = _graph(spark, [("a", "b"), ("b", "c"), ("a", "x"), ("x", "y")])
+    start, listed = spark.createDataFrame([("a",)], "dst string"), spark.createDataFrame([("b",), ("b",), ("c",), ("y",)], "dst string")
+    got = sorted((r.dst, r.hop) for r in reach.closure(edges, start, within=listed).collect())
+    assert got == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_spread_tells_what_edges_bring(spark):
+    edges = _graph(spark, [("a", "b"), ("b", "c"), ("d", "d")])
+    labels = spark.createDataFrame([("a", 5), ("b", 9), ("d", 1)], "id string, label int")
+    got = {r.id: (r.label, r.came) for r in reach.spread(edges, labels, keep="max").collect()}
+    assert got == {"a": (5, None), "b": (9, 5), "c": (9, 9), "d": (1, 1)}
+
+
+def test_longest_path_drops_edges_that_leave_or_repeat(spark):
+    edges = _graph(spark, [("a", "b"), ("a", "b"), ("a", "out"), ("out", "c"), ("b", "c")])
+    nodes = spark.createDataFrame([("a",), ("b",), ("b",), ("c",)], "id string")
+    for given in (edges, durable.cut_by(edges, ["src"])):
+        assert sorted((r.id, r.depth) for r in reach.longest_path(given, nodes).collect()) == [("a", 0), ("b", 1), ("c", 2)]
