@@ -12,7 +12,7 @@ from millrace.functions import times
 from millrace.operators import ingest as ing
 from millrace.plans.durable import fresh_path
 from millrace.registry.book import book
-from millrace.registry.facts import table
+from millrace.registry.facts import dealt, table
 from millrace.sources import artifacts, files, listing, responses, tables
 
 TODAY = "2024-01-31"
@@ -68,7 +68,7 @@ def _jobs(spark: SparkSession, sf: str) -> DataFrame:
         k % 5 > 0, F.date_add(F.lit("2023-09-01").cast("date"), n * 6).cast("string")
     )
     fmt = F.when(n % 4 == 0, "YYYYMM").when(n % 4 == 1, "YYYYMMDD").when(n % 4 == 2, "YYYY-MM").otherwise("YYYY-MM-DD")
-    return table(spark, sf, "customer").select(
+    return dealt(table(spark, sf, "customer").select("c_custkey", "c_nationkey")).select(
         F.concat(F.lit("j"), k.cast("string")).alias("id"),
         F.when(k % 4 == 0, "full").otherwise("incremental").alias("mode"),
         F.when(n % 2 == 0, "month").otherwise("day").alias("unit"),
@@ -530,7 +530,8 @@ def _xml(spark: SparkSession, sf: str) -> DataFrame:
         .when(k % 4 == 1, wrap(F.concat(F.lit("<items>"), one, F.lit("</items>"))))
         .when(k % 4 == 2, wrap(F.lit("<items/>"))).otherwise(wrap(F.lit("<other>1</other>")))
     )
-    return table(spark, sf, "customer").select(k.alias("call_id"), body.alias("body"))
+    rows = dealt(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"))
+    return rows.select(k.alias("call_id"), body.alias("body"))
 
 
 @book.entry(
@@ -824,7 +825,9 @@ def run_artifacts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _manifest_entries(spark: SparkSession, sf: str) -> DataFrame:
     """Manifest entries made from customers (models), suppliers (sources) and orders (tests)."""
-    s, c, o = (table(spark, sf, n) for n in ("supplier", "customer", "orders"))
+    s = table(spark, sf, "supplier")
+    c = dealt(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"))
+    o = dealt(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
     text = lambda col: F.col(col).cast("string")
     dep = lambda v: F.struct(F.array(v).alias("nodes")).alias("depends_on")
     sources = s.select(

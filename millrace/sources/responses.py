@@ -87,21 +87,24 @@ def records_from_json(responses: DataFrame, record_path: str, *, strict: bool =
 
 
 def xml_outcomes(responses: DataFrame, record_path: str) -> DataFrame:
-    """The same outcomes for XML bodies; the root tag is the first part of the path."""
+    """The same outcomes for XML bodies; the root tag is the first part of the path.
+
+    One expression asks all questions of a body, so it is parsed once: it gives a 0 or 1 for each, and the first 1
+    decides.
+    """
     parts = _parts(record_path)
-    state = F.when(~F.ltrim("body").startswith("<"), "not_xml")
+    asked = []
     for i in range(1, len(parts)):
         here = "/" + "/".join(parts[:i])
-        state = state.when(~F.xpath_boolean("body", F.lit(here)), "path_error").when(
-            F.xpath_boolean("body", F.lit(f"not({here}/*) and normalize-space({here})=''")), "empty"
-        )
+        asked += [(f"not({here})", "path_error"), (f"not({here}/*) and normalize-space({here})=''", "empty")]
     full = "/" + "/".join(parts)
-    state = (
-        state.when(~F.xpath_boolean("body", F.lit(full)), "path_error")
-        .when(F.xpath_boolean("body", F.lit(f"{full}/*")), "records")
-        .when(F.xpath_boolean("body", F.lit(f"normalize-space({full})=''")), "empty")
-        .otherwise("not_records")
-    )
+    asked += [
+        (f"not({full})", "path_error"), (f"boolean({full}/*)", "records"),
+        (f"normalize-space({full})=''", "empty"), ("true()", "not_records"),
+    ]
+    answers = F.xpath_string("body", F.lit(f"concat({', '.join(f'number({q})' for q, _ in asked)}, '')"))
+    outcome = F.get(F.array(*[F.lit(o) for _, o in asked]), F.instr(answers, "1") - 1)
+    state = F.when(~F.ltrim("body").startswith("<"), "not_xml").otherwise(F.coalesce(outcome, F.lit("not_records")))
     return responses.withColumn("outcome", state)
 
 

@@ -462,3 +462,45 @@ def test_line_breaks_inside_quotes_stay_in_their_cell(spark):
     path = fresh_path(spark, "csv")
     spark.createDataFrame([("a,b",), ('1,"two',), ('lines"',), ("3,x",)], "value string").coalesce(1).write.text(path)
     assert [tuple(r) for r in files.read_csv_raw(spark, path).collect()] == [("1", "two\nlines"), ("3", "x")]
+
+
+def test_xml_bodies_are_parsed_once(spark):
+    bodies = spark.createDataFrame(
+        [(1, "<r><b><i><k>1</k></i></b></r>"), (2, "<r><b/></r>"), (3, "<r><o>1</o></r>"), (4, "{}"), (5, None),
+         (6, "<r><b><i>x</i></b></r>"), (7, "<r><b><i/></b></r>"), (8, ""), (9, "<other/>")],
+        "call_id int, body string",
+    )
+    out = responses.xml_outcomes(bodies, "r.b.i")
+    assert {r.call_id: r.outcome for r in out.collect()} == {
+        1: "records", 2: "empty", 3: "path_error", 4: "not_xml", 5: "not_records", 6: "not_records", 7: "empty",
+        8: "not_xml", 9: "path_error",
+    }
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("XPath") == 1
+    records = responses.records_from_xml(bodies, "r.b.i", strict=False)
+    assert records._jdf.queryExecution().optimizedPlan().toString().count("XPath") == 1
+    assert [(r.call_id, r.record["k"]) for r in records.collect()] == [(1, "1")]
+
+
+def test_manifest_entries_are_parsed_once(spark):
+    nodes = spark.createDataFrame(
+        [("model.p.m", "nodes", '{"name": "m", "resource_type": "model", "package_name": "p", "columns": {"id": {}}}'),
+         ("test.p.t", "nodes", '{"name": "t", "resource_type": "test", "package_name": "p", "column_name": "id", '
+          '"attached_node": "model.p.m", "test_metadata": {"name": "not_null"}}')],
+        "uid string, section string, node string",
+    )
+    parts = artifacts.read_manifest(nodes, "p")
+    assert [tuple(r) for r in parts["columns"].select("model_id", "name", "required").collect()] == [("m", "id", True)]
+    assert all("from_json" not in d._jdf.queryExecution().optimizedPlan().toString() for d in parts.values())
+
+
+def test_rows_of_one_row_group_are_dealt_over_the_cores(spark, tmp_path):
+    from millrace.registry import facts, landing
+
+    customer = spark.range(1000).select(
+        F.col("id").alias("c_custkey"), (F.col("id") % 25).cast("int").alias("c_nationkey"), F.lit("X").alias("c_mktsegment")
+    )
+    customer.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert facts.table(spark, str(tmp_path), "customer").rdd.getNumPartitions() == 1
+    for rows in (landing._jobs(spark, str(tmp_path)), landing._xml(spark, str(tmp_path))):
+        spread = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert len(spread) >= 8 and max(spread) < 100 and sum(spread) == 1000
