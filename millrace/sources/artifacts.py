@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans.durable import cut
+
 _RESULTS = (
     "results array<struct<unique_id:string,status:string,execution_time:double,message:string,"
     "adapter_response:struct<rows_affected:bigint>,failures:bigint>>"
@@ -89,9 +91,11 @@ def read_manifest(nodes: DataFrame, package: str, physical: DataFrame | None = N
     A generic test hangs on its attached node, a singular one on everything it depends on; disabled
     tests stay, marked. A column is required when an enabled, error-level not_null hangs on it.
     ``physical(uid, pos, name, type)`` are the columns the warehouse has: they fill in missing types, and those nobody
-    documented follow the documented ones.
+    documented follow the documented ones. The entries are parsed once and written, since every part reads them several
+    times.
     """
-    n = nodes.withColumn("n", F.from_json("node", _NODE)).filter(F.col("n.package_name") == package)
+    parsed = nodes.select("uid", "section", F.from_json("node", _NODE).alias("n"))
+    n = cut(parsed.filter(F.col("n.package_name") == package), "manifest")
     rtype = F.when(F.col("section") == "sources", "source").otherwise(F.col("n.resource_type"))
     alias = F.coalesce("n.alias", "n.name")
     wanted = ((F.col("section") == "nodes") & rtype.isin("model", "seed")) | (F.col("section") == "sources")
