@@ -18,6 +18,7 @@ of fewer than five words have no shingle and are never copies; rows with an equa
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -107,14 +108,28 @@ def features(docs: DataFrame, rows_per_band: int) -> DataFrame:
                     values[:, band] = mix(values[:, band] * np.uint64(0x9E3779B97F4A7C15) + sk[:, k] + np.uint64(band + 1))
                 who = pa.array(text[full])
                 part = b.slice(i, j - i)
-                ends = pa.array((np.arange(len(full) + 1) * count).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(who), part.column(1).take(who), pa.array(place[full].astype(np.int32)),
-                     S.int64(one[full]), S.int64(two[full]), pa.ListArray.from_arrays(ends, S.int64(values.ravel()))],
-                    ["doc_id", "row", "line", "one", "two", "bands"],
+                     S.int64(one[full]), S.int64(two[full]), *(S.int64(values[:, k]) for k in range(count))],
+                    ["doc_id", "row", "line", "one", "two", *names],
                 )
 
-    return docs.mapInArrow(tidy(run), "doc_id long, row long, line int, one long, two long, bands array<long>")
+    names = _bands(rows_per_band)
+    schema = ["doc_id long", "row long", "line int", "one long", "two long", *(f"{name} long" for name in names)]
+    return docs.mapInArrow(tidy(run), ", ".join(schema))
+
+
+def _bands(rows_per_band: int) -> list[str]:
+    return [f"band{k}" for k in range(SKETCH // rows_per_band)]
+
+
+def _met(feats: DataFrame, band: str) -> DataFrame:
+    """Written table (a, b): classes with the same value in a band, each next to the smallest that has it."""
+    banded = feats.select("one", F.col(band).alias("band"))
+    ends = banded.groupBy("band").agg(F.min("one").alias("low"), F.max("one").alias("high"))
+    shared = cut(ends.filter("low <> high").select("band", "low"), "shared")
+    met = banded.join(up_to_bound(shared, BROADCAST_ROWS), "band").filter(F.col("one") != F.col("low"))
+    return cut(met.select(F.col("low").alias("a"), F.col("one").alias("b")).distinct(), "met")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -147,16 +162,14 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def near_copies(docs: DataFrame, *, least: float = S.SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Written table (doc_id, row, line, keeper): copies by their place, and the document that keeps their like."""
-    feats = cut(features(docs, bands(least, recall)), "paragraphs")
+    wide = bands(least, recall)
+    feats = cut(features(docs, wide), "paragraphs")
     place = F.struct("doc_id", "row", "line")
     classes = cut(
         feats.groupBy("one", "two").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")), "classes"
     )
-    banded = feats.select("one", F.explode("bands").alias("band"))
-    ends = banded.groupBy("band").agg(F.min("one").alias("low"), F.max("one").alias("high"))
-    shared = cut(ends.filter("low <> high").select("band", "low"), "shared")
-    met = banded.join(up_to_bound(shared, BROADCAST_ROWS), "band").filter(F.col("one") != F.col("low"))
-    links = met.select(F.col("low").alias("a"), F.col("one").alias("b"))
+    # Band after band, so that the disk holds the rows of one band's shuffle at a time.
+    links = reduce(DataFrame.unionAll, [_met(feats, band) for band in _bands(wide)])
     groups = components(links)
     wanted = groups.join(classes, groups["id"] == classes["one"]).select(
         "one", "root", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")

@@ -351,3 +351,17 @@ def test_training_takes_long_texts_where_short_ones_are_too_few(spark, monkeypat
     assert not toxicity.train(docs, marks.filter("toxic = 0")).trained
     monkeypatch.setattr(languages, "TRAIN_BYTES", 50)
     assert languages.train(docs).languages == ["en"]
+
+
+def test_paragraph_bands_are_shuffled_one_at_a_time(spark, rows, monkeypatch):
+    written, plain = [], paragraphs.cut
+
+    def watched(df, label="cut"):
+        written.append((label, df._jdf.queryExecution().toString()))
+        return plain(df, label)
+
+    monkeypatch.setattr(paragraphs, "cut", watched)
+    assert paragraphs.remove_near_copies(table(spark, rows)).count() == len(rows)
+    count = paragraphs.SKETCH // paragraphs.bands(0.8, paragraphs.RECALL)
+    assert [label for label, _ in written].count("shared") == count > 1
+    assert not any("Generate explode" in text for label, text in written if label == "shared")
