@@ -9,12 +9,13 @@ Spark's committer): one row per block with ``shard`` (its place in ascending doc
 the shard), ``n_ids``, ``doc_ids`` and ``lengths`` (the documents and their id counts, in order), ``control`` and
 ``data``. ``<path>/ranks`` has (rank, token_id), at most one row per entry of the tokenizer's vocabulary.
 
-Text between blanks is encoded once per worker and remembered (a bounded cache): a blank after a visible
-character always starts a new pre-token of this byte-level tokenizer, so encoding the parts apart and joining
+Units of text are encoded once per worker and remembered (a bounded cache): a blank after a visible
+character always starts a new pre-token of this byte-level tokenizer, so encoding the units apart and joining
 them gives the ids of the whole text. ``tests/llm`` holds that against whole-text encoding.
 
-On the way to the files a document is one binary cell of the same coding: first by token id, as the ranks are not
-known before all texts are encoded, then by rank, so that the shuffle into doc_id order moves about 1.5 bytes an id.
+On the way to the files a document is one binary cell: first its token ids, 2 or 4 bytes each, as the ranks are not
+known before all texts are encoded, then its ranks in the coding above, so that the shuffle into doc_id order moves
+about 1.5 bytes an id.
 
 Defined cases: null text counts as empty (only the end id); a text that holds an added token of the tokenizer (such as
 ``<|endoftext|>``) is encoded in one call, which gives that token's id; a null doc_id sorts first; rows with equal
@@ -27,11 +28,12 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,16 +43,28 @@ from millrace.plans.durable import fresh_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHE_PARTS = 160_000
-_PART = re.compile(r" *[^ ]+(?:(?<=\s) +[^ ]+)*(?:(?<=\s) +$)?| +").findall
-_MEETING = re.compile(r"\s | $").search  # a blank after white space, or at the end
-_LATIN = r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]*)"
-_PLAIN = re.compile(rf"{_LATIN}(?:\n{_LATIN})?").fullmatch
+CACHE_UNITS = 600_000
+ENCODE_BYTES = 1 << 22
 
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary"
 
 #: For every control byte, the byte lengths of its four ranks.
-_LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4)) & 3).astype(np.int64) + 1
+_LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4)) & 3).astype(np.uint8) + np.uint8(1)
+
+
+def _low_bytes(ranks: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The ``size`` + 1 low bytes of each rank, end to end."""
+    width = 2 if size.max(initial=0) < 2 else 4
+    held = ranks.astype(f"<u{width}").view(np.uint8)
+    return held[(np.arange(width, dtype=np.uint8) <= size[:, None]).ravel()]
+
+
+def _from_low_bytes(data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ranks whose low bytes, ``lengths`` of each, lie end to end."""
+    width = 2 if lengths.max(initial=1) < 3 else 4
+    out = np.zeros(len(lengths) * width, np.uint8)
+    out[(np.arange(width, dtype=np.uint8) < lengths[:, None]).ravel()] = data
+    return out.view(f"<u{width}").astype("<u4")
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -61,16 +75,13 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     padded[: len(ranks)] = size
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    used = np.arange(4)[None, :] <= size[:, None]
-    return control.astype(np.uint8).tobytes(), ranks.view(np.uint8).reshape(-1, 4)[used].tobytes()
+    return control.astype(np.uint8).tobytes(), _low_bytes(ranks, size).tobytes()
 
 
 def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     """The ranks of a block; the inverse of ``pack``."""
     lengths = _LENGTHS[np.frombuffer(control, np.uint8)].ravel()[:count]
-    out = np.zeros((count, 4), np.uint8)
-    out[np.arange(4)[None, :] < lengths[:, None]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").ravel()
+    return _from_low_bytes(np.frombuffer(data, np.uint8), lengths)
 
 
 def pack_each(ranks: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -83,8 +94,7 @@ def pack_each(ranks: np.ndarray, offsets: np.ndarray) -> pa.Array:
     padded[np.arange(len(ranks)) + np.repeat(4 * quads[:-1] - offsets[:-1], counts)] = size
     padded = padded.reshape(-1, 4)
     control = padded[:, 0] | padded[:, 1] << 2 | padded[:, 2] << 4 | padded[:, 3] << 6
-    used = np.arange(4)[None, :] <= size[:, None]
-    data = ranks.view(np.uint8).reshape(-1, 4)[used]
+    data = _low_bytes(ranks, size)
     ends = np.r_[0, np.cumsum(size + np.int64(1))][offsets]  # of the data bytes of each document
     cells = np.zeros(len(control) + len(data), np.uint8)
     cells[np.arange(len(control)) + np.repeat(ends[:-1], np.diff(quads))] = control
@@ -100,95 +110,163 @@ def unpack_each(cells: np.ndarray, edges: np.ndarray, counts: np.ndarray) -> np.
     where = np.arange(int(quads.sum())) + np.repeat(edges[:-1] - np.r_[0, np.cumsum(quads)[:-1]], quads)
     real = np.ones(len(cells), bool)
     real[where] = False
-    lengths = _LENGTHS[cells[where]].astype(np.uint8).ravel()
+    lengths = _LENGTHS[cells[where]].ravel()
     inside = np.ones(len(lengths), bool)
     last = 4 * np.cumsum(quads)
     for k in range(1, 4):  # up to three places of a document's last control byte stand for no rank
         inside[(last - k)[(4 * quads - counts) >= k]] = False
     lengths = lengths[inside]
-    out = np.zeros((len(lengths), 4), np.uint8)
-    out[np.arange(4)[None, :] < lengths[:, None]] = cells[real]
-    return out.view("<u4").ravel()
+    return _from_low_bytes(cells[real], lengths)
 
 
 class Encoder:
-    """Whole texts to ids through the tokenizer, remembering the parts it has met.
-
-    A part is what stands between two blanks. Latin words with an optional tail of ASCII punctuation, one or
-    two with a single line break between them, have the same pre-tokens whatever surrounds them, so a new one
-    goes straight to the tokenizer's model; any other new part goes through the whole tokenizer. A text where a
-    blank touches other white space is cut by ``_PART``.
+    """Whole texts to ids through the tokenizer, remembering the units it has met.
 
-    Two generations of at most ``cache`` parts (and those of one text) are remembered: when the younger is full
-    it becomes the older, so parts in steady use stay known while rare ones are forgotten.
+    Texts are cut into units end to end (``units``); a unit is one pre-token, or a stretch between places where any
+    byte-level text may be cut. Distinct units of all the texts at hand are looked up at once among at most ``cache``
+    remembered ones; a new pre-token goes straight to the tokenizer's model, any other new unit through the whole
+    tokenizer. When too many are known, the half met most often stays.
     """
 
-    def __init__(self, path: str, cache: int = CACHE_PARTS) -> None:
+    def __init__(self, path: str, cache: int = CACHE_UNITS) -> None:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda _: None
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.shown = str.maketrans({chr(i): spell(chr(i))[0][0] for i in range(0x250)})
+        self.blank, self.line = spell(" ")[0][0], spell("\n")[0][0]
         self.limit = cache
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
-        self.blank, self.line = spell(" ")[0][0], self._model(spell("\n")[0][0])
-        self.shown = {i: spell(chr(i))[0][0] for i in range(0xC0, 0x250)}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _model(self, shown: str) -> bytes:
-        """Ids of a pre-token in the tokenizer's spelling."""
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-
-    def _spelled(self, word: str) -> str:
-        return word if word.isascii() else word.translate(self.shown)
-
-    def _bare(self, pre_token: str) -> bytes:
-        """Ids of a word or of punctuation without a blank in front."""
-        code = self.bare.get(pre_token)
-        if code is None:
-            if len(self.bare) >= self.limit // 4:
-                self.bare.clear()
-            code = self.bare[pre_token] = self._model(self._spelled(pre_token))
-        return code
-
-    def _part(self, part: str) -> bytes:
-        """Ids of a blank followed by ``part``, new or of the older generation."""
-        code = self.known.get(part) or self.older.get(part)
-        if code is None:
-            plain = _PLAIN(part)
-            if plain is None:
-                code = self._whole(" " + part)
-            else:
-                word, tail, below, end = plain.groups()
-                if not tail and not below:
-                    code = self._model(self.blank + self._spelled(word))
-                else:
-                    code = self._part(word)
-                    if tail:
-                        code += self._bare(tail)
-                    if below:
-                        code += self.line + self._bare(below) + (self._bare(end) if end else b"")
-        self.known[part] = code
-        return code
+        self.known = pa.array([], pa.binary())
+        self.ids, self.begin, self.count, self.met = np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _new(self, units: pa.Array, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the units end to end, and how many each has."""
+        tokenize, texts = self.tokenizer.model.tokenize, units.cast(pa.string())
+        spelled = pc.replace_substring(pc.replace_substring(texts, " ", self.blank), "\n", self.line).to_pylist()
+        for k in np.flatnonzero(plain & ~pc.string_is_ascii(texts).to_numpy(zero_copy_only=False)).tolist():
+            spelled[k] = texts[k].as_py().translate(self.shown)
+        odd = np.flatnonzero(~plain).tolist()
+        whole = self.tokenizer.encode_batch(texts.take(pa.array(odd, pa.int64())).to_pylist(), add_special_tokens=False)
+        rest, ids, count = iter(whole), array("I"), array("q")
+        for unit, simple in zip(spelled, plain.tolist()):
+            found = [t.id for t in tokenize(unit)] if simple else next(rest).ids
+            ids.extend(found)
+            count.append(len(found))
+        return np.array(ids, "<u4"), np.array(count, np.int64)
+
+    def _learn(self, units: pa.Array, plain: np.ndarray) -> None:
+        """Remember new units."""
+        ids, count = self._new(units, plain)
+        self.begin = np.r_[self.begin, len(self.ids) + np.cumsum(count) - count]
+        self.count, self.met = np.r_[self.count, count], np.r_[self.met, np.zeros(len(count), np.int64)]
+        self.ids, self.known = np.r_[self.ids, ids], pa.concat_arrays([self.known, units])
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(-self.met, kind="stable")[: self.limit // 2])
+        self.ids = self.ids[_ranges(self.begin[keep], self.count[keep])]
+        self.known, self.count, self.met = self.known.take(pa.array(keep)), self.count[keep], self.met[keep] // 2
+        self.begin = np.cumsum(self.count) - self.count
+
+    def batch(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts end to end, and how many each has."""
+        held = raw.tobytes()
+        whole = [m.start() for token in self.added for m in re.finditer(re.escape(token), held)]
+        starts, plain = units(raw, offsets, np.unique(np.searchsorted(offsets, whole, "right") - 1))
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets) - 1, np.int64)
+        ends = np.r_[starts, len(raw)].astype(np.int32)
+        seen = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(held)]).dictionary_encode()
+        which = seen.indices.to_numpy()
+        places = pc.fill_null(pc.index_in(seen.dictionary, value_set=self.known), -1).to_numpy().astype(np.int64)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            # A unit is plain or not by its own bytes, or because its text holds an added token and is one unit.
+            simple = np.zeros(len(seen.dictionary), bool)
+            simple[which] = plain
+            places[new] = len(self.known) + np.arange(len(new))
+            self._learn(seen.dictionary.take(pa.array(new)), simple[new])
+        self.met += np.bincount(places, np.bincount(which), len(self.known)).astype(np.int64)
+        at = places[which]
+        counts = self.count[at]
+        ids = self.ids[_ranges(self.begin[at], counts)]
+        ends = np.r_[0, np.cumsum(counts)]
+        if len(self.known) > self.limit:
+            self._forget()
+        return ids, np.diff(ends[np.searchsorted(starts, offsets)])
 
     def __call__(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
-        if self.added(text):
-            return self._whole(text)
-        if _MEETING(text):
-            return b"".join(map(self._whole, _PART(text)))
-        first, *rest = text.split(" ")
-        got = list(map(self.known.get, rest))
-        if None in got:
-            got = [code if code is not None else self._part(p) for code, p in zip(got, rest)]
-            if len(self.known) > self.limit:
-                self.known, self.older = {}, self.known
-        return self._whole(first) + b"".join(got)
+        raw = np.frombuffer(text.encode(), np.uint8)
+        return self.batch(raw, np.array([0, len(raw)]))[0].tobytes()
+
+
+def _ranges(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The numbers of the ranges, range after range."""
+    ends = np.cumsum(count)
+    return np.repeat(begin - ends + count, count) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+_BLANK, _LINE, _LETTER, _MARK, _ODD = 1, 2, 3, 4, 5
+_KIND = np.full(256, _ODD, np.uint8)
+_KIND[0x21:0x7F] = _MARK
+_KIND[0x30:0x3A] = _ODD
+_KIND[0x41:0x5B] = _KIND[0x61:0x7B] = _LETTER
+_KIND[0xC3:0xC9] = _KIND[0x80:0xC0] = _LETTER  # U+00C0 to U+023F are letters but for two signs
+_KIND[0x20], _KIND[0x0A] = _BLANK, _LINE
+
+
+def _wide_space(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends at each of these bytes may be white space, its bytes being above ASCII."""
+    last, one, two = raw[at], raw[np.maximum(at - 1, 0)], raw[np.maximum(at - 2, 0)]
+    return (
+        (one == 0xC2) | (two == 0xE1) | ((two == 0xE3) & (one == 0x80) & (last == 0x80)) | ((two == 0xE2) & (one == 0x81))
+        | ((two == 0xE2) & (one == 0x80) & ((last <= 0x8F) | ((last >= 0xA8) & (last <= 0xAF))))
+    )
+
+
+def units(raw: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the units of the texts end to end, and which are one pre-token whatever stands around them.
+
+    A blank or line break after a visible character always starts a new pre-token of this byte-level tokenizer. What
+    stands between two such places is cut further, where letters meet marks or a line break ends, if it holds only
+    Latin letters, ASCII marks other than an apostrophe before a letter, one blank in front or single line breaks.
+    A text of ``whole`` is one unit.
+    """
+    heads = np.unique(offsets[:-1][np.diff(offsets) > 0])
+    if not len(heads):
+        return heads, np.zeros(0, bool)
+    kind = _KIND[raw]
+    before = np.r_[np.uint8(0), kind[:-1]]
+    before[heads] = 0
+    space = (kind == _BLANK) | (kind == _LINE)
+    # Control characters never count as visible, wide ones if they are no white space.
+    visible = (before >= _LETTER) & (np.r_[np.uint8(0), raw[:-1]] > 0x20) & (np.r_[np.uint8(0), raw[:-1]] != 0x7F)
+    here = space & visible
+    wide = np.flatnonzero(here & (np.r_[np.uint8(0), raw[:-1]] >= 0x80))
+    here[wide[_wide_space(raw, wide - 1)]] = False
+    here[heads] = True
+    odd = kind == _ODD
+    odd |= space & ((before == _BLANK) | (before == _LINE))
+    quote = np.flatnonzero(raw[:-1] == 0x27)
+    odd[quote[kind[quote + 1] == _LETTER]] = True
+    sign = np.flatnonzero(raw[:-1] == 0xC3)
+    odd[sign[(raw[sign + 1] == 0x97) | (raw[sign + 1] == 0xB7)]] = True
+    coarse = np.flatnonzero(here)
+    part = np.zeros(len(coarse), bool)
+    part[np.searchsorted(coarse, np.flatnonzero(odd), "right") - 1] = True
+    fine = np.flatnonzero((kind != before) & (before >= _LINE) & (kind >= _LETTER))
+    here[fine[~part[np.searchsorted(coarse, fine, "right") - 1]]] = True
+    starts = np.flatnonzero(here)
+    plain = np.ones(len(starts), bool)
+    plain[np.searchsorted(starts, coarse[part])] = False
+    if len(whole):
+        text = np.searchsorted(offsets, starts, "right") - 1
+        single = np.isin(text, whole)
+        first = np.r_[True, text[1:] != text[:-1]]
+        plain = plain & ~single
+        starts, plain = starts[first | ~single], plain[first | ~single]
+    return starts, plain
 
 
 _encoders: dict[str, Encoder] = {}
@@ -203,9 +281,17 @@ def _encoder(path: str) -> Encoder:
 CELLS = "doc_id long, code long, n int, cell binary"
 
 
+def _with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
+    """The ids of each document with the end id behind them."""
+    out = np.full(len(ids) + len(counts), end_id, "<u4")
+    inside = np.ones(len(out), bool)
+    inside[np.cumsum(counts + 1) - 1] = False
+    out[inside] = ids
+    return out
+
+
 def encoded(documents: DataFrame, tokenizer_path: str, *, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, code, n, cell): each whole text's ids with the end id appended, packed by id, and a code of them."""
-    end = np.array([end_id], "<u4").tobytes()
+    """(doc_id, code, n, cell): each whole text's ids with the end id appended, 2 or 4 bytes each, and a code of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
@@ -213,28 +299,45 @@ def encoded(documents: DataFrame, tokenizer_path: str, *, end_id: int = END_ID)
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         encode = _encoder(tokenizer_path)
         for b in batches:
-            _, offsets = text_buffer(b.column(1))
-            for i, j in pieces(offsets):
-                some = b.slice(i, j - i)
-                ids = [encode(t) + end if t else end for t in some.column(1).to_pylist()]
-                edges = np.r_[0, np.cumsum([len(x) // 4 for x in ids])]
-                codes = [int.from_bytes(blake2b(x, digest_size=8).digest(), "little", signed=True) for x in ids]
+            raw, offsets = text_buffer(b.column(1))
+            for i, j in pieces(offsets, ENCODE_BYTES):
+                found, counts = encode.batch(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                ids, edges = _with_ends(found, counts, end_id), np.r_[0, np.cumsum(counts + 1)]
+                held, ends = memoryview(ids.tobytes()), (4 * edges).tolist()
+                codes = [
+                    int.from_bytes(blake2b(held[s:e], digest_size=8).digest(), "little", signed=True)
+                    for s, e in zip(ends, ends[1:])
+                ]
+                short = ids.astype("<u2") if ids.max() < 1 << 16 else ids
+                cells = pa.Array.from_buffers(
+                    pa.large_binary(), j - i,
+                    [None, pa.py_buffer((edges * short.itemsize).astype(np.int64).tobytes()), pa.py_buffer(short.tobytes())],
+                ).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array(codes, pa.int64()), pa.array(np.diff(edges).astype(np.int32)),
-                     pack_each(np.frombuffer(b"".join(ids), "<u4"), edges)],
+                    [b.column(0).slice(i, j - i), pa.array(codes, pa.int64()), pa.array(np.diff(edges).astype(np.int32)), cells],
                     ["doc_id", "code", "n", "cell"],
                 )
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(run), CELLS)
 
 
-def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def _fixed(cells: np.ndarray, edges: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ids of cells of 2 or 4 bytes an id (a cell holds one at least)."""
+    width = np.diff(edges) // counts
+    if (width == width[:1]).all():
+        return np.ascontiguousarray(cells).view(f"<u{width[0]}")
+    return np.concatenate([np.frombuffer(cells[s:e].tobytes(), f"<u{w}") for s, e, w in zip(edges, edges[1:], width)])
+
+
+def _some(
+    batches: Iterator[pa.RecordBatch], values: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] = unpack_each
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, values, counts) of cells, a bounded number of bytes at a time."""
     for b in batches:
         raw, edges = text_buffer(b.column(b.num_columns - 1))
         counts = b.column(b.num_columns - 2).to_numpy().astype(np.int64)
         for i, j in pieces(edges):
-            yield b.slice(i, j - i), unpack_each(raw[edges[i] : edges[j]], edges[i : j + 1] - edges[i], counts[i:j]), counts[i:j]
+            yield b.slice(i, j - i), values(raw[edges[i] : edges[j]], edges[i : j + 1] - edges[i], counts[i:j]), counts[i:j]
 
 
 def _counted(cells: DataFrame) -> DataFrame:
@@ -242,7 +345,7 @@ def _counted(cells: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for _, values, _ in _some(batches):
+        for _, values, _ in _some(batches, _fixed):
             here = np.bincount(values)
             if len(here) > len(total):
                 here[: len(total)] += total
@@ -269,7 +372,7 @@ def write_files(documents: DataFrame, tokenizer_path: str, path: str, *, end_id:
         table[[r["token_id"] for r in used]] = np.arange(len(used), dtype=np.uint32)
 
         def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows, values, counts in _some(batches):
+            for rows, values, counts in _some(batches, _fixed):
                 packed = pack_each(table[values], np.r_[0, np.cumsum(counts)])
                 yield pa.RecordBatch.from_arrays([*rows.columns[:-1], packed], rows.schema.names)
 

@@ -171,6 +171,30 @@ def test_encoder_equals_the_whole_text_tokenizer():
         assert np.frombuffer(encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
 
 
+def test_encoder_learns_each_unit_of_many_texts_once(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, learnt = Tokenizer.from_file(path), []
+    held = token_ids.Encoder._learn
+    monkeypatch.setattr(token_ids.Encoder, "_learn", lambda self, units, simple: learnt.extend(units.to_pylist()) or held(self, units, simple))
+    texts = ["the end. The end, the\nend", "", "The end.\nthe end", "'", "the end"]
+    signs = ["a", "The", "é", "×", " ", " ", "\n", "\t", "\x1c", "\x85", "\u2003", "\u3000", "’", "'", "'s", ".", ",", "1", "中", "<|endoftext|>", "\x7f"]
+    rng = random.Random(8)
+    for limit, some in ((1000, texts), *((9, ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(6)]) for _ in range(200))):
+        encode = token_ids.Encoder(path, cache=limit)
+        for _ in range(2):
+            raw = "".join(some).encode()
+            edges = np.r_[0, np.cumsum([len(t.encode()) for t in some])]
+            ids, counts = encode.batch(np.frombuffer(raw, np.uint8), edges)
+            ends = np.r_[0, np.cumsum(counts)]
+            for k, text in enumerate(some):
+                assert ids[ends[k] : ends[k + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids, text
+            if some is texts:
+                assert len(learnt) == len(set(learnt)) and {b"the", b" end", b".", b"\n"} <= set(learnt)
+
+
 def test_code_lengths_are_those_of_the_context_tree():
     samples = {"x": [b"abab abc"], "y": [b"zzz yz"]}
     model = languages.fit(samples)
