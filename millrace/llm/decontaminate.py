@@ -149,10 +149,11 @@ def report(documents: DataFrame, benchmark: DataFrame, *, span: int = SPAN, gram
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame, *, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """Documents without any window of the benchmark, with all their columns."""
-    bad = (
-        find_windows(documents, benchmark, span=span, gram=gram)
-        .select(F.col("doc_id").alias("_id"), F.col("text_code").alias("_tc")).distinct()
-    )
+    """Documents without any window of the benchmark, with all their columns.
+
+    The texts stay where they are unless more than ``BROADCAST_ROWS`` documents go.
+    """
+    hits = find_windows(documents, benchmark, span=span, gram=gram)
+    bad = cut(hits.select(F.col("doc_id").alias("_id"), F.col("text_code").alias("_tc")).distinct(), "bad")
     on = documents["doc_id"].eqNullSafe(bad["_id"]) & F.xxhash64(documents["text"]).eqNullSafe(bad["_tc"])
-    return documents.join(bad, on, "left_anti")
+    return documents.join(up_to_bound(bad, BROADCAST_ROWS), on, "left_anti")

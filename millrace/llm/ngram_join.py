@@ -178,6 +178,9 @@ def _result(feats: DataFrame, classes: DataFrame, exact: DataFrame) -> DataFrame
 
 
 def keep_one(documents: DataFrame, *, least: float = S.SIMILARITY, recall: float = RECALL) -> DataFrame:
-    """One document of each component, with all its columns; rows that link with nothing all stay."""
+    """One document of each component, with all its columns; rows that link with nothing all stay.
+
+    The texts stay where they are unless more than ``BROADCAST_ROWS`` documents go.
+    """
     drop = join(documents, least=least, recall=recall).filter("not kept").select(F.col("doc_id").alias("_drop"))
-    return documents.join(drop, documents["doc_id"] == drop["_drop"], "left_anti")
+    return documents.join(up_to_bound(drop, BROADCAST_ROWS), documents["doc_id"] == drop["_drop"], "left_anti")

@@ -43,8 +43,8 @@ from millrace.plans.durable import fresh_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHE_UNITS = 600_000
-ENCODE_BYTES = 1 << 22
+CACHE_UNITS = 200_000
+ENCODE_BYTES = 1 << 20
 
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary"
 

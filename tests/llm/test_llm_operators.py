@@ -365,3 +365,17 @@ def test_paragraph_bands_are_shuffled_one_at_a_time(spark, rows, monkeypatch):
     count = paragraphs.SKETCH // paragraphs.bands(0.8, paragraphs.RECALL)
     assert [label for label, _ in written].count("shared") == count > 1
     assert not any("Generate explode" in text for label, text in written if label == "shared")
+
+
+def test_stages_leave_texts_in_place_when_few_documents_go(spark, rows):
+    docs = table(spark, [(k, t, *rest) for k, (_, t, *rest) in enumerate(rows)])
+    benchmark = spark.createDataFrame([("x", rows[3][1])], "item_id string, text string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for kept in (ngram_join.keep_one(docs), decontaminate.keep_clean(docs, benchmark)):
+            assert 0 < kept.count() < len(rows)
+            plan = kept._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
