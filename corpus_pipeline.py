@@ -41,7 +41,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Token files of the mix, reported per document as read back."""
     import public_tokenizers
 
-    return token_ids.round_trip(docs, public_tokenizers.path(TOKENIZER))
+    # Earlier stages leave the executors less memory than the operator has alone.
+    return token_ids.round_trip(docs, public_tokenizers.path(TOKENIZER), cache=200_000, piece=1 << 20)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -43,8 +43,8 @@ from millrace.plans.durable import fresh_path
 
 END_ID = 2
 BLOCK_IDS = 1 << 18
-CACHE_UNITS = 200_000
-ENCODE_BYTES = 1 << 20
+CACHE_UNITS = 600_000
+ENCODE_BYTES = 1 << 22
 
 BLOCKS = "shard int, block int, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary"
 
@@ -269,13 +269,13 @@ def units(raw: np.ndarray, offsets: np.ndarray, whole: np.ndarray) -> tuple[np.n
     return starts, plain
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def _encoder(path: str, cache: int) -> Encoder:
+    if (path, cache) not in _encoders:
+        _encoders[path, cache] = Encoder(path, cache)
+    return _encoders[path, cache]
 
 
 CELLS = "doc_id long, code long, n int, cell binary"
@@ -290,17 +290,23 @@ def _with_ends(ids: np.ndarray, counts: np.ndarray, end_id: int) -> np.ndarray:
     return out
 
 
-def encoded(documents: DataFrame, tokenizer_path: str, *, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, code, n, cell): each whole text's ids with the end id appended, 2 or 4 bytes each, and a code of them."""
+def encoded(
+    documents: DataFrame, tokenizer_path: str, *, end_id: int = END_ID, cache: int = CACHE_UNITS, piece: int = ENCODE_BYTES
+) -> DataFrame:
+    """(doc_id, code, n, cell): each whole text's ids with the end id appended, 2 or 4 bytes each, and a code of them.
+
+    A worker remembers ``cache`` units and encodes ``piece`` bytes of texts at a time: less of both takes less memory
+    and more time, with the same ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encode = _encoder(tokenizer_path)
+        encode = _encoder(tokenizer_path, cache)
         for b in batches:
             raw, offsets = text_buffer(b.column(1))
-            for i, j in pieces(offsets, ENCODE_BYTES):
+            for i, j in pieces(offsets, piece):
                 found, counts = encode.batch(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 ids, edges = _with_ends(found, counts, end_id), np.r_[0, np.cumsum(counts + 1)]
                 held, ends = memoryview(ids.tobytes()), (4 * edges).tolist()
@@ -358,11 +364,13 @@ def _counted(cells: DataFrame) -> DataFrame:
     return cells.select("n", "cell").mapInArrow(tidy(run), "token_id long, n long").groupBy("token_id").agg(F.sum("n").alias("n"))
 
 
-def write_files(documents: DataFrame, tokenizer_path: str, path: str, *, end_id: int = END_ID) -> None:
+def write_files(
+    documents: DataFrame, tokenizer_path: str, path: str, *, end_id: int = END_ID, cache: int = CACHE_UNITS, piece: int = ENCODE_BYTES
+) -> None:
     """Encode every text and write the file set at ``path``."""
     spark = documents.sparkSession
     with tidy_shuffles(spark):
-        cells = cut(encoded(documents, tokenizer_path, end_id=end_id), "ids")
+        cells = cut(encoded(documents, tokenizer_path, end_id=end_id, cache=cache, piece=piece), "ids")
         # One row per id in use: bounded by the vocabulary, which the tokenizer fixes.
         used = sorted(_counted(cells).collect(), key=lambda r: (-r["n"], r["token_id"]))
         spark.createDataFrame([(i, r["token_id"]) for i, r in enumerate(used)], "rank int, token_id long").coalesce(
@@ -437,8 +445,10 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return placed.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def round_trip(documents: DataFrame, tokenizer_path: str, *, end_id: int = END_ID) -> DataFrame:
+def round_trip(
+    documents: DataFrame, tokenizer_path: str, *, end_id: int = END_ID, cache: int = CACHE_UNITS, piece: int = ENCODE_BYTES
+) -> DataFrame:
     """Write the files to the shared folder and report what they hold."""
     path = fresh_path(documents.sparkSession, "tokens")
-    write_files(documents, tokenizer_path, path, end_id=end_id)
+    write_files(documents, tokenizer_path, path, end_id=end_id, cache=cache, piece=piece)
     return read_files(documents.sparkSession, path)
