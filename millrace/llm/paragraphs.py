@@ -30,6 +30,7 @@ from millrace.llm import shingles as S
 from millrace.llm.bytesets import BASE, BYTE_CODE, Prefix, mix, pieces, text_buffer, tidy, window_min
 from millrace.llm.components import components
 from millrace.llm.frames import cut, tidy_shuffles, up_to_bound
+from millrace.llm.packed import met_parts
 from millrace.llm.suffixes import NO_ID, named, numbered
 
 REACH = 8
@@ -37,6 +38,8 @@ LEAST_RUN = 20
 RECALL = 0.9995
 SKETCH = 33  # minima a paragraph: enough for bands of three at this recall
 BROADCAST_ROWS = 2_000_000
+LARGE = 64  # sets of a group that are compared each with each
+PIECE_BYTES = 1 << 17  # of text at a time: its arrays fit a core's cache
 
 
 def bands(least: float, recall: float, size: int = SKETCH) -> int:
@@ -76,14 +79,19 @@ def cuts(codes: np.ndarray, line: np.ndarray, reach: int = REACH) -> np.ndarray:
 
 def paragraphs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Offsets of the paragraphs of all texts end to end, the text of each, its place there and its words."""
+    edges, owner, place, word, _ = _cut_up(raw, offsets)
+    return edges, owner, place, np.diff(np.searchsorted(word, edges))
+
+
+def _cut_up(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of the paragraphs, the text of each, its place there; start and code of every word."""
     word, text, codes = _words(raw, offsets)
     breaks = np.flatnonzero(raw == 10) + 1
     lines = np.union1d(offsets[:-1][np.diff(offsets) > 0], breaks[breaks < len(raw)]).astype(np.int64)
     starts = np.union1d(lines, word[cuts(codes, np.searchsorted(lines, word, "right"))]).astype(np.int64)
     owner = np.searchsorted(offsets, starts, "right") - 1
     place = np.arange(len(starts)) - np.searchsorted(owner, np.arange(len(offsets) - 1))[owner]
-    edges = np.r_[starts, len(raw)]
-    return edges, owner, place, np.diff(np.searchsorted(word, edges))
+    return np.r_[starts, len(raw)], owner, place, word, codes
 
 
 def features(docs: DataFrame, rows_per_band: int) -> DataFrame:
@@ -92,10 +100,10 @@ def features(docs: DataFrame, rows_per_band: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = text_buffer(b.column(2))
-            for i, j in pieces(offsets):
+            for i, j in pieces(offsets, PIECE_BYTES):
                 at = offsets[i : j + 1] - offsets[i]
-                edges, text, place, _ = paragraphs(raw[offsets[i] : offsets[j]], at)
-                grams, where = S.shingle_codes(raw[offsets[i] : offsets[j]], edges, short=False)
+                edges, text, place, word, codes = _cut_up(raw[offsets[i] : offsets[j]], at)
+                grams, where = S.gram_sets(codes, np.searchsorted(edges, word, "right") - 1, len(text), short=False)
                 full = np.flatnonzero(np.diff(where))
                 if not len(full):
                     continue
@@ -123,18 +131,65 @@ def _bands(rows_per_band: int) -> list[str]:
     return [f"band{k}" for k in range(SKETCH // rows_per_band)]
 
 
+def _repeated(key: np.ndarray) -> np.ndarray:
+    """Places of a sorted key that another row has too."""
+    same = key[1:] == key[:-1]
+    return np.flatnonzero(np.r_[False, same] | np.r_[same, False]) if len(key) else np.zeros(0, np.int64)
+
+
+def _classes(feats: DataFrame) -> DataFrame:
+    """Written table (one, two, copies, first): the paragraphs of each shingle set, counted, and the first of them."""
+
+    def tally(columns: list[np.ndarray]) -> list[np.ndarray]:
+        one, two, doc_id, row, line, copies = columns
+        rest = _repeated(one)
+        if not len(rest):
+            return columns
+        rest = rest[np.lexsort((line[rest], row[rest], doc_id[rest], two[rest], one[rest]))]
+        fresh = np.r_[True, (one[rest[1:]] != one[rest[:-1]]) | (two[rest[1:]] != two[rest[:-1]])]
+        copies = copies.copy()
+        copies[rest[fresh]] = np.add.reduceat(copies[rest], np.flatnonzero(fresh))
+        keep = np.ones(len(one), bool)
+        keep[rest[~fresh]] = False
+        return [c[keep] for c in (one, two, doc_id, row, line, copies)]
+
+    def settle(columns: list[np.ndarray]) -> pa.RecordBatch:
+        names = ["one", "two", "doc_id", "row", "line", "copies"]
+        return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if n == "line" else c) for n, c in zip(names, columns)], names)
+
+    rows = feats.select("one", "two", "doc_id", "row", F.col("line").cast("long"), F.lit(1).cast("long").alias("copies"))
+    found = met_parts(rows, tally, settle, "one long, two long, doc_id long, row long, line int, copies long")
+    return cut(found.select("one", "two", "copies", F.struct("doc_id", "row", "line").alias("first")), "classes")
+
+
 def _met(feats: DataFrame, band: str) -> DataFrame:
     """Written table (a, b): classes with the same value in a band, each next to the smallest that has it."""
-    banded = feats.select("one", F.col(band).alias("band"))
-    ends = banded.groupBy("band").agg(F.min("one").alias("low"), F.max("one").alias("high"))
-    shared = cut(ends.filter("low <> high").select("band", "low"), "shared")
-    met = banded.join(up_to_bound(shared, BROADCAST_ROWS), "band").filter(F.col("one") != F.col("low"))
-    return cut(met.select(F.col("low").alias("a"), F.col("one").alias("b")).distinct(), "met")
+
+    def once(columns: list[np.ndarray]) -> list[np.ndarray]:
+        value, one = columns
+        rest = _repeated(value)
+        if not len(rest):
+            return columns
+        rest = rest[np.lexsort((one[rest], value[rest]))]
+        again = (value[rest[1:]] == value[rest[:-1]]) & (one[rest[1:]] == one[rest[:-1]])
+        keep = np.ones(len(value), bool)
+        keep[rest[1:][again]] = False
+        return [value[keep], one[keep]]
+
+    def settle(columns: list[np.ndarray]) -> pa.RecordBatch:
+        rest = _repeated(columns[0])
+        value, one = (c[rest] for c in columns)
+        run = np.cumsum(np.diff(value, prepend=value[:1]) != 0)
+        low = np.minimum.reduceat(one, np.searchsorted(run, np.arange(run[-1] + 1)))[run] if len(run) else one
+        other = low != one
+        return pa.RecordBatch.from_arrays([pa.array(low[other]), pa.array(one[other])], ["a", "b"])
+
+    return cut(met_parts(feats.select(band, "one"), once, settle, "a long, b long"), "shared")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, codes) of the wanted classes, from one paragraph of each."""
-    lists = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("one").alias("want"))
+    lists = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line").alias("want"))
     lists = cut(lists, "want")
     on = (docs["doc_id"] == lists["_id"]) & (docs["row"] == lists["_row"])
     texts = docs.join(up_to_bound(lists, BROADCAST_ROWS), on).select("want", "text")
@@ -142,43 +197,74 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = text_buffer(b.column(1))
-            for i, j in pieces(offsets):
-                at = offsets[i : j + 1] - offsets[i]
-                edges, text, _, _ = paragraphs(raw[offsets[i] : offsets[j]], at)
-                grams, where = S.shingle_codes(raw[offsets[i] : offsets[j]], edges, short=False)
-                one, _ = S.set_codes(grams, where)
+            for i, j in pieces(offsets, PIECE_BYTES):
+                part = raw[offsets[i] : offsets[j]]
+                edges, text, _, _ = paragraphs(part, offsets[i : j + 1] - offsets[i])
                 want = b.column(0).slice(i, j - i)
-                counts = np.diff(want.offsets.to_numpy())
-                keys = want.flatten().to_numpy()
-                asked = set(zip(np.repeat(np.arange(j - i), counts).tolist(), keys.tolist()))
-                signed = one.view(np.int64)
-                hit = np.array([k for k, pair in enumerate(zip(text.tolist(), signed.tolist())) if pair in asked], np.int64)
-                if len(hit):
-                    cells = [grams[where[k] : where[k + 1]].tobytes() for k in hit.tolist()]
-                    yield pa.RecordBatch.from_arrays([pa.array(signed[hit]), pa.array(cells, pa.binary())], ["id", "codes"])
+                at = np.searchsorted(text, np.repeat(np.arange(j - i), np.diff(want.offsets.to_numpy())))
+                at = np.sort(at + want.flatten().to_numpy())
+                bounds = np.r_[0, np.cumsum(edges[at + 1] - edges[at])]
+                inside = np.repeat(edges[at] - bounds[:-1], np.diff(bounds)) + np.arange(bounds[-1])
+                grams, where = S.shingle_codes(part[inside], bounds, short=False)
+                yield pa.RecordBatch.from_arrays([S.int64(S.set_codes(grams, where)[0]), S.binary(grams, where)], ["id", "codes"])
 
     return texts.mapInArrow(tidy(run), "id long, codes binary").dropDuplicates(["id"])
 
 
+def _places(sets: DataFrame, least: float) -> DataFrame:
+    """Written table (bucket, id): where to compare the sets of a group, so that all its pairs at the threshold meet.
+
+    A group of up to ``LARGE`` sets is one bucket. In a larger one the shingles are ordered by how many sets hold them,
+    the rarest first. Two sets of similarity ``least`` share one of their first n - least * n + 1 (prefix filter, exact),
+    so a bucket holds the sets with one such shingle: few, even where all sets of a group share a phrase.
+    """
+    counts = sets.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    large = up_to_bound(cut(counts.filter(F.col("n") > LARGE).select("root"), "large"), BROADCAST_ROWS)
+    whole = sets.join(large, "root", "left_anti").select(F.col("root").alias("bucket"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes, offsets = text_buffer(b.column(2))
+            owner = np.repeat(np.arange(b.num_rows), np.diff(offsets) // 8)
+            size = pa.array((np.diff(offsets) // 8).astype(np.int32)[owner])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0).take(pa.array(owner)), b.column(1).take(pa.array(owner)), size,
+                 pa.array(np.frombuffer(codes.tobytes(), np.int64))],
+                ["root", "id", "size", "code"],
+            )
+
+    held = sets.join(large, "root", "left_semi").select("root", "id", "codes")
+    held = cut(held.mapInArrow(tidy(run), "root long, id long, size int, code long"), "held")
+    # A shingle of one set counts as rare and leads nowhere.
+    shared = held.groupBy("root", "code").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = up_to_bound(cut(shared, "common"), BROADCAST_ROWS)
+    ranked = held.join(shared, ["root", "code"]).groupBy("root", "id", "size").agg(
+        F.array_sort(F.collect_list(F.struct("n", "code"))).alias("ranked")
+    )
+    first = F.col("size") - F.ceil(F.col("size") * least - 1e-6) + 1 - (F.col("size") - F.size("ranked"))
+    ranked = ranked.withColumn("first", F.greatest(first, F.lit(0)).cast("int"))
+    placed = ranked.select("root", "id", F.explode(F.slice("ranked", 1, F.col("first"))).alias("at"))
+    placed = cut(placed.select(F.xxhash64("root", "at.code").alias("bucket"), "id"), "placed")
+    several = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
+    return cut(whole.unionAll(placed.join(several, "bucket").select("bucket", "id")), "places")
+
+
 def near_copies(docs: DataFrame, *, least: float = S.SIMILARITY, recall: float = RECALL) -> DataFrame:
     """Written table (doc_id, row, line, keeper): copies by their place, and the document that keeps their like."""
     wide = bands(least, recall)
     feats = cut(features(docs, wide), "paragraphs")
     place = F.struct("doc_id", "row", "line")
-    classes = cut(
-        feats.groupBy("one", "two").agg(F.count(F.lit(1)).alias("copies"), F.min(place).alias("first")), "classes"
-    )
+    classes = _classes(feats)
     # Band after band, so that the disk holds the rows of one band's shuffle at a time.
     links = reduce(DataFrame.unionAll, [_met(feats, band) for band in _bands(wide)])
     groups = components(links)
     wanted = groups.join(classes, groups["id"] == classes["one"]).select(
-        "one", "root", "copies", F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")
+        "one", "root", "first.doc_id", "first.row", "first.line"
     )
     wanted = cut(wanted, "wanted")
-    sets = cut(_sets(docs, wanted).join(wanted.select(F.col("one").alias("id"), "root", "copies"), "id"), "sets")
-    blocks = S.in_blocks(sets.select("root", "id", "copies"), "root").join(sets.select("id", "codes"), "id")
-    exact = cut(S.linked_blocks(blocks, "root", least), "exact")
-    roots = components(exact.filter("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
+    sets = cut(_sets(docs, wanted).join(wanted.select(F.col("one").alias("id"), "root"), "id"), "sets")
+    blocks = S.in_blocks(_places(sets, least), "bucket").join(sets.select("id", "codes"), "id")
+    roots = components(cut(S.near_links(blocks, "bucket", least), "exact"))
     rooted = classes.join(roots.withColumnRenamed("id", "_rid"), F.col("one") == F.col("_rid"), "left").select(
         "one", "two", "copies", "first", F.coalesce("root", "one").alias("root"), F.col("root").isNotNull().alias("tied")
     ).filter("tied or copies > 1")
@@ -200,7 +286,7 @@ def _without(docs: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = text_buffer(b.column(1))
-            for i, j in pieces(offsets):
+            for i, j in pieces(offsets, PIECE_BYTES):
                 at, piece = offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]]
                 edges, text, _, words = paragraphs(piece, at)
                 first = np.searchsorted(text, np.arange(j - i + 1))

@@ -23,6 +23,7 @@ WORDS = 5
 SIMILARITY = 0.8
 SKETCH = 64
 BLOCK = 256
+TOGETHER = 64  # sets of a block that is compared along with others
 SKETCH_BLOCK = 2_048  # sketches are small, so more of them meet in one task
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -58,7 +59,15 @@ def shingle_codes(
     if len(start) == 0:
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     codes = Prefix(_FOLDED_CODE[raw]).ranges(start, end)
-    doc = np.searchsorted(offsets, start, "right") - 1
+    return gram_sets(codes, np.searchsorted(offsets, start, "right") - 1, n, words, short)
+
+
+def gram_sets(
+    codes: np.ndarray, doc: np.ndarray, n: int, words: int = WORDS, short: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
+    """``shingle_codes`` of ``n`` texts, given the code and the text of every word."""
+    if not len(codes):
+        return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
     count = np.bincount(doc, minlength=n)
     first = np.r_[0, np.cumsum(count)]
     m = len(codes) - words + 1
@@ -81,7 +90,11 @@ def shingle_codes(
         owner = np.r_[owner, few]
     if not len(grams):
         return grams, np.zeros(n + 1, np.int64)
-    order = np.lexsort((grams, owner))
+    # One key of text and leading bits sorts much faster than two; where it cannot tell two shingles apart, both decide.
+    high = n.bit_length()
+    order = np.argsort(owner.astype(np.uint64) << np.uint64(64 - high) | grams >> np.uint64(high))
+    if ((grams[order[1:]] < grams[order[:-1]]) & (owner[order[1:]] == owner[order[:-1]])).any():
+        order = np.lexsort((grams, owner))
     grams, owner = grams[order], owner[order]
     fresh = np.r_[True, (grams[1:] != grams[:-1]) | (owner[1:] != owner[:-1])]
     grams, owner = grams[fresh], owner[fresh]
@@ -273,6 +286,105 @@ def linked_blocks(blocks: DataFrame, group: str, least: float = SIMILARITY) -> D
     return rows.mapInArrow(tidy(run), "id long, other long, links long")
 
 
+def near_links(blocks: DataFrame, group: str, least: float = SIMILARITY) -> DataFrame:
+    """(a, b): links that keep together what exact Jaccard similarity ties in a block pair.
+
+    ``blocks`` has (group, i, j, side, id, codes). Small blocks, of which there are many, are compared together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            table = pa.Table.from_batches([b])
+            held = (table if held is None else pa.concat_tables([held, table])).combine_chunks()
+            last = _block_edges(held)[-2]
+            if last:
+                yield from tied(held.slice(0, last))
+                held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield from tied(held)
+
+    def tied(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        edges = _block_edges(table)
+        ids, side = table.column("id").to_numpy(), table.column("side").to_numpy()
+        across = table.column("i").to_numpy() != table.column("j").to_numpy()
+        cells = table.column("codes")
+        count = np.diff(edges)
+        small = count <= TOGETHER
+        a, b = _pairs(edges[:-1][small], count[small])
+        meet = ~across[a] | (side[a] != side[b])  # pairs inside one block meet where that block meets itself
+        found = [near_pairs(cells, a[meet], b[meet], least)]
+        for s, e in zip(edges[:-1][~small], edges[1:][~small]):
+            near = exact_near(cells.slice(s, e - s).to_pylist(), least)
+            if across[s]:
+                near &= side[s:e, None] != side[None, s:e]
+            root = local_roots(near)
+            other = np.flatnonzero(root != np.arange(e - s))
+            found.append((s + root[other], s + other))
+        a, b = (np.concatenate(x) for x in zip(*found))
+        root = np.arange(len(ids))
+        while True:
+            best = root.copy()
+            np.minimum.at(best, a, root[b])
+            np.minimum.at(best, b, root[a])
+            best = best[best]
+            if (best == root).all():
+                break
+            root = best
+        other = np.flatnonzero(root != np.arange(len(ids)))
+        yield pa.RecordBatch.from_arrays([pa.array(ids[root[other]]), pa.array(ids[other])], ["a", "b"])
+
+    return _by_block(blocks, [group, "i", "j"], ["id", "side", "codes"]).mapInArrow(tidy(run), "a long, b long")
+
+
+def _block_edges(table: pa.Table) -> np.ndarray:
+    """Where the runs of equal leading three columns begin, and the end."""
+    turn = np.zeros(max(table.num_rows - 1, 0), bool)
+    for k in range(3):
+        c = table.column(k).to_numpy()
+        turn |= c[1:] != c[:-1]
+    return np.r_[0, np.flatnonzero(turn) + 1, table.num_rows]
+
+
+def _pairs(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows of each run of ``count`` rows from ``start``."""
+    row = np.repeat(start, count) + _ramp(count)
+    later = np.repeat(start + count, count) - row - 1
+    left = np.repeat(row, later)
+    return left, left + 1 + _ramp(later)
+
+
+def _ramp(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each count, end to end."""
+    return np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+
+
+def near_pairs(
+    cells: pa.ChunkedArray, left: np.ndarray, right: np.ndarray, least: float, most: int = 1 << 20
+) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs of sets (sorted codes) that have Jaccard similarity of at least ``least``."""
+    raw, offsets = text_buffer(cells)
+    offsets = offsets // 8
+    sizes = np.diff(offsets)
+    fit = np.minimum(sizes[left], sizes[right]) >= least * np.maximum(sizes[left], sizes[right]) - 1e-6
+    left, right = left[fit], right[fit]
+    if not len(left):
+        return left, right
+    rank = np.unique(np.frombuffer(raw.tobytes(), np.uint64), return_inverse=True)[1]
+    both = sizes[left] + sizes[right]
+    common = np.zeros(len(left), np.int64)
+    turns = np.flatnonzero(np.diff((np.cumsum(both) - both) // most, prepend=-1))
+    for s, e in zip(turns, np.r_[turns[1:], len(left)]):  # a bounded number of shingles at a time
+        sets = np.stack([left[s:e], right[s:e]], 1).ravel()
+        pair = np.repeat(np.arange(e - s), both[s:e])
+        codes = rank[np.repeat(offsets[sets], sizes[sets]) + _ramp(sizes[sets])]
+        keys = np.sort(pair * (len(rank) + 1) + codes)
+        twice = keys[1:][keys[1:] == keys[:-1]]
+        common[s:e] = np.bincount(twice // (len(rank) + 1), minlength=e - s)
+    near = (common >= least * (both - common) - 1e-6) & (common > 0)
+    return left[near], right[near]
+
+
 def exact_near(cells: list[bytes], least: float) -> np.ndarray:
     """Which pairs of sets (sorted codes) have Jaccard similarity of at least ``least``."""
     n = len(cells)

@@ -71,6 +71,33 @@ def test_exact_near_is_jaccard():
             assert near[i, j] == (len(set(a) & set(b)) >= 0.8 * len(set(a) | set(b)))
 
 
+def test_near_pairs_are_jaccard():
+    rng = random.Random(1)
+    sets = [sorted(rng.sample(range(60), rng.randint(30, 50))) for _ in range(40)] + [list(range(50)), list(range(50)), list(range(1, 50)), []]
+    cells = pa.chunked_array([[np.array(s, np.uint64).tobytes() for s in sets]], pa.binary())
+    left, right = shingles._pairs(np.array([0, 20]), np.array([20, len(sets) - 20]))
+    assert len(left) == 20 * 19 // 2 + 24 * 23 // 2
+    a, b = shingles.near_pairs(cells, left, right, 0.8, 1000)
+    jaccard = lambda i, j: len(set(sets[i]) & set(sets[j])) / max(1, len(set(sets[i]) | set(sets[j])))
+    near = {(i, j) for i, j in zip(left.tolist(), right.tolist()) if jaccard(i, j) >= 0.8}
+    assert set(zip(a.tolist(), b.tolist())) == near and (40, 41) in near
+
+
+def test_shingles_do_not_depend_on_who_finds_the_words():
+    raw, edges = bytesets.text_buffer(pa.array(TEXTS))
+    ends, text, _, start, codes = paragraphs._cut_up(raw, edges)
+    got = shingles.gram_sets(codes, np.searchsorted(ends, start, "right") - 1, len(text), short=False)
+    for x, y in zip(got, shingles.shingle_codes(raw, ends, short=False)):
+        assert x.tolist() == y.tolist()
+
+
+def test_shingle_order_holds_where_leading_bits_agree(monkeypatch):
+    monkeypatch.setattr(shingles, "mix", lambda h: h & np.uint64(7))
+    raw, edges = bytesets.text_buffer(pa.array([" ".join(f"w{k}" for k in range(300)), "a b c d e f g"]))
+    codes, where = shingles.shingle_codes(raw, edges)
+    assert codes[: where[1]].tolist() == sorted(set(codes[: where[1]].tolist())) and where[1] > 1 and where[-1] == len(codes)
+
+
 def test_chosen_paths_reach_the_recall():
     rng = np.random.default_rng(5)
     missed = 0

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from millrace.llm import decontaminate, languages, mixing, ngram_join, pages, paragraphs, suffixes, token_ids, toxicity, vectors
+from millrace.llm import decontaminate, languages, mixing, ngram_join, pages, paragraphs, shingles, suffixes, token_ids, toxicity, vectors
 from millrace.llm.components import components
 from millrace.llm.frames import reach_workers
 from test_llm_kernels import shingle_set
@@ -379,3 +379,81 @@ def test_stages_leave_texts_in_place_when_few_documents_go(spark, rows):
             assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def phrase_sets(groups=2, size=420):
+    """(root, id, codes): sets of a group share a phrase and hardly anything else; some are near copies."""
+    rng, out, sets = random.Random(11), [], {}
+    for g in range(groups):
+        phrase, last = rng.sample(range(10**6), 10), []
+        for k in range(size):
+            if k % 6 == 5:  # near the one before: one or two shingles of twenty differ
+                own = last[: -rng.randint(1, 2)] + [rng.randrange(10**6, 10**9)]
+            elif k % 2:  # alike but for one shingle, and there are many of them
+                own = [*range(g * 100, g * 100 + 19), rng.randrange(10**6, 10**9)]
+            else:
+                own = phrase + [rng.randrange(10**6, 10**9) for _ in range(10)]
+            last = own
+            sets[g * 1000 + k] = set(own)
+            out.append((g, g * 1000 + k, np.sort(np.array(list(set(own)), np.uint64)).tobytes()))
+    return out, sets
+
+
+def test_large_groups_meet_by_their_rare_shingles_and_lose_no_pair(spark):
+    rows, sets = phrase_sets()
+    rows += [(7, 7000, rows[0][2]), (7, 7001, rows[0][2]), (8, 8000, rows[0][2])]  # groups of their own
+    table = spark.createDataFrame(rows, "root long, id long, codes binary")
+    table = paragraphs.cut(table)
+    buckets = defaultdict(set)
+    for r in paragraphs._places(table, 0.8).collect():
+        buckets[r.bucket].add(r.id)
+    near = {
+        (a, b) for a in sets for b in sets
+        if a < b and a // 1000 == b // 1000 and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    }
+    met = {(a, b) for held in buckets.values() for a in held for b in held if a < b}
+    assert near | {(7000, 7001)} <= met and (0, 7000) not in met
+    phrased = [i for i in sets if i % 1000 % 6 != 5 and i % 2 == 0]
+    assert not any(a in phrased and b in phrased for a, b in met)  # a phrase alone brings no two sets together
+    blocks = shingles.in_blocks(paragraphs._places(table, 0.8), "bucket", 50).join(table.select("id", "codes"), "id")
+    roots = {r.id: r.root for r in components(shingles.near_links(blocks, "bucket", 0.8)).collect()}
+    assert roots == {r.id: r.root for r in components(spark.createDataFrame(sorted(near | {(7000, 7001)}), "a long, b long")).collect()}
+
+
+def test_a_stock_phrase_does_not_compare_all_paragraphs_that_hold_it(spark, monkeypatch):
+    rng, dealt, plain = random.Random(3), [], shingles.in_blocks
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    phrase = " ".join(word() for _ in range(14))
+    docs = [(k, f"{phrase} {' '.join(word() for _ in range(5))}", "en", "a") for k in range(200)]
+    docs.append((200, docs[0][1] + " " + word(), "en", "a"))
+
+    def watched(members, group, *size):
+        dealt.append(Counter(r[group] for r in members.collect()))
+        return plain(members, group, *size)
+
+    monkeypatch.setattr(shingles, "in_blocks", watched)
+    got = {r.doc_id: r for r in paragraphs.remove_near_copies(table(spark, docs)).collect()}
+    assert len(got) == 201 and sum(n * n for n in dealt[0].values()) < 64 * 201
+
+
+def test_classes_and_band_links_are_those_of_a_grouping(spark):
+    rng = random.Random(8)
+    ones = [rng.randrange(-(2**63), 2**63) for _ in range(60)]
+    feats = []
+    for k in range(3000):
+        one = ones[rng.randrange(60)] if k % 3 else ones[0]
+        two = one ^ (5 if k % 50 == 7 else 0)  # the first code alone does not make a class
+        feats.append((rng.randrange(-3, 400), rng.randrange(2), rng.randrange(9), one, two, [-5, -6, 2**62, one][ones.index(one) % 4]))
+    made = spark.createDataFrame(feats, "doc_id long, row long, line int, one long, two long, band0 long")
+    made = paragraphs.cut(made.repartition(7))
+    held = defaultdict(list)
+    for doc_id, row, line, one, two, _ in feats:
+        held[one, two].append((doc_id, row, line))
+    got = {(r.one, r.two): (r.copies, tuple(r.first)) for r in paragraphs._classes(made).collect()}
+    assert got == {k: (len(v), min(v)) for k, v in held.items()}
+    values = defaultdict(set)
+    for *_, one, _, band in feats:
+        values[band].add(one)
+    links = [tuple(r) for r in paragraphs._met(made, "band0").collect()]
+    assert sorted(links) == sorted((min(v), one) for v in values.values() for one in v if one != min(v))
+    assert paragraphs._met(paragraphs.cut(made.limit(0)), "band0").count() == 0
