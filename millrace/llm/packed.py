@@ -17,7 +17,7 @@ from millrace.llm.bytesets import tidy
 from millrace.llm.shingles import binary, groups
 
 RUN = 1 << 19
-PER_PARTITION = 4  # parts a shuffle partition, so that partitions come out even
+PER_PARTITION = 2  # parts a shuffle partition: more come out more even, in smaller cells
 
 Columns = list[np.ndarray]
 _BITS = 24
