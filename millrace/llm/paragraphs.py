@@ -276,8 +276,17 @@ def near_copies(docs: DataFrame, *, least: float = S.SIMILARITY, recall: float =
 
 def runs(places: np.ndarray, words: np.ndarray, least: int = LEAST_RUN) -> np.ndarray:
     """Which of the copies (sorted places) stand in a run of at least ``least`` words; ``words`` is of all paragraphs."""
+    return _in_runs(places, words[places], least)
+
+
+def _in_runs(places: np.ndarray, words: np.ndarray, least: int) -> np.ndarray:
     number = np.cumsum(np.diff(places, prepend=places[:1]) > 1)
-    return np.bincount(number, words[places])[number] >= least
+    return np.bincount(number, words)[number] >= least
+
+
+def _by_text(text: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """The values (sorted by their text) as one list for each of ``n`` texts."""
+    return pa.ListArray.from_arrays(np.searchsorted(text, np.arange(n + 1)).astype(np.int32), np.ascontiguousarray(values))
 
 
 def _without(docs: DataFrame, least: int) -> DataFrame:
@@ -290,19 +299,20 @@ def _without(docs: DataFrame, least: int) -> DataFrame:
                 at, piece = offsets[i : j + 1] - offsets[i], raw[offsets[i] : offsets[j]]
                 edges, text, _, words = paragraphs(piece, at)
                 first = np.searchsorted(text, np.arange(j - i + 1))
-                removed: list[list[int]] = [[] for _ in range(j - i)]
-                keepers: list[list[int]] = [[] for _ in range(j - i)]
-                keep = np.ones(len(piece), bool)
                 lists = b.column(2).slice(i, j - i)
-                for k in np.flatnonzero(pc.fill_null(pc.list_value_length(lists), 0).to_numpy()).tolist():
-                    copies = sorted((c["line"], c["keeper"]) for c in lists[k].as_py())
-                    places = np.array([line for line, _ in copies])
-                    for gone, (line, keeper) in zip(runs(places, words[first[k] : first[k + 1]], least), copies):
-                        if gone:
-                            removed[k].append(line)
-                            if keeper != NO_ID:
-                                keepers[k].append(keeper)
-                            keep[edges[first[k] + line] : edges[first[k] + line + 1]] = False
+                held = lists.flatten()
+                line, keeper = (pc.struct_field(held, name).to_numpy() for name in ("line", "keeper"))
+                doc = np.repeat(np.arange(j - i), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+                order = np.lexsort((keeper, line, doc))
+                line, keeper, doc = line[order], keeper[order], doc[order]
+                place = first[doc] + line
+                gone = _in_runs(place + doc, words[place], least)  # a step of two or more from one text to the next
+                line, keeper, doc = line[gone], keeper[gone], doc[gone]
+                whole = np.ones(len(text), bool)
+                whole[place[gone]] = False
+                keep = np.repeat(whole, np.diff(edges))
+                told = keeper != NO_ID
+                pairs = np.unique(np.stack([doc[told], keeper[told]], 1), axis=0)
                 ends = np.r_[0, np.cumsum(keep)][at]
                 kept = pa.Array.from_buffers(
                     pa.large_string(), j - i, [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(piece[keep].tobytes())]
@@ -310,8 +320,8 @@ def _without(docs: DataFrame, least: int) -> DataFrame:
                 known = b.column(1).slice(i, j - i).is_valid().to_numpy(zero_copy_only=False)
                 count = np.where(np.diff(at) > 0, np.diff(first), known)  # an empty text is one paragraph
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), pa.array([len(r) for r in removed], pa.int64()),
-                     pa.array(removed, pa.list_(pa.int32())), pa.array([sorted(set(c)) for c in keepers], pa.list_(pa.int64())), kept],
+                    [b.column(0).slice(i, j - i), pa.array(count.astype(np.int64)), pa.array(np.bincount(doc, minlength=j - i)),
+                     _by_text(doc, line.astype(np.int32), j - i), _by_text(pairs[:, 0], pairs[:, 1], j - i), kept],
                     ["doc_id", "n_paragraphs", "n_removed", "removed", "keepers", "kept"],
                 )
 
